@@ -180,7 +180,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
                     out[f"x{j}"] = x[at, j]
                 y = np.array(rows["y"].tolist(), dtype=float).reshape(len(rows), o)
                 for j in range(o):
-                    out[f"y{j}"] = y[at, j]
+                    out[f"ny{j}"] = y[at, j]
                 yield out
 
     def place_queries(frames):
@@ -209,13 +209,13 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
                     yield out
 
     xs = ", ".join(f"x{j} double" for j in range(d))
-    ys = ", ".join(f"y{j} double" for j in range(o))
+    ys = ", ".join(f"ny{j} double" for j in range(o))
     cs = "".join(f", {c} double" for c in carry)
     h = F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(1 << 30)).alias("h")
     ids = "gid int, cell int, sub int, salt int, key bigint"
     left = queries.select("gid", "key", "x", *carry, h).mapInPandas(place_queries, f"{ids}, {xs}{cs}")
     right = base.select("*", h).mapInPandas(place_base, f"{ids}, part int, {xs}, {ys}")
-    xcols, ycols = [f"x{j}" for j in range(d)], [f"y{j}" for j in range(o)]
+    xcols, ycols = [f"x{j}" for j in range(d)], [f"ny{j}" for j in range(o)]
     cols = ["gid", "key", *carry, "d", "nkey", "part", *ycols]
 
     def search(q, b):
