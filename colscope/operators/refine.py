@@ -116,7 +116,7 @@ def _nystroem(train: DataFrame, components: int, seed: int):
     return apply
 
 
-def fit_linear_svr(train: DataFrame, d: int, C: float = 1.0, epsilon: float = 0.01, rounds: int = 60):
+def fit_linear_svr(train: DataFrame, d: int, C: float = 1.0, epsilon: float = 0.01, rounds: int = 30):
     """Epsilon-insensitive linear regression by sub-gradient steps; each step is one aggregate of d + 1 sums."""
     stats = train.agg(F.avg("label"), F.stddev_pop("label"), *[f(F.col("x")[i]) for i in range(d) for f in (F.avg, F.stddev_pop)], F.count("*")).first()
     my, sy, n = stats[0], stats[1] or 1.0, stats[-1]

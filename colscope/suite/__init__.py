@@ -2,6 +2,6 @@
 
 
 def load():
-    from . import common, prediction, tables  # noqa: F401
+    from . import common, embedding, prediction, relevance, tables  # noqa: F401
 
     return dict(common.QUERIES), dict(common.ORACLE)
