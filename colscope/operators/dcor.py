@@ -141,10 +141,14 @@ def _strip_summary(rows: DataFrame, stats: DataFrame, strip_rows: int) -> DataFr
         .join(far, "gid").withColumn("conc", F.col("near") + F.col("t")).select(*[c.split()[0] for c in SUMMARY.split(", ")]))
 
 
-def distance_correlation(rows: DataFrame, strip_rows: int = STRIP_ROWS) -> DataFrame:
-    """``gid, dcor`` from rows ``gid int, key bigint, x double, y double``; keys are unique per group."""
-    rows = cut(rows.select(F.col("gid").cast("int"), F.col("key").cast("long"), F.col("x").cast("double"), F.col("y").cast("double"))
-               .where(F.col("x").isNotNull() & F.col("y").isNotNull()), "dcor")
+def distance_correlation(rows: DataFrame, strip_rows: int = STRIP_ROWS, stored: bool = False) -> DataFrame:
+    """``gid, dcor`` from rows ``gid int, key bigint, x double, y double``; keys are unique per group.
+
+    ``stored`` says that the rows come straight from a table and are cheap to read again.
+    """
+    rows = (rows.select(F.col("gid").cast("int"), F.col("key").cast("long"), F.col("x").cast("double"), F.col("y").cast("double"))
+               .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    rows = rows if stored else cut(rows, "dcor")
     x, y = F.col("x"), F.col("y")
     stats = cut(rows.groupBy("gid").agg(F.count("*").alias("rows"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
                                         F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("cxy")), "dcor_stats")

@@ -38,21 +38,26 @@ class Moments:
         return self.scatter / max(self.n - 1, 1)
 
 
-def column_means(df: DataFrame, cols: list[str], log: bool = False) -> np.ndarray:
-    """Centre for the sums. Any value near the mean will do; it only keeps digits."""
-    def one(c):
+def column_means(df: DataFrame, cols: list[str], log: bool = False) -> dict[str, np.ndarray]:
+    """Centres for the sums, of the columns and with ``log`` of their logarithms, from one aggregate.
+
+    Any value near the mean will do as a centre; it only keeps digits.
+    """
+    def one(c, lg):
         v = F.col(c).cast("double")
-        return F.avg(F.when(v > 0, F.ln(v))) if log else F.avg(v)
+        return F.avg(F.when(v > 0, F.ln(v))) if lg else F.avg(v)
 
-    row = df.agg(*[one(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return np.array([row[i] if row[i] is not None else 0.0 for i in range(len(cols))])
+    kinds = [False, True] if log else [False]
+    row = df.agg(*[one(c, lg).alias(f"m{i}_{int(lg)}") for lg in kinds for i, c in enumerate(cols)]).first()
+    flat = np.array([v if v is not None else 0.0 for v in row]).reshape(len(kinds), len(cols))
+    return dict(zip(("raw", "log"), flat))
 
 
-def accumulate(df: DataFrame, cols: list[str], shift: np.ndarray, group=None, log: bool = False) -> dict[str, list[Sums]]:
-    """Sums per value of ``group`` (a Column, as text) and null pattern.
+def accumulate(df: DataFrame, cols: list[str], shifts: dict[str, np.ndarray], group=None) -> dict[str, dict[str, list[Sums]]]:
+    """Sums per kind (``raw``, ``log``), value of ``group`` (a Column, as text) and null pattern.
 
     Each task turns its Arrow batches into one partial per pattern, so a task sends d*d numbers per
-    pattern and no rows; Spark adds the partials by (group, slot).
+    pattern and no rows; Spark adds the partials by (group, slot). Both kinds share the scan.
     """
     d = len(cols)
     iu = np.triu_indices(d)
@@ -60,30 +65,32 @@ def accumulate(df: DataFrame, cols: list[str], shift: np.ndarray, group=None, lo
     def partials(batches):
         acc: dict[tuple, list] = {}
         for b in batches:
-            raw = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)])
-            if len(raw) == 0:
+            if len(b) == 0:
                 continue
-            grp = np.asarray(b.column(d).to_pylist(), dtype=object)
-            low = raw
-            if log:
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    raw = np.where(raw > 0, np.log(np.where(raw > 0, raw, 1.0)), np.where(np.isnan(raw), np.nan, 0.0))
-            gone = np.isnan(raw)
-            bits = np.packbits(gone, axis=1, bitorder="little")
-            key = np.array([g + "|" + m.tobytes().hex() for g, m in zip(grp, bits)]) if gone.any() else \
-                np.array([f"{g}|{'00' * bits.shape[1]}" for g in grp])
-            for k in np.unique(key):
-                rows = key == k
-                x = np.where(gone[rows], 0.0, raw[rows] - shift)
-                lo = np.where(gone[rows], np.inf, low[rows]).min(axis=0)
-                a = acc.get(k)
-                if a is None:
-                    acc[k] = [float(len(x)), lo, x.sum(axis=0), x.T @ x]
-                else:
-                    a[0] += len(x)
-                    a[1] = np.minimum(a[1], lo)
-                    a[2] += x.sum(axis=0)
-                    a[3] += x.T @ x
+            low = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)])
+            gone = np.isnan(low)
+            grp = b.column(d).to_pylist()
+            # one number per combination of group and null pattern in this batch
+            code = np.unique(grp, return_inverse=True)[1].ravel()
+            if gone.any():
+                pattern = np.unique(np.packbits(gone, axis=1), axis=0, return_inverse=True)[1].ravel()
+                code = np.unique(code * (pattern.max() + 1) + pattern, return_inverse=True)[1].ravel()
+            for kind, shift in shifts.items():
+                val = np.log(np.where(low > 0, low, 1.0)) if kind == "log" else low
+                for g in range(code.max() + 1):
+                    rows = code == g
+                    first = int(np.argmax(rows))
+                    k = f"{kind}|{grp[first]}|{np.packbits(gone[first], bitorder='little').tobytes().hex()}"
+                    x = np.where(gone[rows], 0.0, val[rows] - shift)
+                    lo = np.where(gone[rows], np.inf, low[rows]).min(axis=0)
+                    a = acc.get(k)
+                    if a is None:
+                        acc[k] = [float(len(x)), lo, x.sum(axis=0), x.T @ x]
+                    else:
+                        a[0] += len(x)
+                        a[1] = np.minimum(a[1], lo)
+                        a[2] += x.sum(axis=0)
+                        a[3] += x.T @ x
         for k, (n, lo, s, ss) in acc.items():
             v = np.concatenate([[n], lo, s, ss[iu]])
             yield pa.RecordBatch.from_arrays(
@@ -97,13 +104,14 @@ def accumulate(df: DataFrame, cols: list[str], shift: np.ndarray, group=None, lo
     for r in rows:
         v = flat.setdefault(r["grp"], np.zeros(1 + 2 * d + len(iu[0])))
         v[r["slot"]] = r["m"] if 1 <= r["slot"] <= d else r["s"]
-    out: dict[str, list[Sums]] = {}
+    out: dict[str, dict[str, list[Sums]]] = {k: {} for k in shifts}
     for k, v in flat.items():
-        g, bits = k.rsplit("|", 1)
+        kind, rest = k.split("|", 1)
+        g, bits = rest.rsplit("|", 1)
         ss = np.zeros((d, d))
         ss[iu] = v[1 + 2 * d:]
         ss = ss + np.triu(ss, 1).T
-        out.setdefault(g, []).append(Sums(int.from_bytes(bytes.fromhex(bits), "little"), v[0], v[1:1 + d], v[1 + d:1 + 2 * d], ss))
+        out[kind].setdefault(g, []).append(Sums(int.from_bytes(bytes.fromhex(bits), "little"), v[0], v[1:1 + d], v[1 + d:1 + 2 * d], ss))
     return out
 
 
@@ -124,8 +132,8 @@ def moments(parts: list[Sums], shift: np.ndarray, pick: list[int]) -> tuple[Mome
 def table_moments(df: DataFrame, cols: list[str]) -> Moments:
     """Mean and scatter of complete rows."""
     shift = column_means(df, cols)
-    parts = accumulate(df, cols, shift).get("all", [])
-    return moments(parts, shift, list(range(len(cols))))[0]
+    parts = accumulate(df, cols, shift)["raw"].get("all", [])
+    return moments(parts, shift["raw"], list(range(len(cols))))[0]
 
 
 def least_squares(m: Moments, xi: list[int], yi: list[int]) -> np.ndarray | None:

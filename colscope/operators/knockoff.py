@@ -15,7 +15,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keys import fold
-from .gram import column_means, accumulate, moments
+from .gram import table_moments
 from .ranking import consolidate_runs, select_features
 from .shapley import hash_normal
 
@@ -46,8 +46,7 @@ class Sampler:
 
 
 def fit_sampler(df: DataFrame, cols: list[str]) -> Sampler:
-    shift = column_means(df, cols)
-    mo = moments(accumulate(df, cols, shift)["all"], shift, list(range(len(cols))))[0]
+    mo = table_moments(df, cols)
     return Sampler(mo.mean, mo.cov)
 
 

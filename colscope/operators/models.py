@@ -123,10 +123,9 @@ def _search_knn(train: DataFrame, params: list[dict], classification: bool, scor
     q = train.select(F.lit(0).alias("gid"), "key", "x", F.col("fold").cast("double").alias("fold"), "label")
     base = train.select(F.lit(0).alias("gid"), "key", "x", F.col("fold").cast("int").alias("part"), F.array("label").alias("y"))
     lists = cut(nearest(q, base, k, carry=("fold", "label")), "knn_search")
-    others = F.filter("nn", lambda n: n["part"] != F.col("fold"))
     cols, aggs = [], []
     for i, p in enumerate(params):
-        near = F.slice(others, 1, p["k"])
+        near = f"slice(filter(nn, n -> n.part != fold), 1, {p['k']})"
         cols.append((vote_of(near) if classification else mean_of(near, 0, p["weights"])).alias(f"p{i}"))
         aggs.append(scorer(F.col("label"), F.col(f"p{i}")).alias(f"s{i}"))
     row = lists.select("label", *cols).agg(*aggs).first()

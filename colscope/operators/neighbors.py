@@ -98,9 +98,10 @@ def _bounds(t: Tree, x: np.ndarray, k: int, p: int) -> np.ndarray:
 
 
 def _plan(base: DataFrame, queries: DataFrame, d: int, k: int) -> dict[int, Tree]:
-    sizes = base.groupBy("gid").agg(F.count("*").alias("n"), (F.max("part") + 1).alias("parts")).collect()
-    nb, np_ = {r["gid"]: r["n"] for r in sizes}, {r["gid"]: r["parts"] for r in sizes}
-    nq = {r["gid"]: r["n"] for r in queries.groupBy("gid").agg(F.count("*").alias("n")).collect()}
+    both = base.select("gid", F.lit(1).alias("b"), "part").unionByName(queries.select("gid", F.lit(0).alias("b"), F.lit(0).alias("part")))
+    sizes = both.groupBy("gid", "b").agg(F.count("*").alias("n"), (F.max("part") + 1).alias("parts")).collect()
+    nb, np_ = {r["gid"]: r["n"] for r in sizes if r["b"]}, {r["gid"]: r["parts"] for r in sizes if r["b"]}
+    nq = {r["gid"]: r["n"] for r in sizes if not r["b"]}
     per = max(min(SAMPLE, SAMPLE_TOTAL // max(len(nb), 1)), 8 * k)
 
     def sampled(df, counts, seed):
@@ -141,26 +142,28 @@ def _plan(base: DataFrame, queries: DataFrame, d: int, k: int) -> dict[int, Tree
     return plan
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...] = (), p: int = 2) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...] = (), p: int = 2,
+            dims: tuple[int, int] | None = None, stored: bool = False) -> DataFrame:
     """The k nearest base rows of each query row, per group and per part of the base.
 
     ``queries``: gid int, key long, x array<double>, carried double columns.
     ``base``: gid int, key long, x array<double>, part int, y array<double>.
     Result: gid, key, carried columns, ``nn`` = array of (d, key, part, y) sorted by distance then key,
-    at least the k nearest of every part.
+    at least the k nearest of every part. ``dims`` gives the sizes of x and y where they are known, and
+    ``stored`` says that the queries come straight from a table.
     """
     spark = queries.sparkSession
     base = base.select("gid", "key", "x", "part", "y")
     # equal coordinates: only the k lowest keys can be chosen (the limit is applied before the shuffle)
     w = W.partitionBy("gid", "part", "x").orderBy("key")
     base = cut(base.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r"), "knn_base")
-    queries = cut(queries.select("gid", "key", "x", *carry), "knn_query")
-    first = base.select(F.size("x").alias("d"), F.size("y").alias("o")).first()
-    empty = T.StructType(queries.select("gid", "key", *carry).schema.fields)
-    if first is None:
-        return spark.createDataFrame([], empty.add("nn", "array<struct<d:double,key:bigint,part:int,y:array<double>>>"))
-    d, o = first["d"], first["o"]
+    queries = queries.select("gid", "key", "x", *carry)
+    queries = queries if stored else cut(queries, "knn_query")
+    d, o = dims or base.select(F.size("x"), F.size("y")).first() or (1, 1)
     plan = _plan(base, queries, d, k)
+    if not plan:
+        empty = T.StructType(queries.select("gid", "key", *carry).schema.fields)
+        return spark.createDataFrame([], empty.add("nn", "array<struct<d:double,key:bigint,part:int,y:array<double>>>"))
     # the tasks get the trees and samples along with their code: at most SAMPLE_TOTAL points altogether
     carry = list(carry)
 
@@ -256,27 +259,26 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
                                            F.array_sort(F.collect_list(one)).alias("nn"))
 
 
-def best_of(nn, k: int, but_part=None) -> Column:
-    """First k neighbours of a sorted list, one part left out if asked."""
-    nn = F.col(nn) if isinstance(nn, str) else nn
+def best_of(nn: str, k: int, but_part: int | None = None) -> str:
+    """SQL text: the first k neighbours of a sorted list, one part left out if asked."""
     if but_part is not None:
-        nn = F.filter(nn, lambda n: n["part"] != but_part)
-    return F.slice(nn, 1, k)
+        nn = f"filter({nn}, n -> n.part != {but_part})"
+    return f"slice({nn}, 1, {k})"
+
+
+def _total(arr: str) -> str:
+    return f"aggregate({arr}, 0D, (a, v) -> a + v)"
 
 
-def mean_of(nn: Column, output: int = 0, weights: str = "uniform") -> Column:
+def mean_of(nn: str, output: int = 0, weights: str = "uniform") -> Column:
     """Mean target of a neighbour list; with distance weights exact hits alone count when there are any."""
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
     if weights == "uniform":
-        return total(F.transform(nn, lambda n: n["y"][output])) / F.size(nn)
-    exact = F.exists(nn, lambda n: n["d"] == 0)
-    wt = lambda n: F.when(exact, (n["d"] == 0).cast("double")).otherwise(1 / n["d"])
-    return total(F.transform(nn, lambda n: wt(n) * n["y"][output])) / total(F.transform(nn, wt))
+        return F.expr(f"{_total(f'transform({nn}, n -> n.y[{output}])')} / size({nn})")
+    wt = f"if(exists({nn}, m -> m.d = 0D), if(n.d = 0D, 1D, 0D), 1D / n.d)"
+    return F.expr(f"{_total(f'transform({nn}, n -> {wt} * n.y[{output}])')} / {_total(f'transform({nn}, n -> {wt})')}")
 
 
-def vote_of(nn: Column, output: int = 0) -> Column:
+def vote_of(nn: str, output: int = 0) -> Column:
     """Most frequent label of a neighbour list, the smallest on ties."""
-    labels = F.transform(nn, lambda n: n["y"][output])
-    counted = F.transform(F.array_distinct(labels), lambda v: F.struct(
-        (-F.size(F.filter(labels, lambda u: u == v))).alias("n"), v.alias("v")))
-    return F.array_min(counted)["v"]
+    labels = f"transform({nn}, n -> n.y[{output}])"
+    return F.expr(f"array_min(transform(array_distinct({labels}), v -> struct(-size(filter({labels}, u -> u = v)) AS n, v AS v))).v")

@@ -59,11 +59,11 @@ class Baseline:
 
 
 def fit_baselines(rows: DataFrame, cols: list[str], pairs: Pairs) -> list[Baseline]:
-    """Mean, linear and power-law fits of all tuples from two scans (raw and logarithmic columns)."""
+    """Mean, linear and power-law fits of all tuples from one pass for the centres and one for the sums."""
     group = F.when(F.col("is_test"), "t").otherwise(F.col("fold").cast("string"))
-    shift, lshift = gram.column_means(rows, cols), gram.column_means(rows, cols, log=True)
-    raw = gram.accumulate(rows, cols, shift, group)
-    logs = gram.accumulate(rows, cols, lshift, group, log=True)
+    shifts = gram.column_means(rows, cols, log=True)
+    sums = gram.accumulate(rows, cols, shifts, group)
+    raw, logs, shift, lshift = sums["raw"], sums["log"], shifts["raw"], shifts["log"]
     at = {c: i for i, c in enumerate(cols)}
 
     def gather(sums, without=None):
@@ -149,23 +149,21 @@ def _cv_scores(lists: DataFrame, n_out: int, scoring: str, fold_of: int | None)
     With ``fold_of`` None a list holds neighbours of every fold and leaving one out is a filter of the
     list; otherwise the lists belong to searches that left out that fold already.
     """
-    folds = range(FOLDS) if fold_of is None else [fold_of]
-    wide, aggs = {}, []
-    for k in K_LIST:
-        for f in folds:
-            nn = best_of("nn", k, f if fold_of is None else None)
-            for o in range(n_out):
-                wide[f"p_{k}_{f}_{o}"] = mean_of(nn, o)
-    for k in K_LIST:
-        for f in folds:
-            for side, on in (("test", F.col("fold") == f), ("train", F.col("fold") != f)):
-                parts = [M.score(scoring, F.when(on, F.col(f"y{o}")), F.col(f"p_{k}_{f}_{o}")) for o in range(n_out)]
-                aggs.append((sum(parts[1:], parts[0]) / n_out).alias(f"{side}_{k}_{f}"))
-    flat = lists.where("is_test = 0").select("gid", "fold", *[f"y{o}" for o in range(n_out)],
-                                             *[c.alias(n) for n, c in wide.items()]).groupBy("gid").agg(*aggs)
+    folds = list(range(FOLDS)) if fold_of is None else [fold_of]
+    ys = [f"y{o}" for o in range(n_out)]
+    shared = lists.where("is_test = 0").select("gid", "fold", *ys, *[
+        F.expr(best_of("nn", max(K_LIST), f if fold_of is None else None)).alias(f"nn{f}") for f in folds])
+    cells = [(k, f) for k in K_LIST for f in folds]
+    wide = shared.select("gid", "fold", *ys, *[
+        mean_of(best_of(f"nn{f}", k), o).alias(f"p_{k}_{f}_{o}") for k, f in cells for o in range(n_out)])
+    aggs = []
+    for k, f in cells:
+        for side, on in (("test", F.col("fold") == f), ("train", F.col("fold") != f)):
+            parts = [M.score(scoring, F.when(on, F.col(f"y{o}")), F.col(f"p_{k}_{f}_{o}")) for o in range(n_out)]
+            aggs.append((sum(parts[1:], parts[0]) / n_out).alias(f"{side}_{k}_{f}"))
     rows = [F.struct(F.lit(k).alias("k"), F.lit(f).alias("fold"), F.col(f"test_{k}_{f}").alias("test_score"),
-                     F.col(f"train_{k}_{f}").alias("train_score")) for k in K_LIST for f in folds]
-    return flat.select("gid", F.inline(F.array(*rows)))
+                     F.col(f"train_{k}_{f}").alias("train_score")) for k, f in cells]
+    return wide.groupBy("gid").agg(*aggs).select("gid", F.inline(F.array(*rows)))
 
 
 def fit_knn(points: DataFrame, fits: list[Baseline], n_in: int, n_out: int, scoring: str = "r2", scaling: str = "test") -> Fitted:
@@ -206,7 +204,7 @@ def fit_knn(points: DataFrame, fits: list[Baseline], n_in: int, n_out: int, scor
         q[0] = q[0].unionByName(d)
     for d in b[1:]:
         b[0] = b[0].unionByName(d)
-    lists = cut(nearest(q[0], b[0], max(K_LIST), carry=carry), "neighbours")
+    lists = cut(nearest(q[0], b[0], max(K_LIST), carry=carry, dims=(n_in, n_out), stored=True), "neighbours")
     code = F.pmod("gid", F.lit(slots))
     tuple_of = F.floor(F.col("gid") / slots).cast("int").alias("tuple_id")
     cv = None
@@ -317,7 +315,7 @@ def method_metrics(rows: DataFrame, fits: list[Baseline], n_out: int, main: str,
     wanted = [(i, c) for i, (_, c) in enumerate(order) if c != "mean"]
     if n_out == 1:
         turned = F.array(*[F.struct(gid(i), F.col(f"{c}0").alias("x")) for i, c in wanted])
-        d = distance_correlation(test.select("key", F.col("y0").alias("y"), F.inline(turned)))
+        d = distance_correlation(test.select("key", F.col("y0").alias("y"), F.inline(turned)), stored=True)
     else:
         turned = F.array(*[F.struct(gid(i), F.array(*[F.col(f"{c}{o}") for o in range(n_out)]).alias("x")) for i, c in wanted])
         d = test.select("key", F.array(*[f"y{o}" for o in range(n_out)]).alias("y"), F.inline(turned))

@@ -43,8 +43,19 @@ def workspace(spark: SparkSession) -> str:
     return folder
 
 
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{workspace(spark).rstrip('/')}/colscope-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{workspace(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove the scratch tables of this application; results still to be read depend on them."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

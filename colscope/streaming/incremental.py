@@ -22,7 +22,7 @@ def save_batch(m: DataFrame, batch: int, path: str) -> None:
     if not d:
         return
     mo = matrix_moments(m, d)[0]
-    row = m.sparkSession.createDataFrame([(mo.n, mo.mean.tolist(), mo.scatter.ravel().tolist(), batch)], SCHEMA)
+    row = m.sparkSession.createDataFrame([(float(mo.n), mo.mean.tolist(), mo.scatter.ravel().tolist(), batch)], SCHEMA)
     row.drop("batch").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
