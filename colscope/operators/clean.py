@@ -82,8 +82,8 @@ def bool_like_to_int(df: DataFrame, cols: list[str]) -> DataFrame:
 def constant_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``column, is_constant``: a single value and no null, or nothing but nulls."""
     cols = cols or df.columns
-    return by_column(df, cols, {"is_constant": lambda c: F.coalesce(
-        (F.min(F.col(c)) == F.max(F.col(c))) & (F.count(F.col(c)) == F.count("*")), F.count(F.col(c)) == 0)})
+    return by_column(df, cols, {"is_constant": lambda c: F.when(F.count(F.col(c)) == 0, True).otherwise(
+        (F.min(F.col(c)) == F.max(F.col(c))) & (F.count(F.col(c)) == F.count("*")))})
 
 
 def blank_constants(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -51,7 +51,11 @@ def check_options(options: dict) -> dict:
 
 def prepare(df: DataFrame, inputs: list[str], target: str, o: dict) -> DataFrame:
     """Split, fold and scale by the statistics of the training rows; stored once for all models."""
-    keyed = with_key(df.select(*dict.fromkeys([*(o["keys"] or []), *inputs, target])), o["keys"]).withColumnRenamed("__key", "key")
+    taken = {"key", "is_test", "fold", "__y"} & set(inputs)
+    if taken:
+        raise ValueError(f"rename the input columns {sorted(taken)}: these names are used for the split")
+    keyed = with_key(df.select(*dict.fromkeys([*(o["keys"] or []), *inputs, target])), o["keys"])
+    keyed = keyed.select(F.col("__key").alias("key"), *inputs, target)
     rows = keyed.withColumns({"is_test": is_test("key", TEST_SHARE, o["seed"]), "fold": fold("key", o["cv_splits"], o["seed"])})
     rows = rows.dropna("any", subset=[*inputs, target])
     scaled = standardize(rows, inputs, scaling_stats(rows.where(~F.col("is_test")), inputs))
