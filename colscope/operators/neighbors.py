@@ -17,50 +17,47 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..session import cut
 
-BLOCK = 4096        # base rows per sub-block
+CELL = 512          # base rows per cell aimed at while the sample is large enough to cut that finely
+BLOCK = 4096        # base rows per sub-block of a cell that came out larger
 QUERY_BLOCK = 50_000
-SAMPLE = 2048       # sample rows per group that build the tree and the bounds
-SAMPLE_TOTAL = 1 << 19
-MAX_DEPTH = 12
+SAMPLE_SHARE = 0.5  # of the base, up to the total below over all groups
+SAMPLE_TOTAL = 1 << 20
+MAX_DEPTH = 14
 
 
 @dataclass
 class Tree:
+    """A complete binary tree of axis cuts; nodes in heap order, the last level being the cells."""
+
     dim: np.ndarray
     cutv: np.ndarray
     depth: int
-    lo: np.ndarray
+    lo: np.ndarray        # corners of every node's box
     hi: np.ndarray
     subs: np.ndarray      # base sub-blocks per cell
     salts: np.ndarray     # query sub-blocks per cell
-    sample: np.ndarray
+    sample: np.ndarray    # sample rows ordered by cell
     parts: np.ndarray
+    starts: np.ndarray    # where each cell's sample rows begin
     n_parts: int
 
 
 def _grow(x: np.ndarray, depth: int, d: int):
-    dim = np.zeros(max((1 << depth) - 1, 1), dtype=int)
-    cutv = np.full(len(dim), np.inf)
-    lo = np.full((1 << depth, d), -np.inf)
-    hi = np.full((1 << depth, d), np.inf)
-
-    def split(node, level, rows, a, b):
-        if level == depth:
-            leaf = node - ((1 << depth) - 1)
-            lo[leaf], hi[leaf] = a, b
-            return
-        pts = x[rows]
+    inner, nodes = (1 << depth) - 1, (1 << (depth + 1)) - 1
+    dim, cutv = np.zeros(max(inner, 1), dtype=int), np.full(max(inner, 1), np.inf)
+    lo, hi = np.full((nodes, d), -np.inf), np.full((nodes, d), np.inf)
+    rows = {0: np.arange(len(x))}
+    for node in range(inner):
+        mine = rows.pop(node)
+        pts = x[mine]
         j = int(np.argmax(np.ptp(pts, axis=0))) if len(pts) else 0
         v = float(np.median(pts[:, j])) if len(pts) else 0.0
         dim[node], cutv[node] = j, v
+        a, b = 2 * node + 1, 2 * node + 2
+        lo[a], hi[a], lo[b], hi[b] = lo[node], hi[node], lo[node], hi[node]
+        hi[a, j], lo[b, j] = min(hi[node, j], v), max(lo[node, j], v)
         left = pts[:, j] < v if len(pts) else np.zeros(0, bool)
-        b2, a2 = b.copy(), a.copy()
-        b2[j] = min(b[j], v)
-        a2[j] = max(a[j], v)
-        split(2 * node + 1, level + 1, rows[left], a, b2)
-        split(2 * node + 2, level + 1, rows[~left], a2, b)
-
-    split(0, 0, np.arange(len(x)), np.full(d, -np.inf), np.full(d, np.inf))
+        rows[a], rows[b] = mine[left], mine[~left]
     return dim, cutv, lo, hi
 
 
@@ -80,20 +77,38 @@ def distances(a: np.ndarray, b: np.ndarray, p: int = 2) -> np.ndarray:
     return out if p == 1 else np.sqrt(out)
 
 
-def _box_distance(t: Tree, x: np.ndarray, p: int) -> np.ndarray:
-    gap = np.maximum(np.maximum(t.lo[None] - x[:, None], x[:, None] - t.hi[None]), 0.0)
-    return gap.sum(axis=2) if p == 1 else np.sqrt((gap * gap).sum(axis=2))
+def _reached(t: Tree, x: np.ndarray, r: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) pairs whose box lies within the row's bound, found level by level from the root."""
+    i, node = np.arange(len(x)), np.zeros(len(x), dtype=int)
+    for _ in range(t.depth):
+        i, node = np.repeat(i, 2), np.repeat(2 * node + 1, 2)
+        node[1::2] += 1
+        gap = np.maximum(np.maximum(t.lo[node] - x[i], x[i] - t.hi[node]), 0.0)
+        near = (gap.sum(axis=1) if p == 1 else np.sqrt((gap * gap).sum(axis=1))) <= r[i]
+        i, node = i[near], node[near]
+    return i, node - ((1 << t.depth) - 1)
 
 
 def _bounds(t: Tree, x: np.ndarray, k: int, p: int) -> np.ndarray:
-    """Upper bound of the distance to the k-th neighbour, the largest over the parts."""
-    r = np.zeros(len(x))
-    for part in range(t.n_parts):
-        s = t.sample[t.parts == part]
-        if len(s) < k:
-            return np.full(len(x), np.inf)
-        d = distances(x, s, p)
-        r = np.maximum(r, np.partition(d, k - 1, axis=1)[:, k - 1])
+    """Upper bound of the distance to the k-th neighbour of every part, from the sample rows of the own cell.
+
+    Where a cell holds too few of a part, the whole sample is asked; without k of them there is no bound.
+    """
+    r, home = np.full(len(x), np.inf), _descend(t, x)
+    order = np.argsort(home, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(home[order]) != 0, True])
+    for a, b in zip(edges[:-1], edges[1:]):
+        rows = order[a:b]
+        cell = slice(t.starts[home[rows[0]]], t.starts[home[rows[0]] + 1])
+        s, parts = t.sample[cell], t.parts[cell]
+        if np.bincount(parts, minlength=t.n_parts)[:t.n_parts].min() < k:
+            s, parts = t.sample[:20_000], t.parts[:20_000]
+            if np.bincount(parts, minlength=t.n_parts)[:t.n_parts].min() < k:
+                continue
+        for u in range(0, len(rows), 2000):
+            some = rows[u:u + 2000]
+            d = distances(x[some], s, p)
+            r[some] = np.max([np.partition(d[:, parts == q], k - 1, axis=1)[:, k - 1] for q in range(t.n_parts)], axis=0)
     return r * (1 + 1e-12)
 
 
@@ -102,10 +117,10 @@ def _plan(base: DataFrame, queries: DataFrame, d: int, k: int) -> dict[int, Tree
     sizes = both.groupBy("gid", "b").agg(F.count("*").alias("n"), (F.max("part") + 1).alias("parts")).collect()
     nb, np_ = {r["gid"]: r["n"] for r in sizes if r["b"]}, {r["gid"]: r["parts"] for r in sizes if r["b"]}
     nq = {r["gid"]: r["n"] for r in sizes if not r["b"]}
-    per = max(min(SAMPLE, SAMPLE_TOTAL // max(len(nb), 1)), 8 * k)
+    most = max(SAMPLE_TOTAL // max(len(nb), 1), 8 * k)
 
     def sampled(df, counts, seed):
-        big = {g: min(1.0, per / n) for g, n in counts.items() if nb.get(g, 0) > BLOCK}
+        big = {g: min(SAMPLE_SHARE, most / n) for g, n in counts.items() if nb.get(g, 0) > 2 * CELL}
         if not big:
             return {}
         share = F.create_map(*[F.lit(x) for kv in big.items() for x in kv])[F.col("gid")]
@@ -125,10 +140,15 @@ def _plan(base: DataFrame, queries: DataFrame, d: int, k: int) -> dict[int, Tree
         depth, n_parts = 0, np_[g]
         if len(x) >= 4 * k * n_parts:
             # a ball around a query holds about k * n / sample rows; cells are not cut finer than that
-            cells = min(n / BLOCK, len(x) / (2 * k * n_parts))
-            depth = int(np.clip(np.ceil(np.log2(max(cells, 1))), 0, MAX_DEPTH))
+            cells = min(n / CELL, len(x) / (2 * k * n_parts))
+            depth = int(np.clip(np.floor(np.log2(max(cells, 1))), 0, MAX_DEPTH))
         dim, cutv, lo, hi = _grow(x, depth, d)
-        t = Tree(dim, cutv, depth, lo, hi, np.ones(1 << depth, int), np.ones(1 << depth, int), x, parts, n_parts)
+        ones = np.ones(1 << depth, int)
+        t = Tree(dim, cutv, depth, lo, hi, ones, ones, x, parts, np.zeros(0, int), n_parts)
+        leaf = _descend(t, x)
+        by_cell = np.argsort(leaf, kind="stable")
+        t.sample, t.parts = x[by_cell], parts[by_cell]
+        t.starts = np.searchsorted(leaf[by_cell], np.arange((1 << depth) + 1))
 
         def share(pts):
             if not len(pts):
@@ -193,13 +213,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
                 if t is None:
                     continue
                 x = np.array(rows["x"].tolist(), dtype=float)
-                for a in range(0, len(rows), 2000):
-                    xs, part = x[a:a + 2000], rows.iloc[a:a + 2000]
-                    if t.depth:
-                        hit = _box_distance(t, xs, p) <= _bounds(t, xs, k, p)[:, None]
-                    else:
-                        hit = np.ones((len(xs), 1), bool)
-                    i, leaf = np.nonzero(hit)
+                for a in range(0, len(rows), 20_000):
+                    xs, part = x[a:a + 20_000], rows.iloc[a:a + 20_000]
+                    i, leaf = _reached(t, xs, _bounds(t, xs, k, p) if t.depth else np.full(len(xs), np.inf), p)
                     at = np.repeat(np.arange(len(i)), t.subs[leaf])
                     sub = np.concatenate([np.arange(s) for s in t.subs[leaf]]) if len(i) else np.zeros(0, int)
                     i, leaf = i[at], leaf[at]

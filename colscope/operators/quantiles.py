@@ -8,9 +8,20 @@ from pyspark.sql import DataFrame, functions as F
 
 BINS = 512
 GATHER = 20_000
+FEW = 4_000  # columns with fewer distinct values are counted value by value
 
 
-def _order_stats(df: DataFrame, want: dict[str, list[int]], bounds: dict[str, tuple[float, float, int]]):
+def _at_ranks(counted: list[tuple[float, int]], ranks: list[int], seen: int) -> dict[int, float]:
+    """Values at sorted ranks, walking counted values with ``seen`` rows before them."""
+    out, todo = {}, list(ranks)
+    for v, k in counted:
+        seen += k
+        while todo and todo[0] < seen:
+            out[todo.pop(0)] = v
+    return out
+
+
+def _order_stats(df: DataFrame, want: dict[str, list[int]], bounds: dict[str, tuple[float, float, int]], distinct: dict[str, int]):
     """Values at the given 0-based ranks of each column.
 
     Every pass counts the open brackets in ``BINS`` bins and keeps the bin that holds the rank, so a
@@ -23,6 +34,16 @@ def _order_stats(df: DataFrame, want: dict[str, list[int]], bounds: dict[str, tu
     for c, ranks in want.items():
         lo, hi, n = bounds[c]
         open_[(c, lo, hi, 0, n)] = sorted(set(ranks))
+    few = [c for c in want if bounds[c][2] > GATHER and distinct[c] < FEW]
+    if few:
+        counted = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("b"), F.col(c).cast("double").alias("v")) for i, c in enumerate(few)])))
+        counted = counted.where(F.col("v").isNotNull() & ~F.isnan("v"))
+        per: dict[int, list] = {}
+        for r in counted.groupBy("b", "v").count().collect():
+            per.setdefault(r["b"], []).append((r["v"], r["count"]))
+        for i, c in enumerate(few):
+            found.update({(c, r): v for r, v in _at_ranks(sorted(per[i]), sorted(set(want[c])), 0).items()})
+            del open_[(c, bounds[c][0], bounds[c][1], 0, bounds[c][2])]
     while open_:
         todo, leaves, open_ = open_, {}, {}
         brackets = []
@@ -45,11 +66,7 @@ def _order_stats(df: DataFrame, want: dict[str, list[int]], bounds: dict[str, tu
             for r in rows:
                 per.setdefault(r["b"], []).append((r["v"], r["count"]))
             for i, b in enumerate(keys):
-                seen, ranks = b[3], list(leaves[b])
-                for v, k in sorted(per.get(i, [])):
-                    seen += k
-                    while ranks and ranks[0] < seen:
-                        found[(b[0], ranks.pop(0))] = v
+                found.update({(b[0], r): v for r, v in _at_ranks(sorted(per.get(i, [])), leaves[b], b[3]).items()})
         if brackets:
             picks = []
             for i, (c, lo, hi, _, _) in enumerate(brackets):
@@ -79,14 +96,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[
         return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
 
     stats = df.agg(*[x for i, c in enumerate(cols) for x in (
-        F.min(seen(c)).alias(f"lo{i}"), F.max(seen(c)).alias(f"hi{i}"), F.count(seen(c)).alias(f"n{i}"))]).first()
-    want, bounds = {}, {}
+        F.min(seen(c)).alias(f"lo{i}"), F.max(seen(c)).alias(f"hi{i}"), F.count(seen(c)).alias(f"n{i}"),
+        F.approx_count_distinct(seen(c)).alias(f"u{i}"))]).first()
+    want, bounds, distinct = {}, {}, {}
     for i, c in enumerate(cols):
         n = stats[f"n{i}"]
         if n:
             bounds[c] = (stats[f"lo{i}"], stats[f"hi{i}"], n)
+            distinct[c] = stats[f"u{i}"]
             want[c] = [r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
-    found = _order_stats(df.select(*want), want, bounds) if want else {}
+    found = _order_stats(df.select(*want), want, bounds, distinct) if want else {}
     out: dict[str, list[float | None]] = {}
     for c in cols:
         if c not in want:

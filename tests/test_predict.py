@@ -46,7 +46,7 @@ def test_distance_correlation_of_several_outputs(spark):
 def test_neighbours_equal_brute_force(spark, monkeypatch, block, d, p):
     monkeypatch.setattr(NB, "BLOCK", block)
     monkeypatch.setattr(NB, "QUERY_BLOCK", block)
-    monkeypatch.setattr(NB, "SAMPLE", 256)
+    monkeypatch.setattr(NB, "CELL", block)
     rng = np.random.default_rng(d)
     x, q = np.round(rng.normal(size=(1500, d)), 1), np.round(rng.normal(size=(200, d)), 1)
     x[:500] = 0.3  # a third of the rows are copies

@@ -111,7 +111,7 @@ def test_sampled_settings_are_seeded_and_in_range():
 
 
 def test_task_ranks_planted_inputs_first(spark, planted):
-    out = colscope.relevance(planted.select("key", "f0", "f2", "f9", "y"), ["f0", "f2", "f9"], "y", {
+    out = colscope.relevance(planted.select("key", "f5", "f2", "f9", "y"), ["f5", "f2", "f9"], "y", {
         "keys": ["key"], "base_models": ["briskbagging", "briskknn"], "n_trials": 1, "bagging_estimators": 12, "n_neighbors": 8,
         "ensemble_n_trials": 1, "ensemble_bagging_estimators": 12, "knockoff_runs": 2, "fstats": ["ridge"]})
     assert out["xai_model"].orderBy("score").first()["feature"] == "f9"

@@ -9,7 +9,9 @@ from colscope.operators import clean as C, combine as K, profile as P, quantiles
 from colscope.operators.order import with_position
 
 
-def test_exact_quantiles_by_bracket_search(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 4000])
+def test_exact_quantiles_by_bracket_search(spark, monkeypatch, few):
+    monkeypatch.setattr(Q, "FEW", few)
     monkeypatch.setattr(Q, "GATHER", 5)
     monkeypatch.setattr(Q, "BINS", 4)
     rng = np.random.default_rng(0)
