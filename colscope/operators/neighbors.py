@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import cut
@@ -191,7 +192,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
         for f in frames:
             for g, rows in f.groupby("gid", sort=False):
                 t = plan[g]
-                x = np.array(rows["x"].tolist(), dtype=float)
+                x = np.stack(rows["x"].to_numpy())
                 leaf = _descend(t, x)
                 sub = rows["h"].to_numpy() % t.subs[leaf]
                 reps = t.salts[leaf]
@@ -201,7 +202,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
                                     "key": rows["key"].to_numpy()[at], "part": rows["part"].to_numpy()[at]})
                 for j in range(d):
                     out[f"x{j}"] = x[at, j]
-                y = np.array(rows["y"].tolist(), dtype=float).reshape(len(rows), o)
+                y = np.stack(rows["y"].to_numpy())
                 for j in range(o):
                     out[f"ny{j}"] = y[at, j]
                 yield out
@@ -212,7 +213,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
                 t = plan.get(g)
                 if t is None:
                     continue
-                x = np.array(rows["x"].tolist(), dtype=float)
+                x = np.stack(rows["x"].to_numpy())
                 for a in range(0, len(rows), 20_000):
                     xs, part = x[a:a + 20_000], rows.iloc[a:a + 20_000]
                     i, leaf = _reached(t, xs, _bounds(t, xs, k, p) if t.depth else np.full(len(xs), np.inf), p)
@@ -235,44 +236,50 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
     left = queries.select("gid", "key", "x", *carry, h).mapInPandas(place_queries, f"{ids}, {xs}{cs}")
     right = base.select("*", h).mapInPandas(place_base, f"{ids}, part int, {xs}, {ys}")
     xcols, ycols = [f"x{j}" for j in range(d)], [f"ny{j}" for j in range(o)]
-    cols = ["gid", "key", *carry, "d", "nkey", "part", *ycols]
+    nn_type = "array<struct<d:double,key:bigint,part:int,y:array<double>>>"
+
+    def matrix(t, names):
+        return np.column_stack([t.column(c).to_numpy() for c in names])
 
     def search(q, b):
         if not len(q) or not len(b):
-            return pd.DataFrame({c: [] for c in cols})
-        b = b.sort_values("key", kind="stable")
-        out = []
-        for part, bp in b.groupby("part"):
-            bx, bk = bp[xcols].to_numpy(), bp["key"].to_numpy()
-            by = bp[ycols].to_numpy()
-            kk = min(k, len(bp))
-            step = max(1, (1 << 21) // len(bp))
-            qx = q[xcols].to_numpy()
-            for a in range(0, len(q), step):
-                dist = distances(qx[a:a + step], bx, p)
+            return pa.table({c: pa.array([], q.schema.field(c).type) for c in ["gid", "key", *carry]} | {"near": pa.array([], near_type)})
+        bk, bpart = b.column("key").to_numpy(), b.column("part").to_numpy()
+        bx, by, qx = matrix(b, xcols), matrix(b, ycols), matrix(q, xcols)
+        hits = []
+        for part in np.unique(bpart):
+            # base rows in key order, so that position decides ties
+            mine = np.flatnonzero(bpart == part)
+            mine = mine[np.argsort(bk[mine], kind="stable")]
+            kk = min(k, len(mine))
+            step = max(1, (1 << 21) // len(mine))
+            for a in range(0, len(qx), step):
+                dist = distances(qx[a:a + step], bx[mine], p)
                 kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
                 i, j = np.nonzero(dist <= kth[:, None])
                 order = np.lexsort((j, dist[i, j], i))
                 i, j = i[order], j[order]
-                start = np.searchsorted(i, np.arange(len(dist)))
-                keep = np.arange(len(i)) - start[i] < kk
+                keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(dist)))[i] < kk
                 i, j = i[keep], j[keep]
-                f = q.iloc[a + i][["gid", "key", *carry]].reset_index(drop=True)
-                f["d"], f["nkey"], f["part"] = dist[i, j], bk[j], part
-                for c in range(o):
-                    f[ycols[c]] = by[j, c]
-                out.append(f[cols])
-        return pd.concat(out)
-
-    found = left.groupBy("gid", "cell", "sub", "salt").cogroup(right.groupBy("gid", "cell", "sub", "salt")).applyInPandas(
-        search, f"gid int, key bigint{cs}, d double, nkey bigint, part int, {ys}")
-    if max(int(t.subs.sum()) for t in plan.values()) > 16:
-        # many blocks per query: drop what cannot be among the k before lists are built
-        w = W.partitionBy("gid", "key", "part").orderBy("d", "nkey")
-        found = found.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
-    one = F.struct(F.col("d"), F.col("nkey").alias("key"), F.col("part"), F.array(*ycols).alias("y"))
+                hits.append((a + i, dist[i, j], mine[j]))
+        row, dd, at = (np.concatenate(v) for v in zip(*hits))
+        order = np.argsort(row, kind="stable")
+        row, dd, at = row[order], dd[order], at[order]
+        y = pa.ListArray.from_arrays(pa.array(np.arange(0, len(row) * o + 1, o, dtype=np.int32)), pa.array(by[at].ravel()))
+        one = pa.StructArray.from_arrays([pa.array(dd), pa.array(bk[at]), pa.array(bpart[at].astype(np.int32)), y], fields=list(near_type.value_type))
+        near = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(qx) + 1)).astype(np.int32)), one)
+        return pa.table({c: q.column(c) for c in ["gid", "key", *carry]} | {"near": near})
+
+    near_type = pa.list_(pa.struct([("d", pa.float64()), ("key", pa.int64()), ("part", pa.int32()), ("y", pa.list_(pa.float64()))]))
+    found = left.groupBy("gid", "cell", "sub", "salt").cogroup(right.groupBy("gid", "cell", "sub", "salt")).applyInArrow(
+        search, f"gid int, key bigint{cs}, near {nn_type}")
+    if max(int(t.subs.sum()) for t in plan.values()) > 256:
+        # a query may meet very many blocks: drop what cannot be among the k before lists are put together
+        w = W.partitionBy("gid", "key", "n.part").orderBy("n.d", "n.key")
+        found = found.withColumn("n", F.explode("near")).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+        found = found.select("gid", "key", *carry, F.array("n").alias("near"))
     return found.groupBy("gid", "key").agg(*[F.first(c).alias(c) for c in carry],
-                                           F.array_sort(F.collect_list(one)).alias("nn"))
+                                           F.array_sort(F.flatten(F.collect_list("near"))).alias("nn"))
 
 
 def best_of(nn: str, k: int, but_part: int | None = None) -> str:

@@ -73,7 +73,7 @@ def model_classification(spark, sf):
 def stack(spark, sf):
     """Bagged trees over out-of-fold predictions of two base models."""
     rows = _rows(spark, sf)
-    base = [MD.fit_base(rows, n, SMALL) for n in ("briskbagging", "briskknn")]
+    base = [MD.fit_base(rows, n, SMALL) for n in ("briskbagging", "slugrf")]
     return spark.createDataFrame([("stack", *map(float, MD.fit_stack(rows, base, SMALL).scores))], "model string, train double, test double")
 
 
