@@ -9,7 +9,6 @@ that alone fills a strip needs no work there, as its distances are zero, so a ho
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd

@@ -22,7 +22,7 @@ CELL = 512          # base rows per cell aimed at while the sample is large enou
 BLOCK = 4096        # base rows per sub-block of a cell that came out larger
 QUERY_BLOCK = 50_000
 SAMPLE_SHARE = 0.5  # of the base, up to the total below over all groups
-SAMPLE_TOTAL = 1 << 20
+SAMPLE_VALUES = 1 << 19  # coordinates in all samples together: what the driver and each task hold
 MAX_DEPTH = 14
 
 
@@ -118,7 +118,7 @@ def _plan(base: DataFrame, queries: DataFrame, d: int, k: int) -> dict[int, Tree
     sizes = both.groupBy("gid", "b").agg(F.count("*").alias("n"), (F.max("part") + 1).alias("parts")).collect()
     nb, np_ = {r["gid"]: r["n"] for r in sizes if r["b"]}, {r["gid"]: r["parts"] for r in sizes if r["b"]}
     nq = {r["gid"]: r["n"] for r in sizes if not r["b"]}
-    most = max(SAMPLE_TOTAL // max(len(nb), 1), 8 * k)
+    most = max(SAMPLE_VALUES // max(len(nb) * d, 1), 8 * k)
 
     def sampled(df, counts, seed):
         big = {g: min(SAMPLE_SHARE, most / n) for g, n in counts.items() if nb.get(g, 0) > 2 * CELL}
@@ -185,7 +185,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
     if not plan:
         empty = T.StructType(queries.select("gid", "key", *carry).schema.fields)
         return spark.createDataFrame([], empty.add("nn", "array<struct<d:double,key:bigint,part:int,y:array<double>>>"))
-    # the tasks get the trees and samples along with their code: at most SAMPLE_TOTAL points altogether
+    # the tasks get the trees and samples along with their code: at most SAMPLE_VALUES coordinates altogether
     carry = list(carry)
 
     def place_base(frames):

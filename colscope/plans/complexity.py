@@ -201,11 +201,12 @@ SUMMARY_SCHEMA = ("trial int, step string, fun_id string, dim_low int, rel_err d
 
 
 def complexity(data_high: DataFrame, data_id: str | None = None, columns=("All",), cutoff_loss: float = 0.99, functions=("All",),
-               keys: list[str] | None = None, matrix_col: str | None = None, seed: int = 1, methods=None, budget=trial_budget,
+               docu: bool = False, keys: list[str] | None = None, matrix_col: str | None = None, seed: int = 1, methods=None, budget=trial_budget,
                scale: bool = True) -> tuple[int, list[dict], DataFrame]:
     """Intrinsic dimension, the best results at it, and a summary of everything tried.
 
     ``matrix_col`` names a ready array column; otherwise all numeric columns but the keys are used.
+    ``data_id`` is a label for the caller, and the summary is always returned, whatever ``docu`` says.
     """
     spark = data_high.sparkSession
     functions = [functions] if isinstance(functions, str) else list(functions or ["All"])

@@ -104,13 +104,17 @@ def greedy_scan(df: DataFrame, pool: list[str], input_cols: int, target_sets, me
 
 def run_predictability(data: DataFrame, input_cols: int = 1, output_cols: int = 1, col_set=None, primkey_cols=None,
                        targets=None, method: str = "kNN", scoring: str = "r2", scaling: str = "test", hidden_layers=None,
-                       alphas=None, greedy: bool = False, refined_n_best: int = 1, random_state_split: int = 1,
-                       with_dcor: bool = True, refine_options: dict | None = None) -> Predictability:
-    """How well each choice of input columns predicts each choice of target columns."""
+                       alphas=None, max_iter: int = 160, greedy: bool = False, refined_n_best: int = 1, n_jobs: int = -1, verbose: int = 0,
+                       random_state_split: int = 1, with_dcor: bool = True, refine_options: dict | None = None) -> Predictability:
+    """How well each choice of input columns predicts each choice of target columns.
+
+    ``max_iter`` bounds the passes of the networks over the training rows. ``n_jobs`` and ``verbose``
+    are accepted and have no effect, as Spark schedules the work.
+    """
     keys, targets = list(primkey_cols or []), list(targets or [])
     cols = resolve_roles(data, keys, col_set)
     options = dict(keys=keys, scoring=scoring, scaling=scaling, hidden_layers=hidden_layers, alphas=alphas,
-                   seed=random_state_split, with_dcor=with_dcor)
+                   seed=random_state_split, with_dcor=with_dcor, rounds=max(1, min(math.ceil(max_iter / 20), 50)))
     if greedy:
         _, sets = get_column_combinations(cols, 1, output_cols, targets, return_targets=True)
         pool = [c for c in cols if c not in targets]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import colscope
 from colscope.operators import linear_dim as L, nonlinear_dim as N, quality as Q
-from colscope.operators.matrix import as_matrix, matrix_moments, standardize_matrix
+from colscope.operators.matrix import matrix_moments, standardize_matrix
 from colscope.session import cut
 
 
