@@ -20,7 +20,7 @@ HIDDEN = [(12,), (50,), (70, 5)]
 ALPHAS = [0.001, 0.0001, 0.00001]
 
 BATCH, B1, B2, EPS = 200, 0.9, 0.999, 1e-8
-ROW_VISITS = 400_000  # rows a task looks at per round, each network counted once
+ROW_VISITS = 100_000  # rows a task looks at per round, each network counted once
 
 
 @dataclass
@@ -112,7 +112,7 @@ def _local_steps(net: Net, x: np.ndarray, y: np.ndarray, epochs: int, rate: floa
     return w
 
 
-def train(points: DataFrame, nets: list[Net], rounds: int = 8, max_epochs: int = 20, rate: float = 0.01,
+def train(points: DataFrame, nets: list[Net], rounds: int = 8, max_epochs: int = 40, rate: float = 0.01,
           tol: float = 1e-4, chunk: int = 20_000, seed: int = 1) -> list[Net]:
     """Fit the networks to ``points`` (gid int, fold int, x array, y array).
 
@@ -120,7 +120,9 @@ def train(points: DataFrame, nets: list[Net], rounds: int = 8, max_epochs: int =
     grow with the partition; chunks continue from each other's weights. The more rows a task has, the
     fewer times it goes over them in a round.
     """
-    rows = cut(points.select("gid", "fold", "x", "y"), "mlp")
+    # averaging needs tasks with rows of the same kind, so rows that lie in some order are dealt out first
+    n_parts = max(points.rdd.getNumPartitions(), points.sparkSession.sparkContext.defaultParallelism)
+    rows = cut(points.select("gid", "fold", "x", "y").repartition(n_parts), "mlp")
     per_task = rows.count() / max(rows.rdd.getNumPartitions(), 1)
     epochs = int(min(max(ROW_VISITS // max(per_task, 1), 1), max_epochs))
     for rnd in range(rounds):
