@@ -251,7 +251,7 @@ def residuals(spark, sf):
 
 
 @query("error_histogram", f"{SCAN_WITH}, e AS (SELECT tid, round(p - y, 6) AS error FROM pr WHERE method = 'linear'), x AS (SELECT tid, min(error) lo, max(error) hi, greatest(floor(count(*) * 0.1), 1) AS bins FROM e GROUP BY 1) "
-       "SELECT tid AS tuple_id, CAST(least(floor((error - lo) * bins / (hi - lo)) + 1, bins) AS INTEGER) AS bin, count(*) AS n FROM e JOIN x USING (tid) GROUP BY 1, 2")
+       "SELECT tid AS tuple_id, CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((error - lo) * bins / (hi - lo)) + 1, bins) END AS INTEGER) AS bin, count(*) AS n FROM e JOIN x USING (tid) GROUP BY 1, 2")
 def error_histogram(spark, sf):
     rows = P.residuals(part_scan(spark, sf, with_dcor=False).predictions, columns=("linear",)).withColumn("error", F.round("error", 6))
     return P.error_histogram(rows, ["tuple_id"])
