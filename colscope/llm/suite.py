@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import chat, mix
+from . import bpe, chat, mix
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,10 @@ def op10(spark, sf_dir):
     first = F.get("copies", F.lit(0))["position"]
     # the mix in order of first use, documents that it leaves out last
     return placed.orderBy(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_byte_bpe")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
