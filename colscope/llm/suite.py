@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import bpe, chat, mix
+from . import bpe, chat, langid, mix, quality
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +72,13 @@ def op7(spark, sf_dir):
     import public_tokenizers
 
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
+@query("op9_language_mixture")
+def op9(spark, sf_dir):
+    return langid.detect(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pu_quality")
+def op5(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
