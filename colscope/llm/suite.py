@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import bpe, chat, langid, mix, quality
+from . import bpe, chat, langid, mix, neardup, quality, topk
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -82,3 +82,30 @@ def op9(spark, sf_dir):
 @query("op5_pu_quality")
 def op5(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+GOOD = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op1_vector_neardup", f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND {GOOD} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a), m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m.m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m.m, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id""")
+def op1(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_pivot_topk", f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE {GOOD}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
+def op3(spark, sf_dir):
+    grid = F.transform("embedding", lambda x: F.floor(F.lit(1024) * x.cast("double")).cast("double"))
+    # rounding to a grid would hide components that are no numbers
+    rows = table(spark, sf_dir, "embeddings").filter(neardup.usable(F.col("embedding"))).select("vec_id", grid.alias("x"))
+    return topk.top_k(rows, F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
