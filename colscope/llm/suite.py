@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import bpe, chat, langid, mix, neardup, quality, topk
+from . import bpe, chat, jaccard, langid, mix, neardup, quality, topk
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,16 @@ def op3(spark, sf_dir):
     # rounding to a grid would hide components that are no numbers
     rows = table(spark, sf_dir, "embeddings").filter(neardup.usable(F.col("embedding"))).select("vec_id", grid.alias("x"))
     return topk.top_k(rows, F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+
+
+@query("op8_jaccard_join", r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+p AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.i >= 80 * (x.n + y.n - o.i)),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m.m, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = doc_id""")
+def op8(spark, sf_dir):
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
