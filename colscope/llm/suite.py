@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import bpe, chat, jaccard, langid, mix, neardup, quality, topk
+from . import bpe, chat, jaccard, langid, mix, neardup, quality, substrings, topk
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +122,17 @@ m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m.m, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = doc_id""")
 def op8(spark, sf_dir):
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op4_substring_dedup", r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i FROM t),
+g AS (SELECT s.doc_id, s.i, md5(array_to_string(t.w[s.i:s.i + 19], ' ')) AS h FROM s JOIN t USING (doc_id)),
+d AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+r AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS gone FROM d GROUP BY doc_id),
+p AS (SELECT t.doc_id, t.w, unnest(range(1, len(t.w) + 1)) AS i FROM t),
+x AS (SELECT doc_id, unnest(gone) AS i FROM r),
+k AS (SELECT p.doc_id, string_agg(p.w[p.i], ' ' ORDER BY p.i) AS kept, count(*) AS n FROM p LEFT JOIN x ON x.doc_id = p.doc_id AND x.i = p.i WHERE x.i IS NULL GROUP BY p.doc_id)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, (len(t.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id""")
+def op4(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
