@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import bpe, chat, jaccard, langid, mix, neardup, quality, substrings, topk
+from . import bpe, chat, htmltext, jaccard, langid, mix, neardup, quality, substrings, topk
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,8 @@ k AS (SELECT p.doc_id, string_agg(p.w[p.i], ' ' ORDER BY p.i) AS kept, count(*)
 SELECT t.doc_id, len(t.w)::BIGINT AS n_words, (len(t.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id""")
 def op4(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query("op6_dom_trees")
+def op6(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
