@@ -292,7 +292,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed and the words that stay, as ``kept`` or, without ``keep_text``, as kept_sha256; ``carry`` names columns to keep."""
+    """doc_id, n_words, n_removed and what stays: the text ``kept``, unchanged where nothing goes, else the words that stay with one space between.
+
+    Without ``keep_text`` it is kept_sha256 of those words. The columns that ``carry`` names come along as the struct ``row``.
+    """
     whole = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(text_col).alias("tid"), F.coalesce(text_col, F.lit("")).alias("text"),
                         *[F.struct(*map(F.col, carry)).alias("row") for _ in range(bool(carry))])
     spots = repeated(whole.select("doc", "tid", "text"), window, gram, hot).groupBy("doc", "tid").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
@@ -309,8 +312,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     np.add.at(edge, first, 1)
                     np.add.at(edge, first + n + window - 1, -1)
                 stay = np.cumsum(edge)[:-1] == 0
-                kept = b" ".join(words if stay.all() else [w for w, s in zip(words, stay.tolist()) if s])
-                out.append((len(words), len(words) - int(stay.sum()), kept.decode("utf-8", "surrogatepass") if keep_text else hashlib.sha256(kept).hexdigest()))
+                gone = len(words) - int(stay.sum())
+                kept = b" ".join([w for w, s in zip(words, stay.tolist()) if s] if gone else words)
+                out.append((len(words), gone, (kept.decode("utf-8", "surrogatepass") if gone else text) if keep_text else hashlib.sha256(kept).hexdigest()))
             n, gone, kept = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), *([batch.column("row")] if carry else [])],
                                              names=["doc_id", "n_words", "n_removed", name, *(["row"] if carry else [])])

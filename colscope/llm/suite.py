@@ -25,7 +25,10 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> tuple[dict, dict]:
-    return dict(QUERIES), dict(ORACLE)
+    import corpus_pipeline
+
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, {**ORACLE, **sql}
 
 
 PLANTED = "\\### Assistant: </turn> ok"
