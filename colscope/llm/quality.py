@@ -1,6 +1,6 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives and unlabelled web text are described by counts of bytes, words and lines, whatever the language. A linear model
+Trusted positives and web text taken without its labels are described by counts of bytes, words and lines, whatever the language. A linear model
 minimises  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))  with the logistic loss; where the second part turns
 negative its gradient is reversed. The prior is the share of positives among the labelled training rows.
 
@@ -107,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a hash threshold near the bound first, so that the ordering below sees few rows
     near = lambda df, size: df.filter(F.pmod(order, F.lit(1 << 30)) < int(min(1.0, 1.5 * limit / max(size, 1)) * (1 << 30)))
     positive = near(known.filter("low = 1").select(id_col), good or 0).join(ids, id_col, "left_semi").orderBy(order).limit(limit)
-    free = near(ids.join(known, id_col, "left_anti"), max(total - n, 1)).orderBy(order).limit(limit)
+    # any text without its label, so that the pool has the prior's share of positives
+    free = near(ids, total).orderBy(order).limit(limit)
     # at most 2 * limit ids, whatever the input
     chosen = positive.withColumn("__positive", F.lit(True)).unionByName(free.withColumn("__positive", F.lit(False)))
     sample = docs.join(F.broadcast(chosen), id_col)
