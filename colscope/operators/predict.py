@@ -30,9 +30,16 @@ Pairs = list[tuple[tuple[str, ...], tuple[str, ...]]]
 
 
 def with_key(df: DataFrame, keys: list[str] | None) -> DataFrame:
-    """Give each row a unique ``__key BIGINT``: the single integer key column, or a position in key order."""
+    """Give each row a unique ``__key BIGINT``: a single integer key column that has each value once, or a position in key order.
+
+    Rows that have a ``__key`` already keep it, so that a caller can number them once for several steps.
+    """
+    if "__key" in df.columns:
+        return df
     if keys and len(keys) == 1 and dict(df.dtypes)[keys[0]] in ("bigint", "int", "smallint", "tinyint"):
-        return df.withColumn("__key", F.col(keys[0]).cast("long"))
+        counted = df.groupBy(F.col(keys[0]).alias("k")).count()
+        if counted.filter("k IS NULL OR count > 1").isEmpty():
+            return df.withColumn("__key", F.col(keys[0]).cast("long"))
     if keys:
         return with_position(df, list(keys), "__key")
     # no key: number the rows once and store them, since such numbers change when recomputed

@@ -108,13 +108,15 @@ def run_predictability(data: DataFrame, input_cols: int = 1, output_cols: int =
                        random_state_split: int = 1, with_dcor: bool = True, refine_options: dict | None = None) -> Predictability:
     """How well each choice of input columns predicts each choice of target columns.
 
-    ``max_iter`` bounds the passes of the networks over the training rows. ``n_jobs`` and ``verbose``
+    ``max_iter`` bounds the passes of the networks over the training rows; they end earlier once no weight moves by the tolerance. ``n_jobs`` and ``verbose``
     are accepted and have no effect, as Spark schedules the work.
     """
     keys, targets = list(primkey_cols or []), list(targets or [])
     cols = resolve_roles(data, keys, col_set)
+    # numbered once: scan, greedy rounds and refinement share one split
+    data = cut(P.with_key(data, keys), "keyed")
     options = dict(keys=keys, scoring=scoring, scaling=scaling, hidden_layers=hidden_layers, alphas=alphas,
-                   seed=random_state_split, with_dcor=with_dcor, rounds=max(1, min(math.ceil(max_iter / 20), 50)))
+                   seed=random_state_split, with_dcor=with_dcor, rounds=max(1, math.ceil(max_iter / 20)))
     if greedy:
         _, sets = get_column_combinations(cols, 1, output_cols, targets, return_targets=True)
         pool = [c for c in cols if c not in targets]

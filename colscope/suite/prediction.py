@@ -292,6 +292,13 @@ def scan_with_gaps(spark, sf):
     return P.baseline_frame(spark, fits).select("tuple_id", "n_train", "n_test", F.round(F.col("mean")[0], 6).alias("mean"))
 
 
+@query("scan_repeated_key", "SELECT 0 AS tuple_id, count(*) AS predicted, round(sum(p_retailprice), 2) AS y_sum FROM part")
+def scan_repeated_key(spark, sf):
+    """A key column whose values repeat names no row: every complete row still gets its prediction."""
+    run = PP.scan_tuples(table(spark, sf, "part"), [(("p_partkey",), ("p_retailprice",))], keys=["p_size"], with_dcor=False)
+    return run.predictions.groupBy("tuple_id").agg(F.count("main0").alias("predicted"), F.round(F.sum("y0"), 2).alias("y_sum"))
+
+
 @query("covariance", "WITH l AS (SELECT * FROM lineitem) " + union_all(
     [f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 4) AS cov FROM l" for a in ("l_quantity", "l_discount", "l_tax") for b in ("l_quantity", "l_discount", "l_tax")]))
 def covariance(spark, sf):
@@ -324,7 +331,8 @@ def scale_standard(spark, sf):
     return _prepared(spark, sf, "standard").select("key", F.round(F.col("x")[0], 6).alias("a"), F.round(F.col("x")[1], 6).alias("b"))
 
 
-@query("scale_robust")
+@query("scale_robust", "WITH q AS (SELECT quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS a, quantile_cont(o_custkey::DOUBLE, [0.25, 0.5, 0.75]) AS b FROM orders) "
+       "SELECT o_orderkey AS key, round((o_totalprice - q.a[2]) / (q.a[3] - q.a[1]), 6) AS a, round((o_custkey - q.b[2]) / (q.b[3] - q.b[1]), 6) AS b FROM orders, q")
 def scale_robust(spark, sf):
     return _prepared(spark, sf, "robust").select("key", F.round(F.col("x")[0], 6).alias("a"), F.round(F.col("x")[1], 6).alias("b"))
 
