@@ -37,7 +37,7 @@ def _order_stats(df: DataFrame, want: dict[str, list[int]], bounds: dict[str, tu
     few = [c for c in want if bounds[c][2] > GATHER and distinct[c] < FEW]
     if few:
         counted = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("b"), F.col(c).cast("double").alias("v")) for i, c in enumerate(few)])))
-        counted = counted.where(F.col("v").isNotNull() & ~F.isnan("v"))
+        counted = counted.where(F.abs("v") < F.lit(math.inf))
         per: dict[int, list] = {}
         for r in counted.groupBy("b", "v").count().collect():
             per.setdefault(r["b"], []).append((r["v"], r["count"]))
@@ -51,7 +51,7 @@ def _order_stats(df: DataFrame, want: dict[str, list[int]], bounds: dict[str, tu
             c, lo, hi, skip, n = b
             if lo == hi:
                 found.update({(c, r): lo for r in ranks})
-            elif n <= GATHER or math.nextafter(lo, hi) == hi:
+            elif n <= GATHER or math.nextafter(lo, hi) == hi or hi / BINS - lo / BINS == 0.0:
                 leaves[b] = ranks
             else:
                 brackets.append(b)
@@ -71,8 +71,9 @@ def _order_stats(df: DataFrame, want: dict[str, list[int]], bounds: dict[str, tu
             picks = []
             for i, (c, lo, hi, _, _) in enumerate(brackets):
                 v = F.col(c).cast("double")
-                width = (hi - lo) / BINS
-                pos = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(BINS - 1))
+                # divided before they are subtracted, as hi - lo may be beyond the largest double
+                width = hi / BINS - lo / BINS
+                pos = F.least(F.greatest(F.floor(v / F.lit(width) - F.lit(lo / width)), F.lit(0)), F.lit(BINS - 1))
                 picks.append(F.when(v.between(lo, hi), F.struct(F.lit(i).alias("b"), pos.cast("int").alias("bin"), v.alias("v"))))
             rows = (df.select(F.explode(F.array_compact(F.array(*picks))).alias("s")).select("s.*")
                     .groupBy("b", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -91,30 +92,48 @@ def _order_stats(df: DataFrame, want: dict[str, list[int]], bounds: dict[str, tu
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles, nulls and NaN left out, for each column."""
+    """Linearly interpolated quantiles, nulls and NaN left out, for each column. Infinities are counted apart."""
     def seen(c):
-        return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        v = F.col(c).cast("double")
+        return F.when(F.abs(v) < F.lit(math.inf), v)
+
+    def ends(c, sign):
+        return F.count(F.when(F.col(c).cast("double") == F.lit(sign * math.inf), 1))
 
     stats = df.agg(*[x for i, c in enumerate(cols) for x in (
         F.min(seen(c)).alias(f"lo{i}"), F.max(seen(c)).alias(f"hi{i}"), F.count(seen(c)).alias(f"n{i}"),
-        F.approx_count_distinct(seen(c)).alias(f"u{i}"))]).first()
-    want, bounds, distinct = {}, {}, {}
+        F.approx_count_distinct(seen(c)).alias(f"u{i}"), ends(c, -1).alias(f"below{i}"), ends(c, 1).alias(f"above{i}"))]).first()
+    want, bounds, distinct, rows = {}, {}, {}, {}
     for i, c in enumerate(cols):
-        n = stats[f"n{i}"]
+        n, below = stats[f"n{i}"], stats[f"below{i}"]
+        total = n + below + stats[f"above{i}"]
+        if total:
+            rows[c] = (total, below, n)
         if n:
             bounds[c] = (stats[f"lo{i}"], stats[f"hi{i}"], n)
             distinct[c] = stats[f"u{i}"]
-            want[c] = [r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
+            places = [r - below for p in probs for r in (math.floor(p * (total - 1)), math.ceil(p * (total - 1)))]
+            want[c] = [r for r in places if 0 <= r < n]
     found = _order_stats(df.select(*want), want, bounds, distinct) if want else {}
     out: dict[str, list[float | None]] = {}
+
+    def value(c, rank):
+        total, below, n = rows[c]
+        return -math.inf if rank < below else found[(c, rank - below)] if rank < below + n else math.inf
+
     for c in cols:
-        if c not in want:
+        if c not in rows:
             out[c] = [None] * len(probs)
             continue
-        n = bounds[c][2]
+        n = rows[c][0]
         out[c] = []
         for p in probs:
             pos = p * (n - 1)
-            a, b = found[(c, math.floor(pos))], found[(c, math.ceil(pos))]
-            out[c].append(a + (b - a) * (pos - math.floor(pos)))
+            a, b, part = value(c, math.floor(pos)), value(c, math.ceil(pos)), pos - math.floor(pos)
+            if part == 0.0 or a == b:
+                out[c].append(a)
+            elif math.isinf(b - a):  # infinite ends, or a distance beyond the largest double
+                out[c].append(a * (1 - part) + b * part)
+            else:
+                out[c].append(a + (b - a) * part)
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..operators import clean as C, combine as K, profile as P, ranking as R
 from ..operators.dcor import distance_correlation
+from ..operators.quantiles import exact_quantiles
 from ..sources import tables as S
 from ..session import scratch_path
 from .common import query, rounded, sql_below, table, union_all
@@ -280,6 +281,18 @@ def describe(spark, sf):
     return rounded(P.describe(holes(spark, sf), ["a", "b", "c", "d"]))
 
 
+WILD = "SELECT CASE WHEN l_orderkey % 50 = 0 THEN {inf} WHEN l_orderkey % 50 = 1 THEN -{inf} WHEN l_orderkey % 50 = 2 THEN 1e300 * l_extendedprice ELSE l_extendedprice END AS v FROM lineitem"
+
+
+@query("quantiles_infinite", f"SELECT round(quantile_cont(v, 0.25), 5) AS q1, round(quantile_cont(v, 0.5), 5) AS q2, round(quantile_cont(v, 0.75), 5) AS q3 FROM ({WILD.format(inf="CAST('inf' AS DOUBLE)")})")
+def quantiles_infinite(spark, sf):
+    """Quartiles of a column with infinities and a range beyond the largest double."""
+    o, p = F.col("l_orderkey") % 50, F.col("l_extendedprice")
+    v = F.when(o == 0, F.lit(float("inf"))).when(o == 1, F.lit(float("-inf"))).when(o == 2, p * F.lit(1e300)).otherwise(p)
+    got = exact_quantiles(table(spark, sf, "lineitem").select(v.alias("v")), ["v"], [0.25, 0.5, 0.75])["v"]
+    return spark.createDataFrame([tuple(round(q, 5) for q in got)], "q1 double, q2 double, q3 double")
+
+
 @query("column_stats", "WITH h AS (SELECT * FROM lineitem) " + union_all(
     [f"SELECT '{c}' AS \"column\", round(avg({c}), 5) mean, round(stddev_pop({c}), 5) std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM h" for c in NUM]))
 def column_stats(spark, sf):
