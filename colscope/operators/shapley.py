@@ -69,21 +69,22 @@ def shapley_values(rows: DataFrame, predict: Callable[[DataFrame], DataFrame], d
                    permutations: int = 16, seed: int = 1) -> DataFrame:
     """``key, phi ARRAY`` for rows ``key, x`` (and ``base ARRAY`` per row unless a common baseline is given).
 
-    ``predict`` adds a column ``p`` to rows with ``key, x, features``.
+    ``predict`` adds a column ``p`` to rows with ``key, x, features`` and keeps the others. Values of rows with one key are added up.
     """
     masks, coefs = coalition_weights(d) if d <= EXACT_UP_TO else permutation_weights(d, permutations, seed)
     base = F.array(*map(F.lit, map(float, baseline))) if baseline is not None else F.col("base")
     plan = rows.sparkSession.createDataFrame([(i, m.tolist(), c.tolist()) for i, (m, c) in enumerate(zip(masks, coefs))],
                                              "mask int, on array<double>, coef array<double>")
-    src = rows.select("key", "x", base.alias("base"), F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("mask"))
+    # rows are numbered, so that a number per hybrid fits whatever the keys are
+    numbered = with_position(rows.select(F.col("key").alias("owner"), "x", base.alias("base")), ["owner"], "row")
+    src = numbered.select("owner", "row", "x", "base", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("mask"))
     # the table of hybrids depends on the number of features alone
     mixed = src.join(F.broadcast(plan), "mask")
     hybrid = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.when(F.col("on")[i] == 1, F.col("x")[i]).otherwise(F.col("base")[i]))
     # a neighbour model joins on key, which has to be unique per hybrid
-    mixed = mixed.select((F.col("key") * len(masks) + F.col("mask")).alias("key"), "coef", hybrid.alias("x"))
+    mixed = mixed.select((F.col("row") * len(masks) + F.col("mask")).alias("key"), "owner", "coef", hybrid.alias("x"))
     got = predict(mixed.withColumn("features", array_to_vector("x")))
-    owner = F.floor(F.col("key") / len(masks)).cast("long").alias("key")
-    sums = got.select(owner, *[(F.col("coef")[j] * F.col("p")).alias(f"f{j}") for j in range(d)]).groupBy("key").agg(
+    sums = got.select(F.col("owner").alias("key"), *[(F.col("coef")[j] * F.col("p")).alias(f"f{j}") for j in range(d)]).groupBy("key").agg(
         *[F.sum(f"f{j}").alias(f"f{j}") for j in range(d)])
     return sums.select("key", F.array(*[f"f{j}" for j in range(d)]).alias("phi"))
 
@@ -109,11 +110,8 @@ def background_shapley(rows: DataFrame, predict, d: int, share: float = BACKGROU
                        seed: int = 1) -> DataFrame:
     """Shapley values against sampled background rows, averaged over the draws of each row."""
     drawn = with_background(rows.select("key", "x"), share, draws, seed)
-    phi = shapley_values(drawn.select((F.col("key") * draws + F.col("draw")).alias("key"), "x", "base"), predict, d,
-                         permutations=permutations, seed=seed)
-    own = F.floor(F.col("key") / draws).cast("long").alias("key")
-    mean = phi.select(own, *[F.col("phi")[j].alias(f"f{j}") for j in range(d)]).groupBy("key").agg(*[F.avg(f"f{j}").alias(f"f{j}") for j in range(d)])
-    return mean.select("key", F.array(*[f"f{j}" for j in range(d)]).alias("phi"))
+    phi = shapley_values(drawn.select("key", "x", "base"), predict, d, permutations=permutations, seed=seed)
+    return phi.select("key", F.transform("phi", lambda v: v / draws).alias("phi"))
 
 
 def integrated_gradients(rows: DataFrame, gradient: Callable[[np.ndarray], np.ndarray], steps: int = IG_STEPS) -> DataFrame:
