@@ -6,14 +6,13 @@ Rows have ``key BIGINT, x ARRAY<DOUBLE>, features VECTOR, label DOUBLE, fold INT
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import metrics as M
@@ -56,7 +55,7 @@ def sample_params(name: str, lim: Limits) -> list[dict]:
 
     depth = min(lim.max_depth, MAX_TREE_DEPTH)
     draw = {
-        "briskbagging": lambda: {"numTrees": whole(10, lim.bagging_estimators)},
+        "briskbagging": lambda: {"numTrees": whole(10, lim.bagging_estimators), "maxDepth": depth},
         "briskknn": lambda: {"k": whole(5, lim.n_neighbors), "weights": ["uniform", "distance"][whole(0, 1)]},
         "briskxgboost": lambda: {"maxDepth": whole(3, min(10, depth)), "stepSize": rate(0.01, 0.3), "minInfoGain": rate(1e-6, 1e-2),
                                  "minInstancesPerNode": whole(1, 10), "maxIter": lim.boosted_round},
@@ -80,16 +79,42 @@ def build_estimator(name: str, classification: bool, seed: int):
     if name in ("briskbagging", "slugrf"):
         # all features at every split and bootstrapped rows: bagged trees
         kind = RandomForestClassifier if classification else RandomForestRegressor
-        est = kind(featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed)
-        return est.setMaxDepth(12) if name == "briskbagging" else est
+        return kind(featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed)
     return (GBTClassifier if classification else GBTRegressor)(seed=seed)
 
 
-def _evaluator(classification: bool, scoring: str):
-    if classification:
-        return MulticlassClassificationEvaluator(metricName="logLoss" if scoring == "log_loss" else "f1")
-    name = {"r2": "r2", "RMSE": "rmse", "MAE": "mae"}.get(M.SCORING.get(scoring, ("r2",))[0], "r2")
-    return RegressionEvaluator(metricName=name)
+def search_scorer(classification: bool, scoring):
+    """Aggregate of (truth, prediction, probability of label 1) by which settings are compared: larger is better.
+
+    ``scoring`` is a name or a callable (truth, prediction) -> aggregate Column; an unknown name is an error.
+    """
+    if callable(scoring):
+        return lambda y, p, q: scoring(y, p)
+    if not classification:
+        named = M.resolve_scorer(scoring)
+        return lambda y, p, q: named(y, p)
+    if scoring == "log_loss":
+        return lambda y, p, q: -M.log_loss(y, q)
+    if scoring == "f1":
+        return lambda y, p, q: M.f1(y, p)
+    raise ValueError(f"unknown scoring {scoring!r}; known: ['f1', 'log_loss'] or a callable")
+
+
+def _search_trees(est, train: DataFrame, params: list[dict], classification: bool, scorer, parallelism: int) -> dict:
+    """Best settings by the mean score over the hash folds; each fit is scored by one aggregate, several fits run side by side."""
+    folds = sorted(r[0] for r in train.select("fold").distinct().collect())
+
+    def one(task):
+        p, f = task
+        model = est.fit(train.where(F.col("fold") != f), {est.getParam(k): v for k, v in p.items()})
+        got = model.transform(train.where(F.col("fold") == f))
+        chance = vector_to_array("probability")[1] if classification and "probability" in got.columns else F.lit(None).cast("double")
+        return got.select("label", "prediction", chance.alias("__q")).agg(scorer(F.col("label"), F.col("prediction"), F.col("__q"))).first()[0]
+
+    with ThreadPool(max(1, parallelism)) as pool:
+        scores = pool.map(one, [(p, f) for p in params for f in folds])
+    means = [[s for s in scores[i * len(folds):(i + 1) * len(folds)] if s is not None and not np.isnan(s)] for i in range(len(params))]
+    return params[int(np.argmax([np.mean(m) if m else -np.inf for m in means]))]
 
 
 @dataclass
@@ -142,19 +167,15 @@ def fit_base(rows: DataFrame, name: str, lim: Limits, classification: bool = Fal
     scoring = scoring or ("log_loss" if classification else "r2")
     train = rows.where(~F.col("is_test"))
     params = sample_params(name, lim)
+    search = search_scorer(classification, scoring)
     if name == "briskknn":
-        scorer = metric if classification or scoring not in M.SCORING else M.resolve_scorer(scoring)
+        # neighbours vote for a label and give no probability: log loss falls back to the metric
+        scorer = metric if scoring == "log_loss" else lambda y, p: search(y, p, None)
         out = FittedModel(name, _search_knn(train, params, classification, scorer), classification, base=_knn_base(train))
     else:
         est = build_estimator(name, classification, lim.seed)
-        maps = [{est.getParam(k): v for k, v in p.items()} for p in params]
-        if len(maps) == 1:
-            out = FittedModel(name, params[0], classification, est.fit(train, maps[0]))
-        else:
-            cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=_evaluator(classification, scoring), foldCol="fold",
-                                numFolds=lim.cv_splits, parallelism=lim.parallelism, seed=lim.seed).fit(train)
-            pick = np.argmin if not _evaluator(classification, scoring).isLargerBetter() else np.argmax
-            out = FittedModel(name, params[int(pick(cv.avgMetrics))], classification, cv.bestModel)
+        best = params[0] if len(params) == 1 else _search_trees(est, train, params, classification, search, lim.parallelism)
+        out = FittedModel(name, best, classification, est.fit(train, {est.getParam(k): v for k, v in best.items()}))
     out.scores = train_test_scores(out.predict(rows), metric)
     return out
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler, PolynomialExpansion, RobustScaler, StandardScaler
+from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler, PolynomialExpansion, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -21,6 +21,7 @@ from .dcor import distance_correlation
 from .matrix import map_rows
 from .neighbors import best_of, distances, mean_of, nearest
 from .predict import split_rows, with_key
+from .quantiles import exact_quantiles
 
 PREPARATIONS = ["none", "standard", "minmax", "maxabs", "robust", "poly2", "nystroem"]
 
@@ -93,11 +94,26 @@ def fit_preparation(name: str, train: DataFrame, components: int = 8, seed: int
         return from_vector(PolynomialExpansion(degree=2, **io))
     if name == "nystroem":
         return _nystroem(train, components, seed)
+    if name == "robust":
+        return _robust(train)
     scaler = {"standard": lambda: StandardScaler(withMean=True, **io), "minmax": lambda: MinMaxScaler(**io),
-              "maxabs": lambda: MaxAbsScaler(**io), "robust": lambda: RobustScaler(withCentering=True, **io)}[name]()
+              "maxabs": lambda: MaxAbsScaler(**io)}[name]()
     return from_vector(scaler.fit(train))
 
 
+def _robust(train: DataFrame):
+    """Median to 0 and interquartile range to 1, from exact quantiles; columns without a range are only moved."""
+    d = len(train.select("x").head()["x"])
+    marks = exact_quantiles(train.select(*[F.col("x")[i].alias(f"x{i}") for i in range(d)]), [f"x{i}" for i in range(d)], [0.25, 0.5, 0.75])
+    at = [(q[1] or 0.0, (q[2] - q[0]) if q[0] is not None and q[2] > q[0] else 1.0) for q in (marks[f"x{i}"] for i in range(d))]
+
+    def apply(rows):
+        x = F.array(*[(F.col("x")[i] - F.lit(m)) / F.lit(w) for i, (m, w) in enumerate(at)])
+        return rows.withColumn("x", x).withColumn("features", array_to_vector("x"))
+
+    return apply
+
+
 def _nystroem(train: DataFrame, components: int, seed: int):
     """Kernel features by a few landmark rows: k(x, L) K(L, L)^(-1/2), with a Gaussian kernel on scaled inputs."""
     marks = np.array([r["x"] for r in train.orderBy(key_hash("key", f"n{seed}")).limit(components).select("x").collect()])
