@@ -7,6 +7,8 @@ fits then need those matrices only and are solved run by run in parallel.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keys import fold
+from ..session import cut
 from .gram import table_moments
 from .ranking import consolidate_runs, select_features
 from .shapley import hash_normal
@@ -164,7 +167,7 @@ def linear_statistics(df: DataFrame, cols: list[str], y: str, sampler: Sampler,
     return run_moments(df, cols, y, sampler, runs).groupBy("run").applyInPandas(solve, RUN_SCHEMA)
 
 
-def forest_statistics(df: DataFrame, cols: list[str], y: str, sampler: Sampler, run: int, trees: int = 20, depth: int = 8) -> DataFrame:
+def forest_statistics(df: DataFrame, cols: list[str], y: str, sampler: Sampler, run: int, trees: int = 100, depth: int = 15) -> DataFrame:
     """Importance of each column minus that of its knockoff in one forest over both."""
     d = len(cols)
     rows = knockoff_rows(df, cols, sampler, run, [y]).select(F.col(y).cast("double").alias("label"), array_to_vector("x").alias("features"))
@@ -173,10 +176,10 @@ def forest_statistics(df: DataFrame, cols: list[str], y: str, sampler: Sampler,
 
 
 def simulate_knockoffs(df: DataFrame, cols: list[str], y: str, fdr: float = 0.1, fstats: list[str] | None = None, itr: int = 20,
-                       zero_selected: bool = True) -> tuple[DataFrame, DataFrame]:
+                       zero_selected: bool = True, trees: int = 100, depth: int = 15, parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
     """Runs table ``fstat, run, feature, w, selected`` and the consolidated scores.
 
-    ``df`` has a unique ``key BIGINT``. Every run has its own noise.
+    ``df`` has a unique ``key BIGINT``. Every run has its own noise. ``trees`` and ``depth`` are those of the forest statistic.
     """
     fstats = fstats or FSTATS
     df = df.dropna("any", subset=[*cols, y])
@@ -184,8 +187,9 @@ def simulate_knockoffs(df: DataFrame, cols: list[str], y: str, fdr: float = 0.1,
     linear = [s for s in fstats if s != "randomforest"]
     stats = linear_statistics(df, cols, y, sampler, runs, linear) if linear else None
     if "randomforest" in fstats:
-        for r in runs:
-            part = forest_statistics(df, cols, y, sampler, r)
-            stats = part if stats is None else stats.unionByName(part)
+        stored = cut(df, "knockoffs")  # read by every run's forest
+        with ThreadPool(max(1, parallelism)) as pool:
+            for part in pool.map(lambda r: forest_statistics(stored, cols, y, sampler, r, trees, depth), runs):
+                stats = part if stats is None else stats.unionByName(part)
     flagged = select_features(stats, fdr, ["fstat", "run"]).select("fstat", "run", "feature", "w", "selected")
     return flagged, consolidate_runs(flagged, zero_selected=zero_selected)

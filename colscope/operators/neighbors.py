@@ -103,7 +103,8 @@ def _bounds(t: Tree, x: np.ndarray, k: int, p: int) -> np.ndarray:
         cell = slice(t.starts[home[rows[0]]], t.starts[home[rows[0]] + 1])
         s, parts = t.sample[cell], t.parts[cell]
         if np.bincount(parts, minlength=t.n_parts)[:t.n_parts].min() < k:
-            s, parts = t.sample[:20_000], t.parts[:20_000]
+            step = -(-len(t.sample) // 20_000)  # the sample is ordered by cell: every step-th row is from all over
+            s, parts = t.sample[::step], t.parts[::step]
             if np.bincount(parts, minlength=t.n_parts)[:t.n_parts].min() < k:
                 continue
         for u in range(0, len(rows), 2000):

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators import linear_dim as L, nonlinear_dim as N
@@ -18,7 +19,7 @@ from ..operators.profile import numeric_columns
 from ..operators.quality import embedding_quality, quality_from_sums, rank_sums, sample_pairs
 from ..session import cut
 
-MAX_STEPS = 30
+NUMERIC = ("LinAlgError", "ValueError", "FloatingPointError", "ZeroDivisionError", "OverflowError")
 
 
 @dataclass
@@ -69,7 +70,7 @@ def draw_params(ranges: dict[str, tuple], rng: np.random.Generator, around: dict
 
 
 def measure(name: str, m: DataFrame, k: int, params: dict, step: str, n: int, methods=None, keep: bool = False) -> dict:
-    """Run one method and measure it; a failure is a result with quality 0 and its reason as status."""
+    """Run one method and measure it; a numeric failure is a result with quality 0 and its reason as status."""
     t = time.time()
     out = {"rel_err": 0.0, "r2": 0.0, "step": step, "fun_id": name, "rows_cols": f"{n}_{width(m)}", "dim_low": k,
            "hyperparameters": json.dumps(params), "status": "ok", "data_lowdim": None}
@@ -78,7 +79,10 @@ def measure(name: str, m: DataFrame, k: int, params: dict, step: str, n: int, me
         out |= embedding_quality(emb, n=n)
         if keep:
             out["data_lowdim"] = emb.select("key", "y")
-    except Exception as e:  # noqa: BLE001 - one failing method must not end the search
+    except (ArithmeticError, ValueError, np.linalg.LinAlgError, PythonException) as e:
+        # what a method may do to a matrix it does not suit; a failing cluster or driver is not a property of the method
+        if isinstance(e, PythonException) and not any(x in str(e) for x in NUMERIC):
+            raise
         out["status"] = f"{type(e).__name__}: {str(e)[:200]}"
     out["time"] = time.time() - t
     return out
@@ -145,8 +149,8 @@ def trial_budget(n_params: int) -> tuple[int, int]:
 
 
 def search_method(name: str, m: DataFrame, k: int, n: int, seed: int = 1, methods=None, budget=trial_budget,
-                  time_limit: float | None = 420.0) -> list[dict]:
-    """Random draws over the ranges, then draws near the best so far."""
+                  time_limit: float | None = None) -> list[dict]:
+    """Random draws over the ranges, then draws near the best so far. ``time_limit`` in seconds, if given, ends the search after a draw."""
     ranges = (methods or METHODS)[name].ranges
     first, more = budget(len(ranges))
     rng, began, out = np.random.default_rng([seed, sum(map(ord, name))]), time.time(), []
@@ -181,7 +185,7 @@ def intrinsic_dimension(m: DataFrame, start: int, chosen: list[dict], cutoff: fl
 
     k = max(1, min(start, d))
     down = run(k)
-    for _ in range(MAX_STEPS):
+    while True:  # k only falls or only rises between 1 and d
         if down:
             if k == 1 or not run(k - 1):
                 break
