@@ -1,8 +1,8 @@
 """Shared second moments: one scan gives the sums behind every least-squares fit on a table.
 
-A row counts for a column tuple when it is complete in the tuple's columns. Rows are therefore summed
-per *null pattern*; a tuple adds up the patterns that do not touch its columns. Since the train/test
-side of a row does not depend on the tuple, all tuples share the scan.
+A row counts for a column tuple when it is complete in the tuple's columns. Rows without gaps are summed once for
+all tuples, rows with gaps per tuple. Since the train/test side of a row does not depend on the tuple, all tuples
+share the scan.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ SUM_SCHEMA = "grp string, slot int, v double"
 
 @dataclass
 class Sums:
-    """Sums of one group and null pattern, taken about ``shift``."""
+    """Sums of one group over some columns, taken about their centres."""
 
-    mask: int
     n: float
     low: np.ndarray
     s: np.ndarray
@@ -53,87 +52,93 @@ def column_means(df: DataFrame, cols: list[str], log: bool = False) -> dict[str,
     return dict(zip(("raw", "log"), flat))
 
 
-def accumulate(df: DataFrame, cols: list[str], shifts: dict[str, np.ndarray], group=None) -> dict[str, dict[str, list[Sums]]]:
-    """Sums per kind (``raw``, ``log``), value of ``group`` (a Column, as text) and null pattern.
+def accumulate(df: DataFrame, cols: list[str], shifts: dict[str, np.ndarray], group=None, picks: list[list[int]] = ()) -> dict[str, dict[str, dict[int, Sums]]]:
+    """Sums per kind (``raw``, ``log``), value of ``group`` (a Column, as text) and place in ``picks``.
 
-    Each task turns its Arrow batches into one partial per pattern, so a task sends d*d numbers per
-    pattern and no rows; Spark adds the partials by (group, slot). Both kinds share the scan.
+    Rows complete in all columns are summed once, under -1. The others are summed for each tuple of ``picks`` that they are
+    complete in, so what a task sends is bounded by the tuples, however the gaps lie. Spark adds the partials by (group,
+    slot). Both kinds share the scan.
     """
     d = len(cols)
-    iu = np.triu_indices(d)
+    every = list(range(d))
 
     def partials(batches):
         acc: dict[tuple, list] = {}
+
+        def add(key, x, low):
+            a = acc.get(key)
+            if a is None:
+                acc[key] = [float(len(x)), low.min(axis=0), x.sum(axis=0), x.T @ x]
+            else:
+                a[0] += len(x)
+                a[1] = np.minimum(a[1], low.min(axis=0))
+                a[2] += x.sum(axis=0)
+                a[3] += x.T @ x
+
         for b in batches:
             if len(b) == 0:
                 continue
             low = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)])
             gone = np.isnan(low)
-            grp = b.column(d).to_pylist()
-            # one number per combination of group and null pattern in this batch
-            code = np.unique(grp, return_inverse=True)[1].ravel()
-            if gone.any():
-                pattern = np.unique(np.packbits(gone, axis=1), axis=0, return_inverse=True)[1].ravel()
-                code = np.unique(code * (pattern.max() + 1) + pattern, return_inverse=True)[1].ravel()
+            whole = ~gone.any(axis=1)
+            names, code = np.unique(b.column(d).to_pylist(), return_inverse=True)
             for kind, shift in shifts.items():
-                val = np.log(np.where(low > 0, low, 1.0)) if kind == "log" else low
-                for g in range(code.max() + 1):
-                    rows = code == g
-                    first = int(np.argmax(rows))
-                    k = f"{kind}|{grp[first]}|{np.packbits(gone[first], bitorder='little').tobytes().hex()}"
-                    x = np.where(gone[rows], 0.0, val[rows] - shift)
-                    lo = np.where(gone[rows], np.inf, low[rows]).min(axis=0)
-                    a = acc.get(k)
-                    if a is None:
-                        acc[k] = [float(len(x)), lo, x.sum(axis=0), x.T @ x]
-                    else:
-                        a[0] += len(x)
-                        a[1] = np.minimum(a[1], lo)
-                        a[2] += x.sum(axis=0)
-                        a[3] += x.T @ x
-        for k, (n, lo, s, ss) in acc.items():
-            v = np.concatenate([[n], lo, s, ss[iu]])
+                val = (np.log(np.where(low > 0, low, 1.0)) if kind == "log" else low) - shift
+                for g, name in enumerate(names):
+                    mine = code.ravel() == g
+                    full = mine & whole
+                    if full.any():
+                        add((kind, name, -1), val[full], low[full])
+                    part = mine & ~whole
+                    if not len(picks) or not part.any():
+                        continue
+                    v, lo, miss = val[part], low[part], gone[part]
+                    for t, pick in enumerate(picks):
+                        ok = ~miss[:, pick].any(axis=1)
+                        if ok.any():
+                            add((kind, name, t), v[ok][:, pick], lo[ok][:, pick])
+        for (kind, name, t), (n, lo, s, ss) in acc.items():
+            v = np.concatenate([[n], lo, s, ss[np.triu_indices(len(s))]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["grp", "slot", "v"])
+                [pa.array([f"{kind}|{t}|{name}"] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["grp", "slot", "v"])
 
     grp = (F.lit("all") if group is None else group.cast("string")).alias("__g")
     parts = df.select(*[F.col(c).cast("double") for c in cols], grp).mapInArrow(partials, SUM_SCHEMA)
-    # slots 1..d hold minima, all others sums
+    # the slots after the count hold minima, all others sums
     rows = parts.groupBy("grp", "slot").agg(F.sum("v").alias("s"), F.min("v").alias("m")).collect()
-    flat: dict[str, np.ndarray] = {}
+    out: dict[str, dict[str, dict[int, Sums]]] = {k: {} for k in shifts}
+    flat: dict[str, list] = {}
     for r in rows:
-        v = flat.setdefault(r["grp"], np.zeros(1 + 2 * d + len(iu[0])))
-        v[r["slot"]] = r["m"] if 1 <= r["slot"] <= d else r["s"]
-    out: dict[str, dict[str, list[Sums]]] = {k: {} for k in shifts}
-    for k, v in flat.items():
-        kind, rest = k.split("|", 1)
-        g, bits = rest.rsplit("|", 1)
-        ss = np.zeros((d, d))
-        ss[iu] = v[1 + 2 * d:]
-        ss = ss + np.triu(ss, 1).T
-        out[kind].setdefault(g, []).append(Sums(int.from_bytes(bytes.fromhex(bits), "little"), v[0], v[1:1 + d], v[1 + d:1 + 2 * d], ss))
+        flat.setdefault(r["grp"], []).append((r["slot"], r["s"], r["m"]))
+    for key, slots in flat.items():
+        kind, t, name = key.split("|", 2)
+        m = len(every if t == "-1" else picks[int(t)])
+        slots.sort()
+        v, low = np.array([x[1] for x in slots]), np.array([x[2] for x in slots[1:1 + m]])
+        ss = np.zeros((m, m))
+        ss[np.triu_indices(m)] = v[1 + 2 * m:]
+        out[kind].setdefault(name, {})[int(t)] = Sums(v[0], low, v[1 + m:1 + 2 * m], ss + np.triu(ss, 1).T)
     return out
 
 
-def moments(parts: list[Sums], shift: np.ndarray, pick: list[int]) -> tuple[Moments, np.ndarray]:
-    """Moments and minima of the picked columns over the rows complete in them."""
-    need = sum(1 << i for i in pick)
-    use = [p for p in parts if not p.mask & need]
+def moments(parts: list[dict[int, Sums]], shift: np.ndarray, pick: list[int], place: int = -1) -> tuple[Moments, np.ndarray]:
+    """Moments and minima of the picked columns over the rows complete in them; ``place`` is the tuple's place in ``picks``."""
     ix = np.ix_(pick, pick)
+    use = [Sums(p[-1].n, p[-1].low[pick], p[-1].s[pick], p[-1].ss[ix]) for p in parts if -1 in p]
+    use += [p[place] for p in parts if place >= 0 and place in p]
     n = sum(p.n for p in use)
     if not n:
         return Moments(0, np.full(len(pick), np.nan), np.zeros((len(pick), len(pick)))), np.full(len(pick), np.inf)
-    s = sum(p.s[pick] for p in use)
-    ss = sum(p.ss[ix] for p in use)
-    low = np.min([p.low[pick] for p in use], axis=0)
-    return Moments(n, shift[pick] + s / n, ss - np.outer(s, s) / n), low
+    s = sum(p.s for p in use)
+    ss = sum(p.ss for p in use)
+    return Moments(n, shift[pick] + s / n, ss - np.outer(s, s) / n), np.min([p.low for p in use], axis=0)
 
 
 def table_moments(df: DataFrame, cols: list[str]) -> Moments:
     """Mean and scatter of complete rows."""
     shift = column_means(df, cols)
-    parts = accumulate(df, cols, shift)["raw"].get("all", [])
-    return moments(parts, shift["raw"], list(range(len(cols))))[0]
+    parts = accumulate(df, cols, shift)["raw"].get("all", {})
+    return moments([parts], shift["raw"], list(range(len(cols))))[0]
 
 
 def least_squares(m: Moments, xi: list[int], yi: list[int]) -> np.ndarray | None:

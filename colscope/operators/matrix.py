@@ -35,11 +35,11 @@ def matrix_moments(m: DataFrame, d: int, groups: int | None = None) -> list[Mome
     group = None if groups is None else F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(groups))
     sums = accumulate(wide, cols, {"raw": shift}, group)["raw"]
     if groups is None and "all" in sums:
-        first = moments(sums["all"], shift, list(range(d)))[0]
+        first = moments([sums["all"]], shift, list(range(d)))[0]
         if np.any(np.abs(first.mean) > 1e3 * np.sqrt(np.maximum(np.diag(first.cov), 1e-300))):
             # far from the origin: take the sums again about the mean to keep their digits
             sums, shift = accumulate(wide, cols, {"raw": first.mean})["raw"], first.mean
-    return [moments(p, shift, list(range(d)))[0] for _, p in sorted(sums.items())]
+    return [moments([p], shift, list(range(d)))[0] for _, p in sorted(sums.items())]
 
 
 def map_rows(m: DataFrame, fn: Callable[[np.ndarray], np.ndarray], out: str = "y") -> DataFrame:

@@ -69,26 +69,26 @@ def fit_baselines(rows: DataFrame, cols: list[str], pairs: Pairs) -> list[Baseli
     """Mean, linear and power-law fits of all tuples from one pass for the centres and one for the sums."""
     group = F.when(F.col("is_test"), "t").otherwise(F.col("fold").cast("string"))
     shifts = gram.column_means(rows, cols, log=True)
-    sums = gram.accumulate(rows, cols, shifts, group)
-    raw, logs, shift, lshift = sums["raw"], sums["log"], shifts["raw"], shifts["log"]
     at = {c: i for i, c in enumerate(cols)}
+    sums = gram.accumulate(rows, cols, shifts, group, [[at[c] for c in (*a, *b)] for a, b in pairs])
+    raw, logs, shift, lshift = sums["raw"], sums["log"], shifts["raw"], shifts["log"]
 
     def gather(sums, without=None):
-        return [p for g, ps in sums.items() if g != "t" and g != str(without) for p in ps]
+        return [p for g, p in sums.items() if g != "t" and g != str(without)]
 
     out = []
     for tid, (ins, outs) in enumerate(pairs):
         pick = [at[c] for c in (*ins, *outs)]
         xi, yi = list(range(len(ins))), list(range(len(ins), len(pick)))
-        train, low = gram.moments(gather(raw), shift, pick)
-        test, low_test = gram.moments(raw.get("t", []), shift, pick)
+        train, low = gram.moments(gather(raw), shift, pick, tid)
+        test, low_test = gram.moments([raw.get("t", {})], shift, pick, tid)
         lin = gram.solve(train, xi, yi)
         power = None
         if train.n and min(low.min(), low_test.min()) > 0:
-            power = gram.solve(gram.moments(gather(logs), lshift, pick)[0], xi, yi)
+            power = gram.solve(gram.moments(gather(logs), lshift, pick, tid)[0], xi, yi)
         scaling = {}
         for f in (-1, *range(FOLDS)):
-            m = gram.moments(gather(raw, f), shift, pick)[0]
+            m = gram.moments(gather(raw, f), shift, pick, tid)[0]
             sd = np.sqrt(np.diag(m.scatter) / max(m.n, 1))
             scaling[f] = (m.mean[xi].tolist(), np.where(sd > 0, sd, 1.0)[xi].tolist())
         lists = lambda c: None if c is None else c.T.tolist()
