@@ -129,22 +129,22 @@ def sparse_pca(spark, sf):
 
 @query("adaptive_reduction")
 def adaptive_reduction(spark, sf):
-    return _scores(spark, sf, lambda m, k: L.adaptive_reduction(m, k, maxiter=3).transform(m), 4)
+    return _scores(spark, sf, lambda m, k: L.adaptive_reduction(m, k).transform(m), 4)
 
 
 @query("curvilinear")
 def curvilinear(spark, sf):
-    return _scores(spark, sf, lambda m, k: N.curvilinear(m, k, max_iter=3), 4)
+    return _scores(spark, sf, lambda m, k: N.curvilinear(m, k), 4)
 
 
 @query("proximity")
 def proximity(spark, sf):
-    return _scores(spark, sf, lambda m, k: N.proximity(m, k, cycles=20, updates=20), 4)
+    return _scores(spark, sf, lambda m, k: N.proximity(m, k), 4)
 
 
 @query("sammon")
 def sammon(spark, sf):
-    return _scores(spark, sf, lambda m, k: N.sammon(m, k, max_iter=3), 2)
+    return _scores(spark, sf, lambda m, k: N.sammon(m, k), 2)
 
 
 def low_rank(spark, sf):

@@ -198,7 +198,7 @@ def knockoff_rows(spark, sf):
 
 @query("knockoffs")
 def knockoffs(spark, sf):
-    return KO.simulate_knockoffs(sales(spark, sf), KO_COLS, "y", 0.3, ["lasso", "ridge"], 4)[1]
+    return KO.simulate_knockoffs(sales(spark, sf), KO_COLS, "y", 0.3, ["lasso", "ridge"])[1]
 
 
 @query("relevance")

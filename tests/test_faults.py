@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colscope.operators import models as MD, predict as P, shapley as SH
+from colscope.operators import gram, models as MD, predict as P, shapley as SH
 from colscope.operators.order import with_position
 from colscope.operators.quantiles import exact_quantiles
 from colscope.plans import complexity as CX, predictability as PP
@@ -88,3 +88,23 @@ def test_only_numeric_failures_are_results(spark):
     assert CX.measure("own", m, 1, {}, "s", 1, broken(ValueError))["status"].startswith("ValueError")
     with pytest.raises(RuntimeError):
         CX.measure("own", m, 1, {}, "s", 1, broken(RuntimeError))
+
+
+def test_sums_of_columns_with_random_gaps_stay_small(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(600, 30)) @ np.diag(np.arange(1, 31.0)) + 5
+    x[r.random(x.shape) < 0.3] = np.nan
+    cols = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame([(k, *[None if np.isnan(v) else float(v) for v in row]) for k, row in enumerate(x)], "k long, " + ", ".join(f"{c} double" for c in cols)).repartition(3)
+    pairs = [(("c0", "c1"), ("c2",)), (("c29",), ("c3",)), (("c4", "c5", "c6"), ("c7",))]
+    rows = P.split_rows(P.with_key(df, ["k"]), ["__key"]).select("__key", "is_test", "fold", *cols)
+    fits = P.fit_baselines(rows, cols, pairs)
+    side = {q["__key"]: q["is_test"] for q in rows.select("__key", "is_test").collect()}
+    train = np.array([not side[k] for k in range(600)])
+    for f, (ins, outs) in zip(fits, pairs):
+        pick = [cols.index(c) for c in (*ins, *outs)]
+        own = x[train & ~np.isnan(x[:, pick]).any(axis=1)][:, pick]
+        want = np.linalg.lstsq(np.c_[np.ones(len(own)), own[:, :-1]], own[:, -1], rcond=None)[0]
+        assert f.n_train == len(own) and np.allclose(f.linear[0], want, atol=1e-8)
+    sums = gram.accumulate(rows, cols, {"raw": np.zeros(30)}, picks=[[0, 1, 2]])["raw"]["all"]
+    assert set(sums) <= {-1, 0}
