@@ -1,6 +1,6 @@
 """Small neural regressors trained on partitions in parallel.
 
-Every round each task improves all networks on its own rows with mini-batch Adam and the weights are
+Every round each shard of rows improves its networks with mini-batch Adam and the weights are
 averaged, rows being the weights of the mean (parameter averaging; Zinkevich et al. 2010). All tuples,
 grid points and folds share a round, so a round is one pass over the training rows.
 """
@@ -20,7 +20,7 @@ HIDDEN = [(12,), (50,), (70, 5)]
 ALPHAS = [0.001, 0.0001, 0.00001]
 
 BATCH, B1, B2, EPS = 200, 0.9, 0.999, 1e-8
-ROW_VISITS = 100_000  # rows a task looks at per round, each network counted once
+SHARD = 5_000  # rows that one task fits to between two averages
 
 
 @dataclass
@@ -112,19 +112,19 @@ def _local_steps(net: Net, x: np.ndarray, y: np.ndarray, epochs: int, rate: floa
     return w
 
 
-def train(points: DataFrame, nets: list[Net], rounds: int = 8, max_epochs: int = 40, rate: float = 0.01,
-          tol: float = 1e-4, chunk: int = 20_000, seed: int = 1) -> list[Net]:
+def train(points: DataFrame, nets: list[Net], rounds: int = 8, epochs: int = 20, rate: float = 0.01,
+          tol: float = 1e-4, seed: int = 1) -> list[Net]:
     """Fit the networks to ``points`` (gid int, fold int, x array, y array).
 
-    The driver holds weights only. A task works through its rows in chunks, so its memory does not
-    grow with the partition; chunks continue from each other's weights. The more rows a task has, the
-    fewer times it goes over them in a round.
+    The driver holds weights only. The rows of a gid are dealt to shards of about ``SHARD`` rows by their hash; in each
+    round a shard goes ``epochs`` times over its rows, starting from the common weights, then these are averaged. Shards
+    follow from the rows alone, so the networks do not depend on the cluster or on how the input is partitioned.
     """
-    # averaging needs tasks with rows of the same kind, so rows that lie in some order are dealt out first
-    n_parts = max(points.rdd.getNumPartitions(), points.sparkSession.sparkContext.defaultParallelism)
-    rows = cut(points.select("gid", "fold", "x", "y").repartition(n_parts), "mlp")
-    per_task = rows.count() / max(rows.rdd.getNumPartitions(), 1)
-    epochs = int(min(max(ROW_VISITS // max(per_task, 1), 1), max_epochs))
+    points = points.select("gid", "fold", "x", "y").withColumn("h", F.xxhash64("fold", "x", "y"))
+    sizes = cut(points.groupBy("gid").agg(F.ceil(F.count("*") / SHARD).alias("shards")), "shards")
+    parts = int(sizes.agg(F.sum("shards")).first()[0] or 1)
+    dealt = points.join(sizes, "gid").withColumn("shard", F.pmod("h", "shards")).drop("shards")
+    rows = cut(dealt.repartition(parts, "gid", "shard").sortWithinPartitions("gid", "shard", "h"), "mlp")
     for rnd in range(rounds):
         by_gid: dict[int, list[Net]] = {}
         for n in nets:
@@ -132,32 +132,30 @@ def train(points: DataFrame, nets: list[Net], rounds: int = 8, max_epochs: int =
         step = rate / (1 + 0.3 * rnd)
 
         def improve(frames):
-            # one weight vector per network per task
-            local: dict[int, Net] = {}
-            counts: dict[int, int] = {}
-            waiting: dict[int, list] = {}
+            # a shard's rows follow each other; its weights are added to those of the task's other shards
+            total: dict[int, list] = {}
 
-            def flush(gid):
-                f = pd.concat(waiting.pop(gid))
+            def fit(f):
                 x, y = np.array(f["x"].tolist(), dtype=float), np.array(f["y"].tolist(), dtype=float)
                 fold = f["fold"].to_numpy()
-                for n in by_gid.get(gid, []):
+                for n in by_gid.get(f["gid"].iloc[0], []):
                     use = fold != n.skip_fold
-                    if not use.any():
-                        continue
-                    cur = local.setdefault(n.net_id, Net(**{**n.__dict__, "w": n.w.copy()}))
-                    cur.w = _local_steps(cur, x[use], y[use], epochs, step, seed + rnd)
-                    counts[n.net_id] = counts.get(n.net_id, 0) + int(use.sum())
+                    if use.any():
+                        w, rows = _local_steps(n, x[use], y[use], epochs, step, seed + rnd), int(use.sum())
+                        sums = total.setdefault(n.net_id, [0.0, np.zeros_like(w)])
+                        sums[0], sums[1] = sums[0] + rows, sums[1] + rows * w
 
+            waiting: list = []
             for f in frames:
-                for gid, part in f.groupby("gid"):
-                    waiting.setdefault(gid, []).append(part)
-                    if sum(map(len, waiting[gid])) >= chunk:
-                        flush(gid)
-            for gid in list(waiting):
-                flush(gid)
-            for i, n in local.items():
-                yield pd.DataFrame({"net_id": i, "slot": np.arange(len(n.w)), "n": float(counts[i]), "wn": n.w * counts[i]})
+                for key, part in f.groupby(["gid", "shard"]):
+                    if waiting and (waiting[0]["gid"].iloc[0], waiting[0]["shard"].iloc[0]) != key:
+                        fit(pd.concat(waiting))
+                        waiting = []
+                    waiting.append(part)
+            if waiting:
+                fit(pd.concat(waiting))
+            for i, (n, wn) in total.items():
+                yield pd.DataFrame({"net_id": i, "slot": np.arange(len(wn)), "n": n, "wn": wn})
 
         sums = (rows.mapInPandas(improve, "net_id int, slot int, n double, wn double")
                 .groupBy("net_id", "slot").agg((F.sum("wn") / F.sum("n")).alias("w")).collect())

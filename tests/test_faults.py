@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colscope.operators import gram, models as MD, predict as P, shapley as SH
+from colscope.operators import gram, mlp, models as MD, predict as P, shapley as SH
 from colscope.operators.order import with_position
 from colscope.operators.quantiles import exact_quantiles
 from colscope.plans import complexity as CX, predictability as PP
@@ -108,3 +108,13 @@ def test_sums_of_columns_with_random_gaps_stay_small(spark):
         assert f.n_train == len(own) and np.allclose(f.linear[0], want, atol=1e-8)
     sums = gram.accumulate(rows, cols, {"raw": np.zeros(30)}, picks=[[0, 1, 2]])["raw"]["all"]
     assert set(sums) <= {-1, 0}
+
+
+def test_networks_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mlp, "SHARD", 100)
+    pts = spark.range(400).selectExpr("CAST(id % 2 AS INT) AS gid", "CAST(id % 3 AS INT) AS fold", "array(CAST(id AS DOUBLE)) AS x", "array(2.0D * id) AS y")
+    got = []
+    for parts in (2, 8):
+        nets = [mlp.Net(g, g, 0, [1, 4, 1], 1e-4, np.array([200.0]), np.array([115.0]), np.array([400.0]), np.array([230.0]), mlp.start([1, 4, 1], 1)) for g in (0, 1)]
+        got.append([n.w for n in mlp.train(pts.repartition(parts), nets, rounds=3)])
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(*got)) and not np.allclose(got[0][0], mlp.start([1, 4, 1], 1))
