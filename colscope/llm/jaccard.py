@@ -294,6 +294,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = live.select("fp", "n", "short").mapInPandas(_by_list(buckets), f"p int, {PACKED}").groupBy("p").applyInPandas(_meet, "a long, b long")
     groups = components(met).select(F.col("node").alias("fp"), F.col("component").alias("super"))
     found = components(cut(_links(live, groups, block), "linked")).select(F.col("node").alias("fp"), F.col("component").alias("comp"))
-    got = rows.join(found, "fp", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "fp")))
-    least = got.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return got.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # copies and members meet only in partial minima; the joins have plain tables on both sides, whose large keys AQE splits
+    classes = cut(rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(found, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "classes")
+    least = cut(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
+    names = cut(classes.join(least, "comp").select("fp", "component_id"), "names")
+    got = rows.withColumn("fp", F.when(F.col("n") > 0, F.col("fp"))).join(names, "fp", "left")
+    return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
