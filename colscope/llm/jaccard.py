@@ -2,8 +2,10 @@
 
 Documents with the same set of shingles are one node, named by a 64-bit fingerprint of the set. Every distinct shingle goes, packed in
 arrays, to the bucket of its hash; there the inverted lists are complete. Only shingles that more than one set has return to their
-document, with the length of their list: a link needs 4/5 of the larger set, and an intersection holds shared shingles alone. A document
-whose shortest n - ceil(4n/5) + 1 lists hold nobody else is done. The others meet through these shortest lists: what hangs
+document, with the length of their list: a link needs 4/5 of the larger set, and an intersection holds shared shingles alone. The first
+pass also keeps a summary of the most frequent shingles. Those in more than ``HOT`` sets need no complete list, as all tasks rank them by the
+length in the summary; they are dealt by document, so that no bucket grows with the commonest shingle. A document
+whose shortest n - ceil(4n/5) + 1 lists hold nobody else is done. The others meet through these shortest lists, joined inside each batch of documents first: what hangs
 together goes to one task, where each document merges its short lists, keeps who reaches T - L occurrences and probes the L long lists by
 binary search. Candidates that are already in the document's component need no probe.
 
@@ -30,6 +32,7 @@ from .graph import components, local_roots
 from .words import Words, grams, mix
 
 SHINGLE, BLOCK, BUCKET, FLUSH, PIVOTS = 5, 2_000, 3_000_000, 4_000_000, 8
+HOT, TRACKED = 30_000, 100_000
 PACKED = "fp binary, n binary, cnt binary, tok binary"
 
 
@@ -63,14 +66,52 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarr
     return tok, n, fp.view(np.int64)
 
 
+class Frequent:
+    """Misra-Gries summary of shingles: a count is short by at most 1 / ``size`` of all that was added."""
+
+    def __init__(self, size: int = TRACKED):
+        self.size, self.added, self.tok, self.n = size, 0, np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, tok: np.ndarray) -> None:
+        found, n = np.unique(tok, return_counts=True)
+        both, at = np.unique(np.r_[self.tok, found], return_inverse=True)
+        n = np.bincount(at, weights=np.r_[self.n, n], minlength=len(both)).astype(np.int64)
+        if len(both) > self.size:
+            n -= np.partition(n, -self.size - 1)[-self.size - 1]
+        self.added, self.tok, self.n = self.added + len(tok), both[n > 0], n[n > 0]
+
+    def often(self) -> tuple[np.ndarray, np.ndarray]:
+        keep = self.n >= max(2, self.added / self.size)
+        return self.tok[keep], self.n[keep]
+
+
 def _sizes(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Set size and fingerprint of every row; rows marked ``hot`` are shingles that a task saw often, with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, kind = Frequent(), None
+        row = lambda ids, n, fp, hot: pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(fp), pa.array(np.full(len(n), hot))], names=["doc_id", "n", "fp", "hot"])
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts, kind = batch.column(1).to_pylist(), batch.column(0).type
             for a, b in chunks([t or "" for t in texts]):
-                _, n, fp = shingle_sets(texts[a:b], size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(fp)], names=["doc_id", "n", "fp"])
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n long, fp long")
+                tok, n, fp = shingle_sets(texts[a:b], size)
+                seen.add(tok)
+                yield row(batch.column(0).slice(a, b - a), n, fp, False)
+        tok, n = seen.often()
+        if len(tok):
+            yield row(pa.nulls(len(tok), kind), n, tok.view(np.int64), True)
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n long, fp long, hot boolean")
+
+
+def _hot(sets: DataFrame, total: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rising shingles in more than ``least`` rows, at most ``TRACKED`` of them, and about how many rows hold each."""
+    got = sets.filter("hot").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") > max(least, total // TRACKED)).toPandas()
+    tok, n = got["fp"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    o = np.argsort(tok)
+    return tok[o], np.clip(n[o], 2, 2**31 - 1).astype(np.int32)
+
+
+def _among(hot: np.ndarray, tok: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, tok), len(hot) - 1)] == tok if len(hot) else np.zeros(len(tok), bool)
 
 
 def _pack(kind: str, part: np.ndarray, fp: np.ndarray, n: np.ndarray, at: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
@@ -95,8 +136,8 @@ def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(np.frombuffer(b"".join(pdf[c]), t) for c, t in (("fp", np.int64), ("n", np.int32), ("cnt", np.int32), ("tok", np.uint64)))
 
 
-def _dealt(docs: DataFrame, text_col: str, size: int, buckets: int) -> DataFrame:
-    """All distinct shingles of all sets by bucket; sets that a task meets twice are sent once."""
+def _dealt(docs: DataFrame, text_col: str, size: int, buckets: int, parts: int, hot: np.ndarray) -> DataFrame:
+    """All distinct shingles of all sets by bucket, hot ones by part of the documents; sets that a task meets twice are sent once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         seen: set[int] = set()
@@ -104,7 +145,9 @@ def _dealt(docs: DataFrame, text_col: str, size: int, buckets: int) -> DataFrame
         def flush():
             fp, n, tok = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            got = _pack("p", (tok % np.uint64(buckets)).astype(np.int64), fp, n, np.repeat(np.arange(len(n)), n), tok=tok)
+            at = np.repeat(np.arange(len(n)), n)
+            place = np.where(_among(hot, tok), np.uint64(buckets) + fp.view(np.uint64)[at] % np.uint64(parts), tok % np.uint64(buckets))
+            got = _pack("p", place.astype(np.int64), fp, n, at, tok=tok)
             return pa.RecordBatch.from_pandas(got, preserve_index=False)
 
         for batch in batches:
@@ -121,7 +164,7 @@ def _dealt(docs: DataFrame, text_col: str, size: int, buckets: int) -> DataFrame
     return docs.select(text_col).mapInArrow(run, f"p int, {PACKED}")
 
 
-def _lists(parts: int):
+def _lists(parts: int, buckets: int, hot: np.ndarray, often: np.ndarray):
     """Inverted lists of a bucket: shingles in two or more sets, with the length of their list, by part of the documents."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, n, cnt, tok = _unpack(pdf)
@@ -131,6 +174,8 @@ def _lists(parts: int):
         at = np.repeat(np.arange(len(fp)), cnt)
         keep = first[at]
         at, tok = at[keep], tok[keep]
+        if pdf["p"].iloc[0] >= buckets:
+            return _pack("d", fp.view(np.uint64)[at] % np.uint64(parts), fp, n, at, tok=tok, df=often[np.searchsorted(hot, tok)])
         o = np.argsort(tok, kind="stable")
         at, tok = at[o], tok[o]
         begin = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
@@ -160,14 +205,26 @@ def _shortest(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"fp": names[live], "n": size[live], "tok": [np.sort(tok[a:b]).tobytes() for a, b in zip(*edge)], "short": [tok[a:a + k].tobytes() for a, k in zip(edge[0], short[live])]})
 
 
+def _joined(tok: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Component of each of n documents that hang together through equal shingles."""
+    o = np.argsort(tok, kind="stable")
+    at, same = at[o], np.diff(tok[o]) == 0
+    return local_roots(n, at[1:][same], at[:-1][same])
+
+
 def _by_list(buckets: int):
-    """Short-list shingles of many documents by bucket."""
+    """Short-list shingles by bucket; of the documents of a batch that hang together one stands for all, and (a, b) say so."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                tok = np.frombuffer(b"".join(pdf["short"]), np.uint64)
-                cnt = np.fromiter(map(len, pdf["short"]), np.int64, len(pdf)) // 8
-                yield _pack("p", (tok % np.uint64(buckets)).astype(np.int64), pdf["fp"].to_numpy(), pdf["n"].to_numpy(), np.repeat(np.arange(len(pdf)), cnt), tok=tok)
+                fp, tok = pdf["fp"].to_numpy(), np.frombuffer(b"".join(pdf["short"]), np.uint64)
+                at = np.repeat(np.arange(len(pdf)), np.fromiter(map(len, pdf["short"]), np.int64, len(pdf)) // 8)
+                root = _joined(tok, at, len(pdf))
+                tok, first = np.unique(tok, return_index=True)
+                got = _pack("p", (tok % np.uint64(buckets)).astype(np.int64), fp, pdf["n"].to_numpy(), root[at[first]], tok=tok)
+                some = root != np.arange(len(pdf))
+                at_once = {"p": int(fp.view(np.uint64)[0] % np.uint64(buckets)), **dict.fromkeys(("fp", "n", "cnt", "tok"), b""), "a": fp[some].tobytes(), "b": fp[root[some]].tobytes()}
+                yield pd.concat([got.assign(a=b"", b=b""), pd.DataFrame([at_once])]).astype({"p": "int32"})
     return run
 
 
@@ -175,13 +232,10 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """Documents that hang together through the short lists of a bucket."""
     fp, _, cnt, tok = _unpack(pdf)
     names, code = np.unique(fp, return_inverse=True)
-    at = np.repeat(code, cnt)
-    o = np.argsort(tok, kind="stable")
-    at, tok = at[o], tok[o]
-    same = tok[1:] == tok[:-1]
-    root = local_roots(len(names), at[1:][same], at[:-1][same])
+    root = _joined(tok, np.repeat(code, cnt), len(names))
     some = root != np.arange(len(names))
-    return pd.DataFrame({"a": names[some], "b": names[root[some]]})
+    a, b = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("a", "b"))
+    return pd.DataFrame({"a": np.r_[a, names[some]], "b": np.r_[b, names[root[some]]]})
 
 
 class Index:
@@ -283,15 +337,17 @@ def _links(live: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     return small.unionByName(hits.select("a", "b")).unionByName(tiles.groupBy("super", "i", "j").applyInPandas(_search, "a long, b long"))
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, block: int = BLOCK, buckets: int | None = None) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, block: int = BLOCK, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; two texts link when 5 * overlap >= 4 * union of their shingles."""
-    rows = cut(_sizes(docs, id_col, text_col, shingle), "sets")
+    sets = cut(_sizes(docs, id_col, text_col, shingle), "sets")
+    rows = sets.filter("NOT hot").drop("hot")
     total, n_rows = rows.agg(F.sum("n"), F.count("*")).first()
     buckets = buckets or max(1, -(-(total or 0) // BUCKET))
     parts = max(1, -(-n_rows // 20_000))
-    lists = _dealt(docs, text_col, shingle, buckets).groupBy("p").applyInPandas(_lists(parts), f"d int, {PACKED}, df binary")
+    tokens, often = _hot(sets, total or 0, hot)
+    lists = _dealt(docs, text_col, shingle, buckets, parts, tokens).groupBy("p").applyInPandas(_lists(parts, buckets, tokens, often), f"d int, {PACKED}, df binary")
     live = cut(lists.groupBy("d").applyInPandas(_shortest, "fp long, n long, tok binary, short binary"), "live")
-    met = live.select("fp", "n", "short").mapInPandas(_by_list(buckets), f"p int, {PACKED}").groupBy("p").applyInPandas(_meet, "a long, b long")
+    met = live.select("fp", "n", "short").mapInPandas(_by_list(buckets), f"p int, {PACKED}, a binary, b binary").groupBy("p").applyInPandas(_meet, "a long, b long")
     groups = components(met).select(F.col("node").alias("fp"), F.col("component").alias("super"))
     found = components(cut(_links(live, groups, block), "linked")).select(F.col("node").alias("fp"), F.col("component").alias("comp"))
     # copies and members meet only in partial minima; the joins have plain tables on both sides, whose large keys AQE splits

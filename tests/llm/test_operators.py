@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -258,8 +259,8 @@ def jaccard_brute(rows):
     return {i: (len(sets[i]), root[i]) for i in sets}
 
 
-@pytest.mark.parametrize("block,buckets", [(2_000, 1), (3, 4)])
-def test_shingle_join(spark, block, buckets):
+@pytest.mark.parametrize("block,buckets,hot", [(2_000, 1, jaccard.HOT), (3, 4, jaccard.HOT), (2_000, 3, 1), (4, 1, 3)])
+def test_shingle_join(spark, block, buckets, hot):
     rows = corpus(9, 90)
     r = random.Random(10)
     for group in range(3):  # chains of edits: neighbours link, ends do not
@@ -267,11 +268,33 @@ def test_shingle_join(spark, block, buckets):
         for step in range(12):
             w[r.randrange(60)] = f"e{group}_{step}"
             rows.append((1000 + 20 * group + step, " ".join(w)))
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_groups(documents(spark, rows), block=block, buckets=buckets).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_groups(documents(spark, rows), block=block, buckets=buckets, hot=hot).collect()}
     assert got == jaccard_brute(rows)
     assert jaccard.jaccard_groups(documents(spark, [])).count() == 0
 
 
+def test_frequent_shingles_are_found():
+    r = np.random.default_rng(3)
+    tok = np.r_[np.repeat(np.arange(5, dtype=np.uint64), 4_000), r.integers(1_000, 2**60, 80_000).astype(np.uint64)]
+    r.shuffle(tok)
+    seen = jaccard.Frequent(50)
+    for part in np.array_split(tok, 30):
+        seen.add(part)
+    got = dict(zip(*seen.often()))
+    assert set(got) == set(range(5)) and all(4_000 - len(tok) / 50 <= n <= 4_000 for n in got.values())
+
+
+def test_batches_meet_over_their_shingles():
+    lists = [[1, 2], [2, 3], [9], [3], [9, 10], [50]]
+    pdf = pd.DataFrame({"fp": np.arange(100, 106), "n": 5, "short": [np.array(x, np.uint64).tobytes() for x in lists]})
+    for step in (1, 2, 6):
+        got = pd.concat(jaccard._by_list(3)(pdf.iloc[k:k + step] for k in range(0, 6, step)))
+        met = pd.concat([jaccard._meet(g) for _, g in got.groupby("p")])
+        nodes = sorted(set(pdf["fp"]))
+        groups = roots(list(zip(met["a"], met["b"])), nodes)
+        assert [groups[x] for x in nodes] == [100, 100, 102, 100, 102, 105]
+
+
 def test_shingle_join_of_repeated_rows(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "q"), (None, "z")]
     got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jaccard.jaccard_groups(documents(spark, rows)).collect())
