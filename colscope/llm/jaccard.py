@@ -31,7 +31,7 @@ from .bpe import chunks
 from .graph import components, local_roots
 from .words import Words, grams, mix
 
-SHINGLE, BLOCK, BUCKET, FLUSH, PIVOTS = 5, 2_000, 3_000_000, 4_000_000, 8
+SHINGLE, BLOCK, BUCKET, FLUSH, PIVOTS = 5, 2_000, 3_000_000, 2_000_000, 8
 HOT, TRACKED = 30_000, 100_000
 PACKED = "fp binary, n binary, cnt binary, tok binary"
 
