@@ -31,6 +31,14 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & good, F.lit(False))
 
 
+def on_grid(vector: Column, times: int) -> Column:
+    """floor(times * x) of each component, as double; values without a fraction stay as they are."""
+    def one(x: Column) -> Column:
+        y = F.lit(times) * x.cast("double")
+        return F.when(F.abs(y) < F.lit(2.0**52), F.floor(F.when(F.abs(y) < F.lit(2.0**52), y)).cast("double")).otherwise(y)
+    return F.transform(vector, one)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """k unit centres of unit rows; the first ones are spread by taking rows far from those before."""
     centres = [x[0]]

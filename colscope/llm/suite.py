@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import bpe, chat, htmltext, jaccard, langid, mix, neardup, quality, substrings, topk
+from . import alignment, bpe, chat, htmltext, jaccard, langid, mix, neardup, negatives, packing, quality, substrings, topk
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -108,9 +108,8 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
 def op3(spark, sf_dir):
-    grid = F.transform("embedding", lambda x: F.floor(F.lit(1024) * x.cast("double")).cast("double"))
     # rounding to a grid would hide components that are no numbers
-    rows = table(spark, sf_dir, "embeddings").filter(neardup.usable(F.col("embedding"))).select("vec_id", grid.alias("x"))
+    rows = table(spark, sf_dir, "embeddings").filter(neardup.usable(F.col("embedding"))).select("vec_id", neardup.on_grid(F.col("embedding"), 1024).alias("x"))
     return topk.top_k(rows, F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
@@ -144,3 +143,33 @@ def op4(spark, sf_dir):
 @query("op6_dom_trees")
 def op6(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_differencing_pack")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep_groups=False)
+
+
+@query("op13_hard_negatives", f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND {GOOD}),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""")
+def op13(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").filter(neardup.usable(F.col("embedding"))).select("vec_id", label.alias("label"), neardup.on_grid(F.col("embedding"), 256).alias("x"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
