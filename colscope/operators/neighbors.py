@@ -1,14 +1,20 @@
 """Exact k-nearest-neighbour join as Spark shuffles.
 
-The base rows are cut into the cells of a shallow k-d tree built from a bounded sample. A query row is
-sent to its own cell and to those cells only that its distance bound reaches; the bound is the distance
-to the k-th sample row, and since the sample is part of the base, no true neighbour lies beyond it.
-Cells with many rows are cut in sub-blocks on both sides, so no group grows with the data, and base
-rows with equal coordinates are first reduced to the k that can win a tie.
+The base rows are cut in two levels. The coarse cells are the leaves of a k-d tree (intervals, for one input) that the driver grows from a sample of bounded
+size. A query row first meets its own cell alone. What it finds there bounds the distance to its true neighbours; only a query whose ball crosses the cell's border
+goes on, to those cells that the ball touches, and the lists are put together.
+
+In a cell the task makes the finer cuts itself: with one input rows are sorted and each query sees as many rows to its left and right as can win, with more
+they are cut into leaves of some dozens of rows, and a query sees the leaves within the bound its own leaf gave. So the pairs compared per query do
+not follow the size of a cell, and few cells are enough, however many groups share the sample.
+
+Base rows with equal coordinates are first reduced to the k that can win a tie. Queries of a cell with very many of them are dealt over copies of the cell,
+and a cell that came out very large is cut in sub-blocks, so no group grows with the data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +24,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..session import cut
 
-CELL = 512          # base rows per cell aimed at while the sample is large enough to cut that finely
-BLOCK = 4096        # base rows per sub-block of a cell that came out larger
+CELL = 8192         # base rows per coarse cell aimed at while the sample is large enough to cut that finely
+LEAF = 64           # base rows per leaf inside a task
+BLOCK = 1 << 20     # base rows per sub-block of a cell that came out larger
 QUERY_BLOCK = 50_000
+PER_CELL = 16       # sample rows that a coarse cell rests on
 SAMPLE_SHARE = 0.5  # of the base, up to the total below over all groups
 SAMPLE_VALUES = 1 << 19  # coordinates in all samples together: what the driver and each task hold
-MAX_DEPTH = 14
+MAX_DEPTH = 16
+NEAR = pa.list_(pa.struct([("d", pa.float64()), ("key", pa.int64()), ("part", pa.int32()), ("y", pa.list_(pa.float64()))]))
+NN_TYPE = "array<struct<d:double,key:bigint,part:int,y:array<double>>>"
 
 
 @dataclass
@@ -37,9 +47,8 @@ class Tree:
     hi: np.ndarray
     subs: np.ndarray      # base sub-blocks per cell
     salts: np.ndarray     # query sub-blocks per cell
-    sample: np.ndarray    # sample rows ordered by cell
-    parts: np.ndarray
-    starts: np.ndarray    # where each cell's sample rows begin
+    sample: np.ndarray
+    parts: np.ndarray     # of the sample rows
     n_parts: int
 
 
@@ -91,26 +100,12 @@ def _reached(t: Tree, x: np.ndarray, r: np.ndarray, p: int) -> tuple[np.ndarray,
 
 
 def _bounds(t: Tree, x: np.ndarray, k: int, p: int) -> np.ndarray:
-    """Upper bound of the distance to the k-th neighbour of every part, from the sample rows of the own cell.
-
-    Where a cell holds too few of a part, the whole sample is asked; without k of them there is no bound.
-    """
-    r, home = np.full(len(x), np.inf), _descend(t, x)
-    order = np.argsort(home, kind="stable")
-    edges = np.flatnonzero(np.r_[True, np.diff(home[order]) != 0, True])
-    for a, b in zip(edges[:-1], edges[1:]):
-        rows = order[a:b]
-        cell = slice(t.starts[home[rows[0]]], t.starts[home[rows[0]] + 1])
-        s, parts = t.sample[cell], t.parts[cell]
-        if np.bincount(parts, minlength=t.n_parts)[:t.n_parts].min() < k:
-            step = -(-len(t.sample) // 20_000)  # the sample is ordered by cell: every step-th row is from all over
-            s, parts = t.sample[::step], t.parts[::step]
-            if np.bincount(parts, minlength=t.n_parts)[:t.n_parts].min() < k:
-                continue
-        for u in range(0, len(rows), 2000):
-            some = rows[u:u + 2000]
-            d = distances(x[some], s, p)
-            r[some] = np.max([np.partition(d[:, parts == q], k - 1, axis=1)[:, k - 1] for q in range(t.n_parts)], axis=0)
+    """Upper bound of the distance to the k-th neighbour of every part by the sample; without k rows of a part in it there is none."""
+    r = np.full(len(x), np.inf)
+    if len(t.parts) and np.bincount(t.parts, minlength=t.n_parts)[:t.n_parts].min() >= k:
+        for a in range(0, len(x), 512):
+            d = distances(x[a:a + 512], t.sample, p)
+            r[a:a + 512] = np.max([np.partition(d[:, t.parts == q], k - 1, axis=1)[:, k - 1] for q in range(t.n_parts)], axis=0)
     return r * (1 + 1e-12)
 
 
@@ -119,10 +114,10 @@ def _plan(base: DataFrame, queries: DataFrame, d: int, k: int) -> dict[int, Tree
     sizes = both.groupBy("gid", "b").agg(F.count("*").alias("n"), (F.max("part") + 1).alias("parts")).collect()
     nb, np_ = {r["gid"]: r["n"] for r in sizes if r["b"]}, {r["gid"]: r["parts"] for r in sizes if r["b"]}
     nq = {r["gid"]: r["n"] for r in sizes if not r["b"]}
-    most = max(SAMPLE_VALUES // max(len(nb) * d, 1), 8 * k)
+    most = max(SAMPLE_VALUES // max(len(nb) * d, 1), PER_CELL)
 
     def sampled(df, counts, seed):
-        big = {g: min(SAMPLE_SHARE, most / n) for g, n in counts.items() if nb.get(g, 0) > 2 * CELL}
+        big = {g: min(SAMPLE_SHARE, most / n, max(PER_CELL * nb[g] / CELL, 1000) / n) for g, n in counts.items() if nb.get(g, 0) > 2 * CELL}
         if not big:
             return {}
         share = F.create_map(*[F.lit(x) for kv in big.items() for x in kv])[F.col("gid")]
@@ -139,18 +134,10 @@ def _plan(base: DataFrame, queries: DataFrame, d: int, k: int) -> dict[int, Tree
         rows = sb.get(g, [])
         x = np.array([r["x"] for r in rows], dtype=float).reshape(-1, d)
         parts = np.array([r["part"] for r in rows], dtype=int)
-        depth, n_parts = 0, np_[g]
-        if len(x) >= 4 * k * n_parts:
-            # a ball around a query holds about k * n / sample rows; cells are not cut finer than that
-            cells = min(n / CELL, len(x) / (2 * k * n_parts))
-            depth = int(np.clip(np.floor(np.log2(max(cells, 1))), 0, MAX_DEPTH))
+        depth = int(np.clip(np.floor(np.log2(max(min(n / CELL, len(x) / PER_CELL), 1))), 0, MAX_DEPTH))
         dim, cutv, lo, hi = _grow(x, depth, d)
         ones = np.ones(1 << depth, int)
-        t = Tree(dim, cutv, depth, lo, hi, ones, ones, x, parts, np.zeros(0, int), n_parts)
-        leaf = _descend(t, x)
-        by_cell = np.argsort(leaf, kind="stable")
-        t.sample, t.parts = x[by_cell], parts[by_cell]
-        t.starts = np.searchsorted(leaf[by_cell], np.arange((1 << depth) + 1))
+        t = Tree(dim, cutv, depth, lo, hi, ones, ones, x, parts, np_[g])
 
         def share(pts):
             if not len(pts):
@@ -164,15 +151,127 @@ def _plan(base: DataFrame, queries: DataFrame, d: int, k: int) -> dict[int, Tree
     return plan
 
 
+def _first(dist: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k least distances, in order; ties by ``key`` (given per column or per cell), infinite ones left out."""
+    k = min(k, dist.shape[1])
+    kth = np.partition(dist, k - 1, axis=1)[:, k - 1]
+    i, j = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
+    ties = key[j] if key.ndim == 1 else key[i, j]
+    order = np.lexsort((ties, dist[i, j], i))
+    i, j = i[order], j[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(dist)))[i] < k
+    return i[keep], j[keep]
+
+
+def _in_line(qx: np.ndarray, bx: np.ndarray, bkey: np.ndarray, k: int):
+    """One input: rows in order, each query against as many on either side as can be among the k (equal values may share a place)."""
+    order = np.lexsort((bkey, bx))
+    line, keys = bx[order], bkey[order]
+    edges = np.flatnonzero(np.r_[True, line[1:] != line[:-1], True])
+    width = k + int(np.diff(edges).max())
+    reach = np.arange(-width, width)
+    for a in range(0, len(qx), 16_384):
+        q = qx[a:a + 16_384]
+        at = np.searchsorted(line, q)[:, None] + reach
+        inside = (at >= 0) & (at < len(line))
+        at = np.clip(at, 0, len(line) - 1)
+        dist = np.where(inside, np.abs(q[:, None] - line[at]), np.inf)
+        i, j = _first(dist, keys[at], k)
+        yield a + i, dist[i, j], order[at[i, j]], int(inside.sum())
+
+
+def _leaves(bx: np.ndarray, qx: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(base rows, query rows) of the leaves of a tree of median cuts over the base; the boxes of the leaves are those of their rows."""
+    stack, out = [(np.arange(len(bx)), np.arange(len(qx)))], []
+    while stack:
+        b, q = stack.pop()
+        wide = np.ptp(bx[b], axis=0)
+        j = int(wide.argmax())
+        if len(b) <= size or wide[j] == 0:
+            out.append((b, q))
+            continue
+        half = len(b) // 2
+        order = np.argpartition(bx[b, j], half)
+        left = qx[q, j] < bx[b[order[half]], j]
+        stack += [(b[order[:half]], q[left]), (b[order[half:]], q[~left])]
+    return out
+
+
+def _in_leaves(qx: np.ndarray, bx: np.ndarray, bkey: np.ndarray, k: int, p: int):
+    leaves = _leaves(bx, qx, max(LEAF, 2 * k))
+    starts = np.cumsum([0] + [len(b) for b, _ in leaves])
+    rows = np.concatenate([b for b, _ in leaves])
+    lo, hi = (np.array([f(bx[b], axis=0) for b, _ in leaves]) for f in (np.min, np.max))
+    for b, queries in leaves:
+        for a in range(0, len(queries), LEAF):
+            mine = queries[a:a + LEAF]
+            q = qx[mine]
+            own = distances(q, bx[b], p)
+            r = np.partition(own, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1].max() * (1 + 1e-12) if len(b) >= k else np.inf
+            gap = np.maximum(np.maximum(lo - q.max(axis=0), q.min(axis=0) - hi), 0.0)
+            near = np.flatnonzero((gap.sum(axis=1) if p == 1 else np.sqrt((gap * gap).sum(axis=1))) <= r)
+            some = np.concatenate([rows[starts[n]:starts[n + 1]] for n in near])
+            step = max(1, (1 << 21) // len(some))
+            for c in range(0, len(q), step):
+                dist = distances(q[c:c + step], bx[some], p)
+                i, j = _first(dist, bkey[some], k)
+                yield mine[c + i], dist[i, j], some[j], dist.size + own.size
+
+
+def local_nearest(qx: np.ndarray, bx: np.ndarray, bkey: np.ndarray, bpart: np.ndarray, k: int, p: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The k nearest base rows of every part for each query: query row, distance, base row in the order of query, distance and key, and the pairs compared."""
+    hits, compared = [], 0
+    for part in np.unique(bpart):
+        mine = np.flatnonzero(bpart == part)
+        found = _in_line(qx[:, 0], bx[mine, 0], bkey[mine], k) if bx.shape[1] == 1 else _in_leaves(qx, bx[mine], bkey[mine], k, p)
+        for i, dist, at, n in found:
+            hits.append((i, dist, mine[at]))
+            compared += n
+    row, dist, at = (np.concatenate(v) for v in zip(*hits))
+    order = np.lexsort((bkey[at], dist, row))
+    return row[order], dist[order], at[order], compared
+
+
+class Means:
+    """Mean targets of the first k of a list, over all parts (``m{k}_{o}``) and with one part left out (``m{k}_{part}_{o}``)."""
+
+    def __init__(self, ks: list[int], left_out: list[int], outputs: int):
+        self.variants = [(f"m{k}" + ("" if f is None else f"_{f}") + f"_{o}", k, f, o) for k in ks for f in (None, *left_out) for o in range(outputs)]
+        self.names = [v[0] for v in self.variants]
+
+    def __call__(self, n: int, row: np.ndarray, part: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Values for lists given as entries in the order of row and distance; nan where a list has no entry."""
+        places: dict = {}
+        for f in {v[2] for v in self.variants}:
+            own = np.ones(len(row), bool) if f is None else part != f
+            at = np.flatnonzero(own)
+            places[f] = at, np.arange(len(at)) - np.searchsorted(row[at], row[at])
+        out = []
+        for _, k, f, o in self.variants:
+            at, place = places[f]
+            at = at[place < k]
+            count = np.bincount(row[at], minlength=n)
+            out.append(np.where(count > 0, np.bincount(row[at], y[at, o], minlength=n) / np.maximum(count, 1), np.nan))
+        return out
+
+
+def _pack(row, dist, key, part, y, n: int) -> pa.Array:
+    """Lists of n rows as an Arrow array; entries come in the order of ``row``."""
+    o = y.shape[1]
+    ys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(row) * o + 1, o, dtype=np.int32)), pa.array(y.ravel()))
+    one = pa.StructArray.from_arrays([pa.array(dist), pa.array(key), pa.array(part.astype(np.int32)), ys], fields=list(NEAR.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), one)
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...] = (), p: int = 2,
-            dims: tuple[int, int] | None = None, stored: bool = False) -> DataFrame:
+            dims: tuple[int, int] | None = None, stored: bool = False, means: Means | None = None) -> DataFrame:
     """The k nearest base rows of each query row, per group and per part of the base.
 
     ``queries``: gid int, key long, x array<double>, carried double columns.
     ``base``: gid int, key long, x array<double>, part int, y array<double>.
-    Result: gid, key, carried columns, ``nn`` = array of (d, key, part, y) sorted by distance then key,
-    at least the k nearest of every part. ``dims`` gives the sizes of x and y where they are known, and
-    ``stored`` says that the queries come straight from a table.
+    Result: gid, key, carried columns, ``nn`` = array of (d, key, part, y) sorted by distance then key, the k nearest of every part.
+    With ``means`` their values take the place of the lists, which then never leave the tasks but for rows near a cell's border.
+    ``dims`` gives the sizes of x and y where they are known, and ``stored`` says that the queries come straight from a table.
     """
     spark = queries.sparkSession
     base = base.select("gid", "key", "x", "part", "y")
@@ -183,11 +282,15 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
     queries = queries if stored else cut(queries, "knn_query")
     d, o = dims or base.select(F.size("x"), F.size("y")).first() or (1, 1)
     plan = _plan(base, queries, d, k)
+    names = means.names if means else []
     if not plan:
         empty = T.StructType(queries.select("gid", "key", *carry).schema.fields)
-        return spark.createDataFrame([], empty.add("nn", "array<struct<d:double,key:bigint,part:int,y:array<double>>>"))
+        for c in names:
+            empty = empty.add(c, "double")
+        return spark.createDataFrame([], empty if means else empty.add("nn", NN_TYPE))
     # the tasks get the trees and samples along with their code: at most SAMPLE_VALUES coordinates altogether
     carry = list(carry)
+    xcols, ycols = [f"x{j}" for j in range(d)], [f"ny{j}" for j in range(o)]
 
     def place_base(frames):
         for f in frames:
@@ -195,92 +298,143 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, carry: tuple[str, ...]
                 t = plan[g]
                 x = np.stack(rows["x"].to_numpy())
                 leaf = _descend(t, x)
-                sub = rows["h"].to_numpy() % t.subs[leaf]
                 reps = t.salts[leaf]
                 at = np.repeat(np.arange(len(rows)), reps)
-                salt = np.concatenate([np.arange(r) for r in reps]) if len(reps) else np.zeros(0, int)
-                out = pd.DataFrame({"gid": g, "cell": leaf[at], "sub": sub[at], "salt": salt,
-                                    "key": rows["key"].to_numpy()[at], "part": rows["part"].to_numpy()[at]})
-                for j in range(d):
-                    out[f"x{j}"] = x[at, j]
+                out = {"gid": g, "cell": leaf[at], "sub": (rows["h"].to_numpy() % t.subs[leaf])[at], "salt": np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps),
+                       "key": rows["key"].to_numpy()[at], "part": rows["part"].to_numpy()[at]}
                 y = np.stack(rows["y"].to_numpy())
-                for j in range(o):
-                    out[f"ny{j}"] = y[at, j]
-                yield out
+                yield pd.DataFrame(out | {c: x[at, j] for j, c in enumerate(xcols)} | {c: y[at, j] for j, c in enumerate(ycols)})
 
-    def place_queries(frames):
+    def place_home(frames):
         for f in frames:
             for g, rows in f.groupby("gid", sort=False):
                 t = plan.get(g)
-                if t is None:
-                    continue
-                x = np.stack(rows["x"].to_numpy())
-                for a in range(0, len(rows), 20_000):
-                    xs, part = x[a:a + 20_000], rows.iloc[a:a + 20_000]
-                    i, leaf = _reached(t, xs, _bounds(t, xs, k, p) if t.depth else np.full(len(xs), np.inf), p)
+                if t is not None:
+                    x, h = np.stack(rows["x"].to_numpy()), rows["h"].to_numpy()
+                    leaf = _descend(t, x)
+                    out = {"gid": g, "cell": leaf, "sub": h % t.subs[leaf], "salt": h // 64 % t.salts[leaf], "key": rows["key"].to_numpy()}
+                    yield pd.DataFrame(out | {c: x[:, j] for j, c in enumerate(xcols)} | {c: rows[c].to_numpy(dtype=float) for c in carry})
+
+    def place_far(frames):
+        for f in frames:
+            for g, rows in f.groupby("gid", sort=False):
+                t = plan[g]
+                for a in range(0, len(rows), 10_000):
+                    part = rows.iloc[a:a + 10_000]
+                    x, h, r = part[xcols].to_numpy(), part["h"].to_numpy(), part["r"].to_numpy(dtype=float)
+                    open_ = np.flatnonzero(~np.isfinite(r))
+                    if len(open_):
+                        r = r.copy()
+                        r[open_] = _bounds(t, x[open_], k, p)
+                    i, leaf = _reached(t, x, r, p)
                     at = np.repeat(np.arange(len(i)), t.subs[leaf])
-                    sub = np.concatenate([np.arange(s) for s in t.subs[leaf]]) if len(i) else np.zeros(0, int)
+                    sub = np.arange(len(at)) - np.repeat(np.cumsum(t.subs[leaf]) - t.subs[leaf], t.subs[leaf])
                     i, leaf = i[at], leaf[at]
-                    out = pd.DataFrame({"gid": g, "cell": leaf, "sub": sub,
-                                        "salt": part["h"].to_numpy()[i] % t.salts[leaf], "key": part["key"].to_numpy()[i]})
-                    for j in range(d):
-                        out[f"x{j}"] = xs[i, j]
-                    for c in carry:
-                        out[c] = part[c].to_numpy(dtype=float)[i]
-                    yield out
-
-    xs = ", ".join(f"x{j} double" for j in range(d))
-    ys = ", ".join(f"ny{j} double" for j in range(o))
+                    home = _descend(t, x)[i]
+                    go = (leaf != home) | (sub != h[i] % t.subs[home])
+                    i, leaf, sub = i[go], leaf[go], sub[go]
+                    out = {"gid": g, "cell": leaf, "sub": sub, "salt": h[i] // 64 % t.salts[leaf], "key": part["key"].to_numpy()[i]}
+                    yield pd.DataFrame(out | {c: x[i, j] for j, c in enumerate(xcols)} | {c: part[c].to_numpy(dtype=float)[i] for c in carry})
+
+    xs, ys = ", ".join(f"{c} double" for c in xcols), ", ".join(f"{c} double" for c in ycols)
     cs = "".join(f", {c} double" for c in carry)
-    h = F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(1 << 30)).alias("h")
+    ms = "".join(f", {c} double" for c in names)
     ids = "gid int, cell int, sub int, salt int, key bigint"
-    left = queries.select("gid", "key", "x", *carry, h).mapInPandas(place_queries, f"{ids}, {xs}{cs}")
+    h = F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(1 << 30)).alias("h")
     right = base.select("*", h).mapInPandas(place_base, f"{ids}, part int, {xs}, {ys}")
-    xcols, ycols = [f"x{j}" for j in range(d)], [f"ny{j}" for j in range(o)]
-    nn_type = "array<struct<d:double,key:bigint,part:int,y:array<double>>>"
-
-    def matrix(t, names):
-        return np.column_stack([t.column(c).to_numpy() for c in names])
-
-    def search(q, b):
+    outer = ["gid", "key", *carry]
+
+    def matrix(t, cols):
+        return np.column_stack([t.column(c).to_numpy() for c in cols])
+
+    def values(n, row, part, y):
+        return {c: pa.array(v, from_pandas=True) for c, v in zip(names, means(n, row, part, y))} if means else {}
+
+    def lists(q, b):
+        """Entries of the queries' lists, and the lists of the rows where ``some``."""
+        bkey, bpart, by, qx = b.column("key").to_numpy(), b.column("part").to_numpy(), matrix(b, ycols), matrix(q, xcols)
+        row, dist, at, _ = local_nearest(qx, matrix(b, xcols), bkey, bpart, k, p)
+        return qx, row, dist, bkey[at], bpart[at], by[at]
+
+    def at_home(keys, q, b):
+        n = len(q)
+        t = plan[keys[0].as_py()] if n else None
+        if not n:
+            return pa.table({c: pa.array([], f.type) for c, f in zip(home_schema.names, home_schema)}, schema=home_schema)
+        if len(b):
+            qx, row, dist, key, part, y = lists(q, b)
+        else:
+            qx, row, dist, key, part, y = matrix(q, xcols), np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, int), np.zeros((0, o))
+        # the ball around a row holds k rows of every part
+        r = np.zeros(n)
+        for f in range(t.n_parts):
+            mine = np.flatnonzero(part == f)
+            place = np.arange(len(mine)) - np.searchsorted(row[mine], row[mine])
+            last = mine[place == k - 1]
+            far = np.full(n, np.inf)
+            far[row[last]] = dist[last]
+            r = np.maximum(r, far)
+        node = (1 << t.depth) - 1 + keys[1].as_py()
+        border = np.minimum(qx - t.lo[node], t.hi[node] - qx).min(axis=1)
+        r = r * (1 + 1e-12)
+        done = (r < border) & (t.subs[keys[1].as_py()] == 1)
+        if t.depth == 0 and t.subs[0] == 1:
+            done[:] = True
+        out = {c: q.column(c) for c in outer} | {"done": pa.array(done), "r": pa.array(r)} | {c: pa.array(qx[:, j]) for j, c in enumerate(xcols)}
+        out |= values(n, row, part, y)
+        if means:  # lists go on where they are not complete
+            go = ~done[row]
+            row, dist, key, part, y = row[go], dist[go], key[go], part[go], y[go]
+        return pa.table(out | {"near": _pack(row, dist, key, part, y, n)})
+
+    def abroad(q, b):
         if not len(q) or not len(b):
-            return pa.table({c: pa.array([], q.schema.field(c).type) for c in ["gid", "key", *carry]} | {"near": pa.array([], near_type)})
-        bk, bpart = b.column("key").to_numpy(), b.column("part").to_numpy()
-        bx, by, qx = matrix(b, xcols), matrix(b, ycols), matrix(q, xcols)
-        hits = []
-        for part in np.unique(bpart):
-            # base rows in key order, so that position decides ties
-            mine = np.flatnonzero(bpart == part)
-            mine = mine[np.argsort(bk[mine], kind="stable")]
-            kk = min(k, len(mine))
-            step = max(1, (1 << 21) // len(mine))
-            for a in range(0, len(qx), step):
-                dist = distances(qx[a:a + step], bx[mine], p)
-                kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
-                i, j = np.nonzero(dist <= kth[:, None])
-                order = np.lexsort((j, dist[i, j], i))
-                i, j = i[order], j[order]
-                keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(dist)))[i] < kk
-                i, j = i[keep], j[keep]
-                hits.append((a + i, dist[i, j], mine[j]))
-        row, dd, at = (np.concatenate(v) for v in zip(*hits))
-        order = np.argsort(row, kind="stable")
-        row, dd, at = row[order], dd[order], at[order]
-        y = pa.ListArray.from_arrays(pa.array(np.arange(0, len(row) * o + 1, o, dtype=np.int32)), pa.array(by[at].ravel()))
-        one = pa.StructArray.from_arrays([pa.array(dd), pa.array(bk[at]), pa.array(bpart[at].astype(np.int32)), y], fields=list(near_type.value_type))
-        near = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(qx) + 1)).astype(np.int32)), one)
-        return pa.table({c: q.column(c) for c in ["gid", "key", *carry]} | {"near": near})
-
-    near_type = pa.list_(pa.struct([("d", pa.float64()), ("key", pa.int64()), ("part", pa.int32()), ("y", pa.list_(pa.float64()))]))
-    found = left.groupBy("gid", "cell", "sub", "salt").cogroup(right.groupBy("gid", "cell", "sub", "salt")).applyInArrow(
-        search, f"gid int, key bigint{cs}, near {nn_type}")
+            return pa.table({c: pa.array([], q.schema.field(c).type) for c in outer} | {"near": pa.array([], NEAR)})
+        _, *entries = lists(q, b)
+        return pa.table({c: q.column(c) for c in outer} | {"near": _pack(*entries, len(q))})
+
+    kinds = {"gid": pa.int32(), "key": pa.int64(), "done": pa.bool_(), "near": NEAR}
+    order = [*outer, "done", "r", *xcols, *names, "near"]
+    home_schema = pa.schema([(c, kinds.get(c, pa.float64())) for c in order])
+    where = ["gid", "cell", "sub", "salt"]
+    left = queries.select("gid", "key", "x", *carry, h).mapInPandas(place_home, f"{ids}, {xs}{cs}")
+    home = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(at_home, f"gid int, key bigint{cs}, done boolean, r double, {xs}{ms}, near {NN_TYPE}")
+    result = [*outer, *(names or ["nn"])]
+    if all(t.depth == 0 and t.subs[0] == 1 for t in plan.values()):
+        return home.withColumnRenamed("near", "nn").select(*result)
+    home = cut(home, "knn_home")
+    ready = home.where("done").withColumnRenamed("near", "nn").select(*result)
+    open_ = home.where("NOT done")
+    visits = cut(open_.select(*outer, "r", *xcols, h).mapInPandas(place_far, f"{ids}, {xs}{cs}"), "knn_visits")
+    asked = visits.select(*where).distinct()  # at most one row per cell and copy
+    found = visits.groupBy(*where).cogroup(right.join(asked, where, "left_semi").groupBy(*where)).applyInArrow(abroad, f"gid int, key bigint{cs}, near {NN_TYPE}")
+    more = open_.select(*outer, "near").unionByName(found)
     if max(int(t.subs.sum()) for t in plan.values()) > 256:
         # a query may meet very many blocks: drop what cannot be among the k before lists are put together
         w = W.partitionBy("gid", "key", "n.part").orderBy("n.d", "n.key")
-        found = found.withColumn("n", F.explode("near")).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
-        found = found.select("gid", "key", *carry, F.array("n").alias("near"))
-    return found.groupBy("gid", "key").agg(*[F.first(c).alias(c) for c in carry],
-                                           F.array_sort(F.flatten(F.collect_list("near"))).alias("nn"))
+        more = more.withColumn("n", F.explode("near")).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+        more = more.select(*outer, F.array("n").alias("near"))
+    whole = more.groupBy("gid", "key").agg(*[F.first(c).alias(c) for c in carry], F.array_sort(F.flatten(F.collect_list("near"))).alias("nn"))
+    if not means:
+        # blocks give k rows of a part each: the first k of a part stay
+        first = "filter(nn, (n, i) -> size(filter(slice(nn, 1, i), m -> m.part = n.part)) < {})".format(k)
+        return ready.unionByName(whole.select(*outer, F.expr(first).alias("nn")))
+
+    def finish(batches):
+        for b in batches:
+            near = b.column("nn")
+            n, sizes = len(b), np.asarray(near.value_lengths())
+            flat = near.flatten()
+            row, part = np.repeat(np.arange(n), sizes), flat.field("part").to_numpy()
+            y = flat.field("y").flatten().to_numpy().reshape(-1, o)
+            # first k of each part, as the tasks give them
+            keep = np.zeros(len(row), bool)
+            for f in np.unique(part):
+                mine = np.flatnonzero(part == f)
+                keep[mine[np.arange(len(mine)) - np.searchsorted(row[mine], row[mine]) < k]] = True
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in outer} | values(n, row[keep], part[keep], y[keep]))
+
+    return ready.unionByName(whole.mapInArrow(finish, f"gid int, key bigint{cs}{ms}"))
 
 
 def best_of(nn: str, k: int, but_part: int | None = None) -> str:

@@ -16,7 +16,7 @@ from ..functions.keys import fold, is_test
 from ..session import cut
 from . import gram, mlp
 from .dcor import distance_correlation, distance_correlation_blocks
-from .neighbors import best_of, mean_of, nearest
+from .neighbors import Means, nearest
 from .order import with_position
 
 # fixed values
@@ -150,27 +150,23 @@ class Fitted:
     cv: DataFrame     # tuple_id, params MAP, fold, test_score, train_score
 
 
-def _cv_scores(lists: DataFrame, n_out: int, scoring: str, fold_of: int | None) -> DataFrame:
-    """Scores per gid, k and fold from neighbour lists, all from one aggregate.
+def _cv_scores(means: DataFrame, n_out: int, scoring: str, fold_of: int | None) -> DataFrame:
+    """Scores per gid, k and fold from the means of neighbour lists, all from one aggregate.
 
-    With ``fold_of`` None a list holds neighbours of every fold and leaving one out is a filter of the
-    list; otherwise the lists belong to searches that left out that fold already.
+    With ``fold_of`` None a list holds neighbours of every fold and there is a mean for each fold left out; otherwise the
+    searches left out that fold already.
     """
     folds = list(range(FOLDS)) if fold_of is None else [fold_of]
-    ys = [f"y{o}" for o in range(n_out)]
-    shared = lists.where("is_test = 0").select("gid", "fold", *ys, *[
-        F.expr(best_of("nn", max(K_LIST), f if fold_of is None else None)).alias(f"nn{f}") for f in folds])
-    cells = [(k, f) for k in K_LIST for f in folds]
-    wide = shared.select("gid", "fold", *ys, *[
-        mean_of(best_of(f"nn{f}", k), o).alias(f"p_{k}_{f}_{o}") for k, f in cells for o in range(n_out)])
     aggs = []
-    for k, f in cells:
-        for side, on in (("test", F.col("fold") == f), ("train", F.col("fold") != f)):
-            parts = [M.score(scoring, F.when(on, F.col(f"y{o}")), F.col(f"p_{k}_{f}_{o}")) for o in range(n_out)]
-            aggs.append((sum(parts[1:], parts[0]) / n_out).alias(f"{side}_{k}_{f}"))
+    for k in K_LIST:
+        for f in folds:
+            for side, on in (("test", F.col("fold") == f), ("train", F.col("fold") != f)):
+                p = [F.col(f"m{k}_{f}_{o}" if fold_of is None else f"m{k}_{o}") for o in range(n_out)]
+                parts = [M.score(scoring, F.when(on, F.col(f"y{o}")), p[o]) for o in range(n_out)]
+                aggs.append((sum(parts[1:], parts[0]) / n_out).alias(f"{side}_{k}_{f}"))
     rows = [F.struct(F.lit(k).alias("k"), F.lit(f).alias("fold"), F.col(f"test_{k}_{f}").alias("test_score"),
-                     F.col(f"train_{k}_{f}").alias("train_score")) for k, f in cells]
-    return wide.groupBy("gid").agg(*aggs).select("gid", F.inline(F.array(*rows)))
+                     F.col(f"train_{k}_{f}").alias("train_score")) for k in K_LIST for f in folds]
+    return means.where("is_test = 0").groupBy("gid").agg(*aggs).select("gid", F.inline(F.array(*rows)))
 
 
 def fit_knn(points: DataFrame, fits: list[Baseline], n_in: int, n_out: int, scoring: str = "r2", scaling: str = "test") -> Fitted:
@@ -211,7 +207,8 @@ def fit_knn(points: DataFrame, fits: list[Baseline], n_in: int, n_out: int, scor
         q[0] = q[0].unionByName(d)
     for d in b[1:]:
         b[0] = b[0].unionByName(d)
-    lists = cut(nearest(q[0], b[0], max(K_LIST), carry=carry, dims=(n_in, n_out), stored=True), "neighbours")
+    wanted = Means(K_LIST, list(range(FOLDS)), n_out)
+    lists = cut(nearest(q[0], b[0], max(K_LIST), carry=carry, dims=(n_in, n_out), stored=True, means=wanted), "neighbours")
     code = F.pmod("gid", F.lit(slots))
     tuple_of = F.floor(F.col("gid") / slots).cast("int").alias("tuple_id")
     cv = None
@@ -241,7 +238,7 @@ def fit_knn(points: DataFrame, fits: list[Baseline], n_in: int, n_out: int, scor
     for o in range(n_out):
         p = F.lit(None).cast("double")
         for k in K_LIST:
-            p = F.when(F.col("use_k") == k, mean_of(best_of("nn", k), o)).otherwise(p)
+            p = F.when(F.col("use_k") == k, F.col(f"m{k}_{o}")).otherwise(p)
         main.append(p.alias(f"main{o}"))
     rows = final.select("tuple_id", "key", (F.col("is_test") == 1).alias("is_test"), F.col("fold").cast("int"), *ys,
                         *[f"{m}{o}" for m in ("linear", "power") for o in range(n_out)], *main)
