@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 from .bpe import chunks
+from .memory import lean
 from .stretches import Memo, cuts_at_spaces, split
 
 BOUND, FLUSH = 1 << 20, 1 << 20
@@ -167,8 +168,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys binary, times binary" + ", groups string" * keep_groups
-    made = cut(docs.select(id_col, text_col).mapInArrow(tokens, schema).withColumn("at", F.monotonically_increasing_id()), "aligned")
-    counted = made.filter("n_links > 0").select("keys").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    made = cut(docs.select(id_col, text_col).mapInArrow(lean(tokens), schema).withColumn("at", F.monotonically_increasing_id()), "aligned")
+    counted = made.filter("n_links > 0").select("keys").mapInArrow(lean(_counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     pairs = cut(counted.withColumn("a", F.floor(F.col("key") / wide)), "pairs")
     most = pairs.groupBy("a").agg(F.max("n").alias("most"))
     pairs = cut(pairs.join(most, "a").select("key", "n", (F.col("n") == F.col("most")).alias("best")), "pairs")

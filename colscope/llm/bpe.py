@@ -21,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .memory import lean
+
 WIDE = 256  # bytes of a piece up to which it is merged in a matrix
-KEPT = 1_000_000  # pieces whose ids a task remembers
+KEPT = 200_000  # pieces whose ids a task remembers
 STRIDE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.int32(2**31 - 1)
 
@@ -197,10 +199,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     ``keep_ids=False`` gives digests of both instead: ids_sha256 and decoded_sha256.
     """
-    tables = Tables(read_ranks(ranks_path))
+    shared = docs.sparkSession.sparkContext.broadcast(Tables(read_ranks(ranks_path)))  # a few MB, set by the vocabulary
     names = ["doc_id", "n_tokens", "ids", "decoded"] if keep_ids else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
         encoder = Encoder(tables, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -211,4 +214,4 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, both)], names=names)
 
     last = "ids binary, decoded binary" if keep_ids else "ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, {last}")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, {last}")

@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..session import cut
 from .bpe import chunks
 from .graph import components, local_roots
+from .memory import lean
 from .words import Words, grams, mix
 
-SHINGLE, BLOCK, BUCKET, FLUSH, PIVOTS = 5, 2_000, 3_000_000, 2_000_000, 8
-HOT, TRACKED = 30_000, 100_000
+SHINGLE, BLOCK, BUCKET, FLUSH, PIVOTS = 5, 2_000, 3_000_000, 400_000, 8
+HOT, TRACKED, SEEN = 30_000, 100_000, 200_000
 PACKED = "fp binary, n binary, cnt binary, tok binary"
 
 
@@ -99,7 +100,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
         tok, n = seen.often()
         if len(tok):
             yield row(pa.nulls(len(tok), kind), n, tok.view(np.int64), True)
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n long, fp long, hot boolean")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)[id_col]}, n long, fp long, hot boolean")
 
 
 def _hot(sets: DataFrame, total: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +138,7 @@ def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _dealt(docs: DataFrame, text_col: str, size: int, buckets: int, parts: int, hot: np.ndarray) -> DataFrame:
-    """All distinct shingles of all sets by bucket, hot ones by part of the documents; sets that a task meets twice are sent once."""
+    """All distinct shingles of all sets by bucket, hot ones by part of the documents; sets that a task meets again among the last ``SEEN`` are not sent again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         seen: set[int] = set()
@@ -154,6 +155,8 @@ def _dealt(docs: DataFrame, text_col: str, size: int, buckets: int, parts: int,
             texts = batch.column(0).to_pylist()
             for a, b in chunks([t or "" for t in texts]):
                 tok, n, fp = shingle_sets(texts[a:b], size)
+                if len(seen) > SEEN:
+                    seen.clear()
                 fresh = np.array([m > 0 and not (f in seen or seen.add(f)) for f, m in zip(fp.tolist(), n)], bool)
                 if fresh.any():
                     held.append((fp[fresh], n[fresh], tok[np.repeat(fresh, n)]))
@@ -161,7 +164,7 @@ def _dealt(docs: DataFrame, text_col: str, size: int, buckets: int, parts: int,
                     yield flush()
         if held:
             yield flush()
-    return docs.select(text_col).mapInArrow(run, f"p int, {PACKED}")
+    return docs.select(text_col).mapInArrow(lean(run), f"p int, {PACKED}")
 
 
 def _lists(parts: int, buckets: int, hot: np.ndarray, often: np.ndarray):
@@ -343,7 +346,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = sets.filter("NOT hot").drop("hot")
     total, n_rows = rows.agg(F.sum("n"), F.count("*")).first()
     buckets = buckets or max(1, -(-(total or 0) // BUCKET))
-    parts = max(1, -(-n_rows // 20_000))
+    parts = max(1, -(-n_rows // 20_000), -(-(total or 0) // BUCKET))  # neither many documents nor long ones make a large part
     tokens, often = _hot(sets, total or 0, hot)
     lists = _dealt(docs, text_col, shingle, buckets, parts, tokens).groupBy("p").applyInPandas(_lists(parts, buckets, tokens, often), f"d int, {PACKED}, df binary")
     live = cut(lists.groupBy("d").applyInPandas(_shortest, "fp long, n long, tok binary, short binary"), "live")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import chunks
+from .memory import lean
 
 BUCKETS = 1 << 16
 SMOOTH = 0.1
@@ -70,7 +71,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(n[used].astype(np.int64))], names=["lang", "bucket", "n"])
 
     used = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, F.col(lang_col).cast("string"))
-    return used.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return used.mapInArrow(lean(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -159,7 +160,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[Col
 
     used = docs.select(F.col(text_col).alias("__text"), *keep)
     schema = used.drop("__text").schema.add("lang_pred", "string").add("score", "double")
-    return used.mapInArrow(run, schema)
+    return used.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

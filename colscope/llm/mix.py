@@ -72,6 +72,11 @@ def source_targets(sizes: DataFrame, schedules: Sequence[Schedule] = CURRICULUM,
     return got.withColumn("target", F.round(target, 6)).drop("weight", "cap")
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def place(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
           schedules: Sequence[Schedule] = CURRICULUM, cap: int = MAX_EPOCHS, whole_rows: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) and copies: array<struct<position, words>> of every row.
@@ -80,7 +85,7 @@ def place(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     times. With ``whole_rows`` the input row comes along as the struct ``doc``; without, only ids and sizes are moved.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    row = [F.struct(*[F.col(c) for c in docs.columns]).alias("doc")] if whole_rows else []
+    row = [F.struct(*map(named, docs.columns)).alias("doc")] if whole_rows else []
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).isNull().alias("__none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__src"),
                         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__h"), size.alias("size"), *row)
     keyed = keyed if whole_rows else cut(keyed, "sizes")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 from .bpe import chunks
+from .memory import lean
 from .stretches import Memo, cuts_at_spaces, split
 
 WINDOW, GROUP = 2048, 4096
@@ -140,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * keep_ids, names=names)
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

@@ -111,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     free = near(ids, total).orderBy(order).limit(limit)
     # at most 2 * limit ids, whatever the input
     chosen = positive.withColumn("__positive", F.lit(True)).unionByName(free.withColumn("__positive", F.lit(False)))
-    sample = docs.join(F.broadcast(chosen), id_col)
+    # one text for an id, however often it comes
+    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col, "__positive").agg(F.min(text_col).alias(text_col))
     vectors = lambda texts: pa.array(_matrix(texts).tolist(), pa.list_(pa.float64()))
     got = _described(sample, text_col, ["__positive"], vectors, "x", T.ArrayType(T.DoubleType())).toPandas() if n else None
     if got is None or not got["__positive"].any() or got["__positive"].all():

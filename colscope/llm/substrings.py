@@ -12,7 +12,8 @@ out of the shards and its windows are compared one by one after a hash shuffle,
 no large shard. Every window is judged on the input; no length, count or text is capped.
 
 Defined cases: a null text has no words; a null id counts as the smallest id; documents shorter than a window lose nothing; rows with
-the same id and text are one document and get equal rows; other columns are not read. Hashes of 64 bits stand for words and runs.
+the same id and text are one document and get equal rows; other columns are not read. Ids are integers. An empty table gives an empty table.
+Hashes only choose what is compared: shards compare words, and hot windows 128-bit digests of their words.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 from .bpe import chunks
+from .memory import lean
 from .words import Words, grams
 
 WINDOW, GRAM = 20, 6
-HOT, STRETCHES, FLUSH, BUCKET_CHARS = 5_000, 8_000, 4_000_000, 100_000_000
+HOT, STRETCHES, FLUSH, BUCKET_CHARS = 5_000, 8_000, 500_000, 100_000_000
 LOWEST = -(1 << 63)
 
 
@@ -252,13 +254,14 @@ def _shard(window: int):
         first = pd.Series(np.arange(len(pdf))).groupby(pdf["content"].to_numpy()).transform("first").to_numpy()
         same = copy & (doc == doc[first]) & (start == start[first])
         one = ~copy
-        w = Words(pdf["content"][one].tolist())
-        _, code = np.unique(w.hash, return_inverse=True)
-        m = int(one.sum())
-        size = np.bincount(w.doc, minlength=m)
+        rows = [c.split() for c in pdf["content"][one]]
+        numbers: dict[bytes, int] = {}  # the alphabet: words themselves, not their hashes
+        code = np.array([numbers.setdefault(x, len(numbers)) for row in rows for x in row], np.int64)
+        m = len(rows)
+        size = np.fromiter(map(len, rows), np.int64, m)
         begin = np.r_[0, np.cumsum(size + 1)[:-1]]
         symbols = np.zeros(int(size.sum()) + m, np.int64)  # 0 ends a stretch
-        symbols[np.arange(len(code)) + w.doc] = code + 1
+        symbols[np.arange(len(code)) + np.repeat(np.arange(m), size)] = code + 1
         hit = repeated_windows(symbols, begin, size, window)
         at = np.flatnonzero(hit)
         of = np.searchsorted(begin, at, side="right") - 1
@@ -274,18 +277,18 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     """(doc, tid, start, n): runs of windows that also start earlier. ``docs`` has doc, tid and text."""
     rows, chars = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
     buckets = max(1, -(-(chars or 0) // BUCKET_CHARS))
-    sent = cut(docs.select("doc", "text").mapInArrow(_minimisers(window, gram, buckets), "p int, id long, doc binary, tok binary"), "minimisers")
+    sent = cut(docs.select("doc", "text").mapInArrow(lean(_minimisers(window, gram, buckets)), "p int, id long, doc binary, tok binary"), "minimisers")
     far = sent.filter("p >= 0").groupBy("p").applyInPandas(_again, "doc long, tok binary")
     near = sent.filter("p < 0").select(F.col("id").alias("doc"), "tok")
     again = far.unionByName(near).groupBy("doc").agg(F.collect_list("tok").alias("again"))
-    found = cut(docs.join(again, "doc").select("doc", "tid", "text", "again").mapInPandas(_candidates(window, gram), SCHEMA), "stretches")
+    found = cut(docs.join(again, "doc").select("doc", "tid", "text", "again").mapInPandas(lean(_candidates(window, gram)), SCHEMA), "stretches")
     place = ["doc", "tid", "start", "n"]
     ask = found.filter("content IS NOT NULL")
     crowded = cut(ask.groupBy("key").count().filter(F.col("count") > hot).select("key"), "crowded")
     shards = max(1, -(-ask.count() // STRETCHES))
     by_index = (ask.join(crowded, "key", "left_anti").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard")
                 .applyInPandas(_shard(window), "doc long, tid long, start int, n int"))
-    single = cut(ask.join(crowded, "key", "left_semi").mapInPandas(_windows(window), SCHEMA), "windows")
+    single = cut(ask.join(crowded, "key", "left_semi").mapInPandas(lean(_windows(window)), SCHEMA), "windows")
     least = single.filter("content IS NOT NULL").groupBy("content").agg(F.min(F.struct("doc", "start")).alias("first"))
     later = single.filter("content IS NOT NULL").join(least, "content").filter(F.struct("doc", "start") > F.col("first"))
     return (found.filter("content IS NULL").select(place).unionByName(by_index).unionByName(single.filter("content IS NULL").select(place)).unionByName(later.select(place)))
@@ -321,5 +324,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     joined = whole.join(spots, ["doc", "tid"], "left").select("doc", "text", "starts", "ns", *(["row"] if carry else []))
     schema = joined.select(F.col("doc").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(name), *(["row"] if carry else [])).schema
-    got = joined.mapInArrow(run, schema)
+    got = joined.mapInArrow(lean(run), schema)
     return got.withColumn("doc_id", F.when(F.col("doc_id") != LOWEST, F.col("doc_id")))

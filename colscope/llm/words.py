@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+SHORT = 512  # bytes up to which words are hashed side by side
+SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,11 +20,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size - 1, b, np.uint64))]) for b in (BASE, INVERSE)]
-    return _powers
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word ``data[start:end]``: its blocks of eight bytes are mixed in one after the other, for all words at once; long words go through a digest."""
+    size = end - start
+    out = mix(size.astype(np.uint64) ^ SEED)
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    live = np.flatnonzero(size <= SHORT)
+    at = 0
+    while len(live):
+        block = np.ascontiguousarray(eight[start[live] + at]).view("<u8").ravel()
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        block &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+        out[live] = mix((out[live] ^ block) * SEED + np.uint64(at + 1))
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > SHORT).tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(data[start[k]:end[k]], digest_size=8).digest(), np.uint64)[0]
+    return out
 
 
 class Words:
@@ -42,9 +55,7 @@ class Words:
         self.start, self.end = edge[::2], edge[1::2]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.doc = np.searchsorted(np.cumsum(sizes), self.start, side="right")
-        power, inverse = _power(len(data) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)])])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = hash_words(data, self.start, self.end)
 
 
 STEPS = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(64)], np.uint64)
