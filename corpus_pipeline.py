@@ -9,9 +9,10 @@ come along under their names, whatever these are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colscope.llm import bpe, jaccard, langid, mix, substrings
+from colscope.llm.mix import named
 from colscope.session import cut
 
 #: A text whose leading language has a smaller share than this is rejected, as is one without letters.
@@ -20,25 +21,33 @@ LEAST_SHARE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters and a leading language; ties and repeated rows are judged alike."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(whole(docs))
     named = docs.filter(~F.coalesce(langid.held_out("doc_id", 3, 1), F.lit(False)))
     langs, table = langid.learn(named)
     judged = langid.predict(rows, langs, table, ["row"], "row.text")
     return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
+def whole(docs: DataFrame) -> Column:
+    return F.struct(*map(named, docs.columns)).alias("row")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents; of repeated rows one stays, documents without words all stay."""
-    groups = jaccard.jaccard_groups(docs)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    """The row with the smallest doc_id (null last, then by text) of each group of linked rows; rows without words all stay.
+
+    Rows with equal id and text are one document, of which the row with the smallest hash over all columns stays.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")).alias("id")
+    groups = jaccard.jaccard_groups(docs.select(own, "text"), "id")
+    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(own, whole(docs)).groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))  # copies meet before the shuffle
+    return rows.join(stay, "id", "left_semi").select("row.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that start earlier; a document of which nothing stays goes, others keep their text where nothing was removed."""
     other = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    rows = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("null"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(other)]).alias("own"))
+    rows = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("null"), *[named(c).alias(f"c{i}") for i, c in enumerate(other)]).alias("own"))
     got = substrings.remove_repeats(rows, carry=["own"]).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     text = F.when(~F.col("row.own.null"), F.col("kept"))
     made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"row.own.c{i}") for i, c in enumerate(other)}
