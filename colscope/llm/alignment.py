@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the bytes they share, and how usual each aligned pair is in the corpus.
 
-Both id lists of a stretch of text get a dictionary from cumulative byte end to index. The sorted intersection of the keys slices both lists into
-groups; within a slice the tokens whose byte ranges overlap are linked. Stretches between single spaces end on both sides, so a task aligns
-each distinct one once; where a tokenizer does not allow that cut, or a stretch does not give back its bytes, the whole text is aligned.
+Both id lists of a text get a dictionary from cumulative byte end to index. The sorted intersection of the keys slices both lists into
+groups; within the slices every byte range between neighbouring ends of either list links the two tokens that cover it. A long text is worked on in segments
+that end at single spaces; where a tokenizer does not allow that cut, or a segment does not give back its bytes, the whole text is aligned at once.
 
 Three passes: tokens, groups and distinct pairs of every document, written as packed arrays; the documents that hold a pair, counted in each task
 before the shuffle; sums over every document's links. For the sums, pairs held by the most documents travel to the tasks, at most ``BOUND`` of them; links
@@ -16,8 +16,9 @@ Empty tables give no row; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,49 +27,25 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut
 from .bpe import chunks
 from .memory import lean
-from .stretches import Memo, cuts_at_spaces, split
+from .stretches import FROM_CHAR, by_ranks, byte_level, cuts_at_spaces, segments
 
 BOUND, FLUSH = 1 << 20, 1 << 20
+SHORT = 128  # characters of a segment for the pieces, whose merging slows down with length
 MARK = "▁"  # stands for a space in pieces
 
 
-def byte_level(entry: str) -> bytes:
-    """Bytes of a byte-level entry: printable Latin-1 characters stand for themselves, the other bytes for 256 and on, in order."""
-    return bytes(_FROM_CHAR[c] for c in entry)
+def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes behind the last token of every group in both lists, from their cumulative byte ends."""
+    index_a, index_b = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1))), dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
+    common = sorted(index_a.keys() & index_b.keys())
+    return tuple(np.fromiter(map(index.__getitem__, common), np.int64, len(common)) for index in (index_a, index_b))
 
 
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_FROM_CHAR = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
-
-
-def slices(ids_a: list[int], ids_b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Ranges (a from, a to, b from, b to) between the byte ends that both lists have."""
-    ends_a = {end: i for i, end in enumerate(accumulate(map(size_a.__getitem__, ids_a)), 1)}
-    ends_b = {end: i for i, end in enumerate(accumulate(map(size_b.__getitem__, ids_b)), 1)}
-    out, a, b = [], 0, 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        i, j = ends_a[end], ends_b[end]
-        out.append((a, i, b, j))
-        a, b = i, j
-    return out
-
-
-def overlaps(ids_a: list[int], ids_b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[int, int]]:
-    """Pairs of a slice whose byte ranges overlap; both lists cover the same bytes."""
-    out, i, j = [], 0, 0
-    left_a, left_b = size_a[ids_a[0]], size_b[ids_b[0]]
-    while True:
-        out.append((ids_a[i], ids_b[j]))
-        least = min(left_a, left_b)
-        left_a, left_b = left_a - least, left_b - least
-        if not left_a:
-            i += 1
-            if i == len(ids_a):
-                return out
-            left_a = size_a[ids_a[i]]
-        if not left_b:
-            j += 1
-            left_b = size_b[ids_b[j]]
+def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both lists of every pair whose byte ranges overlap; both lists cover the same bytes, so a pair shares just one range between neighbouring ends."""
+    every = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two rising runs
+    every = every[np.append(every[1:] != every[:-1], True)]
+    return np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
 
 
 class Aligner:
@@ -78,45 +55,55 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(json_a)
-        self.a.encode_special_tokens = True
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
+        a = Tokenizer.from_str(json_a)
+        a.encode_special_tokens = True
+        ranks = by_ranks(json_a, special=False)
+        self.lossless = ranks is not None  # merges of the text's own bytes, nothing else
+        self.encode_a = (lambda t: ranks.encode_to_numpy(t, disallowed_special=())) if ranks else (lambda t: np.array(a.encode(t, add_special_tokens=False).ids, np.int64))
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
-        n = self.a.get_vocab_size()
-        entries = [self.a.id_to_token(i) for i in range(n)]
-        self.bytes_a = [byte_level(e) if e is not None and set(e) <= _FROM_CHAR.keys() else (e or "").encode() for e in entries]
+        entries = [a.id_to_token(i) for i in range(a.get_vocab_size())]
+        self.bytes_a = [byte_level(e) if e is not None and set(e) <= FROM_CHAR.keys() else (e or "").encode() for e in entries]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
-        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.wide = len(names)  # a pair's key is a * wide + b
         self.cuts = cuts_at_spaces(json_a) and not any(MARK in p.lstrip(MARK) for p in names)
-        self.memo = Memo(self._stretches)
-
-    def _stretches(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray] | None]:
-        """(n_a, n_b, n_groups, groups, keys of all links) of each text, None where the bytes differ."""
-        rows_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        out = []
-        for text, ids_a, ids_b in zip(texts, rows_a, self.b.encode(texts, num_threads=1)):
-            whole = (" " + text).encode()
-            if b"".join(map(self.bytes_a.__getitem__, ids_a)) != whole or b"".join(map(self.bytes_b.__getitem__, ids_b)) != whole:
-                out.append(None)
-                continue
-            cuts = slices(ids_a, ids_b, self.size_a, self.size_b)
-            links = [p for a, i, b, j in cuts for p in overlaps(ids_a[a:i], ids_b[b:j], self.size_a, self.size_b)]
-            groups = ";".join(f"{','.join(map(str, ids_a[a:i]))}|{','.join(map(str, ids_b[b:j]))}" for a, i, b, j in cuts)
-            out.append((len(ids_a), len(ids_b), len(cuts), groups, np.array([a * self.wide + b for a, b in links], np.int64)))
-        return out
-
-    def __call__(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray] | None]:
-        rows = [split(t) if self.cuts else [t] for t in texts]
-        known = self.memo(rows)
-        out = []
-        for text, row in zip(texts, rows):
-            got = [known[p] for p in row]
-            if not text or None in got:  # a stretch that is not given back: judged on the whole text
-                out.append(self._stretches([text])[0] if text and len(row) > 1 else None)
+        # how an id is written before a comma, before a bar and before a semicolon
+        self.kinds = max(len(entries), len(names))
+        self.written = np.array([f"{i}{c}" for c in ",|;" for i in range(self.kinds)], object)
+
+    def align(self, text: str) -> tuple[int, int, int, str, np.ndarray] | None:
+        """(n_a, n_b, n_groups, groups with an end mark each, keys of all links) of a text, None where the bytes differ."""
+        whole = (" " + text).encode()
+        a = self.encode_a(" " + text).astype(np.int64)
+        list_b = list(chain.from_iterable(self.b.encode(segments(text, SHORT) if self.cuts else [text], num_threads=1)))
+        if b"".join(map(self.bytes_b.__getitem__, list_b)) != whole or not (self.lossless or b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole):
+            return None
+        b = np.array(list_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        last_a, last_b = slices(ends_a, ends_b)
+        link_a, link_b = overlaps(ends_a, ends_b)
+        # in the text of the groups a token of A stands behind the B tokens of earlier groups, one of B behind the A tokens of its own and earlier ones
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[last_a - 1], mark_b[last_b - 1] = self.kinds, 2 * self.kinds
+        size_a, size_b = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(last_b - size_b, size_a)] = a + mark_a
+        order[np.arange(len(b)) + np.repeat(last_a, size_b)] = b + mark_b
+        return len(a), len(b), len(last_a), "".join(self.written[order].tolist()), a[link_a] * self.wide + b[link_b]
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray] | None]:
+        for text in texts:
+            parts = segments(text) if self.cuts else [text]
+            got = [self.align(p) for p in parts] if text else [None]
+            if None in got and len(parts) > 1:  # a segment that is not given back: judged on the whole text
+                got = [self.align(text)]
+            if None in got:
+                yield None
             else:
-                out.append((sum(g[0] for g in got), sum(g[1] for g in got), sum(g[2] for g in got), ";".join([g[3] for g in got]), np.concatenate([g[4] for g in got])))
-        return out
+                n_a, n_b, n_groups = (sum(g[k] for g in got) for k in range(3))
+                yield n_a, n_b, n_groups, "".join([g[3] for g in got])[:-1], np.concatenate([g[4] for g in got])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

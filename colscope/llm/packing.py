@@ -15,6 +15,7 @@ a text of any length is cut, none is held back; an empty table gives no piece; o
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut
 from .bpe import chunks
 from .memory import lean
-from .stretches import Memo, cuts_at_spaces, split
+from .stretches import batches_of, by_ranks
 
 WINDOW, GROUP = 2048, 4096
 
@@ -95,24 +96,20 @@ def piece_lengths(n: int, window: int = WINDOW) -> list[int]:
 
 
 class Ids:
-    """Little-endian unsigned 32-bit ids of texts by a tokenizer file, without added special tokens."""
+    """Little-endian unsigned 32-bit ids of texts by a tokenizer file, without added special tokens: by ranks where the file is a plain byte-level BPE, else by its own library."""
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
+        self.ranks = by_ranks(tokenizer_json, special=True)
+        if not self.ranks:
+            from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cuts = cuts_at_spaces(tokenizer_json)
-        self.first, self.later = Memo(self._encode), Memo(lambda parts: self._encode([" " + p for p in parts]))
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
+            self.tokenizer = Tokenizer.from_str(tokenizer_json)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts:
-            return self._encode(texts)
-        rows = [split(t) for t in texts]
-        first, later = self.first([r[:1] for r in rows]), self.later([r[1:] for r in rows])
-        return [first[r[0]] + b"".join(map(later.__getitem__, r[1:])) for r in rows]
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        if self.ranks:
+            return (self.ranks.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in texts)
+        return (np.array(e.ids, "<u4").tobytes() for some in batches_of(texts) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
