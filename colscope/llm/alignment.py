@@ -1,8 +1,9 @@
 """Alignment of two tokenizers over the bytes they share, and how usual each aligned pair is in the corpus.
 
 Both id lists of a text get a dictionary from cumulative byte end to index. The sorted intersection of the keys slices both lists into
-groups; within the slices every byte range between neighbouring ends of either list links the two tokens that cover it. A long text is worked on in segments
-that end at single spaces; where a tokenizer does not allow that cut, or a segment does not give back its bytes, the whole text is aligned at once.
+groups; within the slices every byte range between neighbouring ends of either list links the two tokens that cover it. Stretches between single spaces end on
+both sides, so a task aligns those it has not met yet together, in arrays, and puts texts together from what it knows; where a tokenizer does not allow that cut, or
+a stretch does not give back its bytes, the whole text is aligned at once.
 
 Three passes: tokens, groups and distinct pairs of every document, written as packed arrays; the documents that hold a pair, counted in each task
 before the shuffle; sums over every document's links. For the sums, pairs held by the most documents travel to the tasks, at most ``BOUND`` of them; links
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut
 from .bpe import chunks
 from .memory import lean
-from .stretches import FROM_CHAR, by_ranks, byte_level, cuts_at_spaces, segments
+from .stretches import FROM_CHAR, SINGLE_SPACE, by_ranks, byte_level, cuts_at_spaces, segments
 
 BOUND, FLUSH = 1 << 20, 1 << 20
+KEPT, LONGEST = 200_000, 48  # stretches that a task remembers, and their characters at most
 SHORT = 128  # characters of a segment for the pieces, whose merging slows down with length
 MARK = "▁"  # stands for a space in pieces
 
@@ -41,11 +43,14 @@ def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(np.fromiter(map(index.__getitem__, common), np.int64, len(common)) for index in (index_a, index_b))
 
 
-def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in both lists of every pair whose byte ranges overlap; both lists cover the same bytes, so a pair shares just one range between neighbouring ends."""
+def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of all links and their places in both lists: one for of every pair whose byte ranges overlap; both lists cover the same bytes, so a pair shares just one range between neighbouring ends."""
     every = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two rising runs
     every = every[np.append(every[1:] != every[:-1], True)]
-    return np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
+    return every, np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
+
+
+Aligned = tuple[int, int, int, str, bytes]  # n_a, n_b, n_groups, the groups with an end mark each, keys of all links (64-bit integers)
 
 
 class Aligner:
@@ -71,10 +76,12 @@ class Aligner:
         self.cuts = cuts_at_spaces(json_a) and not any(MARK in p.lstrip(MARK) for p in names)
         # how an id is written before a comma, before a bar and before a semicolon
         self.kinds = max(len(entries), len(names))
+        self.known: dict[str, Aligned | None] = {}
         self.written = np.array([f"{i}{c}" for c in ",|;" for i in range(self.kinds)], object)
+        self.width = np.array([len(x) for x in self.written])
 
-    def align(self, text: str) -> tuple[int, int, int, str, np.ndarray] | None:
-        """(n_a, n_b, n_groups, groups with an end mark each, keys of all links) of a text, None where the bytes differ."""
+    def _arrays(self, text: str) -> tuple | None:
+        """Byte ends in both lists, of the groups and of the links, the groups as text with the end of every token in it, and keys of all links; None where the bytes differ."""
         whole = (" " + text).encode()
         a = self.encode_a(" " + text).astype(np.int64)
         list_b = list(chain.from_iterable(self.b.encode(segments(text, SHORT) if self.cuts else [text], num_threads=1)))
@@ -83,7 +90,7 @@ class Aligner:
         b = np.array(list_b, np.int64)
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         last_a, last_b = slices(ends_a, ends_b)
-        link_a, link_b = overlaps(ends_a, ends_b)
+        every, link_a, link_b = overlaps(ends_a, ends_b)
         # in the text of the groups a token of A stands behind the B tokens of earlier groups, one of B behind the A tokens of its own and earlier ones
         mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         mark_a[last_a - 1], mark_b[last_b - 1] = self.kinds, 2 * self.kinds
@@ -91,19 +98,51 @@ class Aligner:
         order = np.empty(len(a) + len(b), np.int64)
         order[np.arange(len(a)) + np.repeat(last_b - size_b, size_a)] = a + mark_a
         order[np.arange(len(b)) + np.repeat(last_a, size_b)] = b + mark_b
-        return len(a), len(b), len(last_a), "".join(self.written[order].tolist()), a[link_a] * self.wide + b[link_b]
-
-    def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray] | None]:
-        for text in texts:
-            parts = segments(text) if self.cuts else [text]
-            got = [self.align(p) for p in parts] if text else [None]
-            if None in got and len(parts) > 1:  # a segment that is not given back: judged on the whole text
-                got = [self.align(text)]
+        return ends_a, ends_b, ends_a[last_a - 1], every, "".join(self.written[order].tolist()), np.cumsum(self.width[order]), a[link_a] * self.wide + b[link_b]
+
+    def align(self, text: str) -> Aligned | None:
+        """A text at once, None where the bytes differ."""
+        got = self._arrays(text)
+        return got and (len(got[0]), len(got[1]), len(got[2]), got[4], got[6].tobytes())
+
+    def align_all(self, stretches: list[str]) -> list[Aligned | None]:
+        """Many stretches that begin and end with a character other than white space, as one text with a space between them."""
+        got = self._arrays(" ".join(stretches)) if len(stretches) > 1 else None
+        ends = np.cumsum([len(x.encode()) + 1 for x in stretches])
+        if got is None or not np.isin(ends, got[2], assume_unique=True).all():
+            return [self.align(x) for x in stretches]
+        at_a, at_b, at_group, at_link = (np.append(0, np.searchsorted(e, ends) + 1) for e in got[:4])
+        at_char = np.append(0, got[5])[at_a + at_b].tolist()
+        keys, text, at_byte = got[6].tobytes(), got[4], (8 * at_link).tolist()
+        n = (np.diff(x).tolist() for x in (at_a, at_b, at_group))
+        return list(zip(*n, map(text.__getitem__, map(slice, at_char, at_char[1:])), map(keys.__getitem__, map(slice, at_byte, at_byte[1:]))))
+
+    def _learn(self, rows: list[list[str]]) -> dict[str, Aligned | None]:
+        """Stretches of ``rows`` not known yet; those short enough are kept, the others returned."""
+        new = {x for row in rows for x in row if x not in self.known}
+        if len(self.known) + len(new) > KEPT:
+            self.known, new = {}, {x for row in rows for x in row}
+        odd = [x for x in new if not x or x[0].isspace() or x[-1].isspace()]
+        inner = list(new.difference(odd))
+        made = dict(zip(inner, self.align_all(inner))) | {x: self.align(x) for x in odd}
+        self.known.update((x, v) for x, v in made.items() if len(x) <= LONGEST)
+        return {x: v for x, v in made.items() if len(x) > LONGEST}
+
+    def __call__(self, texts: list[str]) -> Iterator[Aligned | None]:
+        rows = [SINGLE_SPACE.split(t) if self.cuts else [t] for t in texts]
+        long = self._learn(rows) if self.cuts else {}
+        for text, row in zip(texts, rows):
+            if not text:
+                yield None
+                continue
+            got = [self.known[x] if x in self.known else long[x] for x in row] if self.cuts else [self.align(text)]
+            if None in got:  # a stretch that is not given back: judged on the whole text
+                got = [self.align(text)] if len(row) > 1 else [None]
             if None in got:
                 yield None
             else:
-                n_a, n_b, n_groups = (sum(g[k] for g in got) for k in range(3))
-                yield n_a, n_b, n_groups, "".join([g[3] for g in got])[:-1], np.concatenate([g[4] for g in got])
+                n_a, n_b, n_groups, groups, keys = zip(*got)
+                yield sum(n_a), sum(n_b), sum(n_groups), "".join(groups)[:-1], b"".join(keys)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +186,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
                         rows.append((0, 0, 0, 0, "", b"", b"", ""))
                         continue
                     n_a, n_b, n_groups, groups, links = got
+                    links = np.frombuffer(links, np.int64)
                     keys, times = np.unique(links, return_counts=True)
                     rows.append((n_a, n_b, n_groups, len(links), hashlib.sha256(groups.encode()).hexdigest(), keys.tobytes(), times.astype(np.int64).tobytes(), groups))
                 cols = list(zip(*rows))
