@@ -199,11 +199,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     ``keep_ids=False`` gives digests of both instead: ids_sha256 and decoded_sha256.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Tables(read_ranks(ranks_path)))  # a few MB, set by the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Tables(read_ranks(ranks_path))))  # a few MB, set by the vocabulary
     names = ["doc_id", "n_tokens", "ids", "decoded"] if keep_ids else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
+        tables = Tables.__new__(Tables)
+        vars(tables).update(shared.value)
         encoder = Encoder(tables, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
