@@ -9,14 +9,14 @@ A row's scores are stored with it every ``STORE`` rounds; between, the tasks add
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut as stored
-from .trees import BINS, CELLS, Batch, Growth, Tree, batch_of, bin_edges, binned, grow, group_quantiles, sums_of, unit
+from .trees import BINS, CELLS, SMALL, Batch, Growth, Tree, batch_of, bin_edges, binned, grow, group_quantiles, in_tasks, plain, sums_of, unit, whole
 
 STORE = 8
 
@@ -119,6 +119,19 @@ def _fit_group(rows: DataFrame, models: list[tuple[Boosting, int | None]], bins:
     if names is not None:
         spots = F.array_position(F.array(*map(F.lit, names.tolist())), F.col("label")) - 1
         table = table.withColumn("label", spots.cast("double"))
+    if table.count() * d <= SMALL:  # a checked size: each model in a task of its own
+        sent = rows.sparkSession.sparkContext.broadcast(plain(whole(table, d)))
+
+        def fit(i: int):
+            m = _lockstep(Batch(*sent.value), d, edges, [models[i]], names)[0]
+            return m.start, [[plain(t) for t in round_] for round_ in m.trees]
+
+        return [Boosted(p, start, names, [[Tree(*t) for t in round_] for round_ in trees]) for (p, _), (start, trees) in zip(models, in_tasks(rows.sparkSession, len(models), fit))]
+    return _lockstep(table, d, edges, models, names)
+
+
+def _lockstep(table: DataFrame | Batch, d: int, edges: list[np.ndarray], models: list[tuple[Boosting, int | None]], names: np.ndarray | None) -> list[Boosted]:
+    """All models by the same passes over the rows."""
     width = [1 if p.loss != "softmax" else len(names) for p, _ in models]
     at = np.cumsum([0, *width])
     seen = lambda b, fold: np.ones(len(b.y), bool) if fold is None else b.fold != fold
@@ -236,8 +249,11 @@ def _refit(table, d, trees: dict[int, Tree], models, scores, at, sums, live, lim
         tree.value = middle[first[i]:first[i] + len(tree.value)].copy()
 
 
-def _store(table: DataFrame, d: int, scores) -> DataFrame:
+def _store(table: DataFrame | Batch, d: int, scores) -> DataFrame | Batch:
     """The table with its rows' scores."""
+    if isinstance(table, Batch):
+        return replace(table, state=scores(table))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             state = scores(batch_of(b, d)) if len(b) else np.zeros((0, 1))
@@ -275,11 +291,39 @@ def relative_loss(miss: np.ndarray, kind: str) -> np.ndarray:
     return {"linear": miss, "square": miss**2, "exponential": 1 - np.exp(-miss)}[kind]
 
 
-def fit_adaboost(rows: DataFrame, rounds: int = 100, rate: float = 1.0, loss: str = "linear", max_depth: int = 3, fold: int | None = None, bins: int = BINS, min_rows: int = 1, seed: int = 1) -> AdaBoosted:
-    """Trees on re-weighted rows: what is predicted well loses weight by beta ** (1 - loss). Ends when the mean loss reaches 1/2 or nothing is missed."""
+@dataclass
+class Reweighting:
+    """Settings of AdaBoost.R2."""
+
+    rounds: int = 100
+    rate: float = 1.0
+    loss: str = "linear"  # linear, square, exponential
+    max_depth: int = 3
+    min_rows: int = 1
+    seed: int = 1
+
+
+def fit_adaboost(rows: DataFrame, models: list[tuple[Reweighting, int | None]], bins: int = BINS) -> list[AdaBoosted]:
+    """One model per (settings, fold that it must not see). Trees on re-weighted rows: what is predicted well loses weight by beta ** (1 - loss).
+
+    A model ends when the mean loss reaches 1/2 or nothing is missed.
+    """
     d = len(rows.select("x").first()["x"])
     edges = bin_edges(rows, d, bins)
     table = binned(rows, edges)
+    if table.count() * d <= SMALL:
+        sent = rows.sparkSession.sparkContext.broadcast(plain(whole(table, d)))
+
+        def fit(i: int):
+            m = _reweighted(Batch(*sent.value), d, edges, *models[i])
+            return [plain(t) for t in m.trees], m.weights
+
+        return [AdaBoosted([Tree(*t) for t in trees], weights) for trees, weights in in_tasks(rows.sparkSession, len(models), fit)]
+    return [_reweighted(table, d, edges, p, fold) for p, fold in models]
+
+
+def _reweighted(table: DataFrame | Batch, d: int, edges: list[np.ndarray], p: Reweighting, fold: int | None) -> AdaBoosted:
+    rate, loss = p.rate, p.loss
     out = AdaBoosted([], [])
     fresh: list[tuple[Tree, float, float]] = []  # tree, largest error, log beta
 
@@ -293,8 +337,8 @@ def fit_adaboost(rows: DataFrame, rounds: int = 100, rate: float = 1.0, loss: st
         w = np.exp(weights(b))
         return -w * b.y[:, None], w, (np.ones(len(b.y), bool) if fold is None else b.fold != fold)[:, None]
 
-    for r in range(rounds):
-        tree = grow(table, edges, sums, [Growth(max_depth, None, min_rows, seed=(seed, r))])[0]
+    for r in range(p.rounds):
+        tree = grow(table, edges, sums, [Growth(p.max_depth, None, p.min_rows, seed=(p.seed, r))])[0]
 
         def errors(b: Batch):
             _, w, m = sums(b)

@@ -11,16 +11,19 @@ that takes is found by replaying the splits known so far, so only nodes that the
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut as stored
 
 BINS = 256
+SMALL = 1 << 21  # bins up to which a table is sent to tasks that fit whole models
 CELLS = 1 << 21  # sums of one pass that the driver receives
 
 
@@ -221,12 +224,37 @@ def unit(key: np.ndarray, *seed: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def whole(table: DataFrame, d: int) -> Batch:
+    """All rows of a small binned table, in the order of their keys."""
+    got = table.orderBy("key", "label", "bins").toArrow().combine_chunks()
+    return batch_of(got.to_batches()[0], d) if got.num_rows else Batch(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32), np.zeros((0, d), np.uint16), None)
+
+
+def plain(record) -> tuple:
+    """Fields of a dataclass, as they travel between driver and tasks, where the class itself may not be installed."""
+    return tuple(vars(record).values())
+
+
+def in_tasks(spark, n: int, fit: Callable[[int], object]) -> list:
+    """``fit(0)`` to ``fit(n - 1)``, plain values each, in a task of its own."""
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"id": f["id"], "made": [pickle.dumps(fit(int(i))) for i in f["id"]]})
+
+    made = spark.range(n, numPartitions=n).mapInPandas(run, "id long, made binary").collect()
+    return [pickle.loads(r["made"]) for r in sorted(made, key=lambda r: r["id"])]
+
+
 # per batch: gradient, curvature and membership of every tree in progress, [rows, trees]
 RowSums = Callable[[Batch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def sums_of(table: DataFrame, d: int, add: Callable[[Batch, dict], None], shape: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+def sums_of(table: DataFrame | Batch, d: int, add: Callable[[Batch, dict], None], shape: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
     """Arrays of the given shapes that ``add`` adds to, batch by batch, summed over all tasks; only cells other than zero travel."""
+    if isinstance(table, Batch):  # a small table, held whole by a task that fits one model
+        own = {k: np.zeros(s) for k, s in shape.items()}
+        add(table, own)
+        return own
     names = list(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +288,7 @@ def _down(arrays: tuple[np.ndarray, ...], bins: np.ndarray, depth: int) -> np.nd
     return node
 
 
-def grow(table: DataFrame, edges: list[np.ndarray], rows: RowSums, specs: list[Growth]) -> list[Tree]:
+def grow(table: DataFrame | Batch, edges: list[np.ndarray], rows: RowSums, specs: list[Growth]) -> list[Tree]:
     """One tree per spec, all in the same passes."""
     d, width = len(edges), max([len(e) + 1 for e in edges], default=1)
     trees = [_Growing(s) for s in specs]
@@ -305,11 +333,17 @@ def _doubles(k: np.ndarray) -> np.ndarray:
     return np.where(k >= 0, k, np.int64(-(1 << 63)) - k).astype(np.int64).view(np.float64)
 
 
-def group_quantiles(table: DataFrame, d: int, groups: int, rows: Callable[[Batch], Iterator[tuple[np.ndarray, np.ndarray]]], share: np.ndarray | float) -> np.ndarray:
+def group_quantiles(table: DataFrame | Batch, d: int, groups: int, rows: Callable[[Batch], Iterator[tuple[np.ndarray, np.ndarray]]], share: np.ndarray | float) -> np.ndarray:
     """Exact lower quantiles: the least value that at least ``share`` of a group's values do not exceed. ``rows`` yields (group, value) arrays of a batch.
 
     A bracket per group is cut into parts until it holds one value, so a group may have any number of rows. Groups without values get 0.
     """
+    if isinstance(table, Batch):
+        group, value = (np.concatenate(v) for v in zip(*rows(table)))
+        order = np.lexsort((value, group))
+        n, ends = np.bincount(group, minlength=groups), np.bincount(group, minlength=groups).cumsum()
+        place = np.maximum(np.ceil(share * n - 1e-9), 1).astype(int) - 1
+        return np.array([value[order[e - c + k]] if c else 0.0 for e, c, k in zip(ends, n, place)])
     steps = int(np.clip((1 << 19) // groups, 256, 1 << 16))
     low, high = np.full(groups, -(1 << 62), np.int64) * 2, np.full(groups, (1 << 63) - 1, np.int64)
     rank = None

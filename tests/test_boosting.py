@@ -98,8 +98,10 @@ def value(tree, a):
     return tree
 
 
-def test_boosting_equals_brute_force(grid, monkeypatch):
+@pytest.mark.parametrize("small", [0, B.SMALL])
+def test_boosting_equals_brute_force(grid, monkeypatch, small):
     monkeypatch.setattr(B, "STORE", 2)
+    monkeypatch.setattr(B, "SMALL", small)
     x, y, rows = grid
     ps = [B.Boosting(rounds=5, rate=0.3, max_depth=2, l1=0.5, l2=1.0, price=0.1), B.Boosting(rounds=3, rate=0.5, max_depth=3, subsample=0.6)]
     for p, got in zip(ps, B.fit_many(rows, [(p, None) for p in ps])):
@@ -141,6 +143,15 @@ def test_group_quantiles_are_exact(spark):
         assert got[4] == 0
 
 
+def test_quantiles_of_a_small_table(spark):
+    draw = np.random.default_rng(5)
+    y, g = draw.normal(size=300), draw.integers(0, 4, 300)
+    b = T.Batch(np.arange(300), y, g, g[:, None].astype(np.uint16), None)
+    for share in (0.0, 0.3, 1.0):
+        got = T.group_quantiles(b, 1, 5, lambda b: [(b.fold, b.y)], share)
+        assert got.tolist() == [*(np.sort(y[g == k])[max(int(np.ceil(share * (g == k).sum())) - 1, 0)] for k in range(4)), 0.0]
+
+
 def test_quantile_and_huber_losses(spark):
     draw = np.random.default_rng(3)
     x = draw.integers(0, 6, (900, 1)).astype(float)
@@ -157,7 +168,9 @@ def test_quantile_and_huber_losses(spark):
     assert np.abs(h.predict(x) - middle).mean() < 1.0 < np.abs(s.predict(x) - middle).mean()
 
 
-def test_huber_round_by_hand(spark):
+@pytest.mark.parametrize("small", [0, B.SMALL])
+def test_huber_round_by_hand(spark, monkeypatch, small):
+    monkeypatch.setattr(B, "SMALL", small)
     y = np.array([0.0, 1, 2, 3, 50, 10, 11, 12, 13, 14])
     x = np.repeat([[0.0], [1.0]], 5, axis=0)
     got = B.fit_many(table(spark, x, y), [(B.Boosting("huber", 1, 1.0, 1, alpha=0.8), None)])[0]
@@ -171,9 +184,10 @@ def test_huber_round_by_hand(spark):
     assert np.allclose(got.predict(x), np.repeat(want, 5))
 
 
-@pytest.mark.parametrize("loss", ["linear", "square", "exponential"])
-def test_adaboost_equals_numpy(grid, monkeypatch, loss):
+@pytest.mark.parametrize("small,loss", [(B.SMALL, "linear"), (0, "square"), (B.SMALL, "exponential")])
+def test_adaboost_equals_numpy(grid, monkeypatch, small, loss):
     monkeypatch.setattr(B, "STORE", 2)
+    monkeypatch.setattr(B, "SMALL", small)
     x, y, rows = grid
     w, trees, weights = np.ones(len(y)), [], []
     for r in range(5):
@@ -186,13 +200,13 @@ def test_adaboost_equals_numpy(grid, monkeypatch, loss):
         beta = mean / (1 - mean)
         trees.append(p), weights.append(0.7 * np.log(1 / beta))
         w = w * beta ** (0.7 * (1 - miss))
-    got = B.fit_adaboost(rows, 5, 0.7, loss, max_depth=1)
+    got = B.fit_adaboost(rows, [(B.Reweighting(5, 0.7, loss, max_depth=1), None)])[0]
     assert np.allclose(got.weights, weights)
     assert np.allclose(got.predict(x), B.weighted_median(np.column_stack(trees), np.array(weights)))
 
 
 def test_adaboost_ends_on_a_perfect_tree(spark):
-    got = B.fit_adaboost(table(spark, [[0], [1], [0], [1]], [2, 3, 2, 3]), 5)
+    got = B.fit_adaboost(table(spark, [[0], [1], [0], [1]], [2, 3, 2, 3]), [(B.Reweighting(5), None)])[0]
     assert len(got.trees) == 1 and got.predict(np.array([[0.0], [1.0]])).tolist() == [2, 3]
 
 
