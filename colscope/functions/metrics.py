@@ -78,6 +78,32 @@ def log_loss(y, prob, floor: float = MAPE_FLOOR) -> Column:
     return F.avg(-F.ln(F.least(F.greatest(q, F.lit(floor)), F.lit(1 - floor))))
 
 
+def f1_classes(y, p, classes: list[float], average: str = "macro") -> Column:
+    """f1 over any number of classes: the mean over them, their mean by rows (weighted), or from all counts together (micro).
+
+    Classes that neither side holds are left out.
+    """
+    y, p = _c(y), _c(p)
+    parts = []
+    for k in classes:
+        yes, said = y == F.lit(float(k)), p == F.lit(float(k))
+        parts.append((F.sum((yes & said).cast("long")), F.sum(yes.cast("long")), F.sum(said.cast("long"))))
+    if average == "micro":
+        tp, both = sum((t for t, _, _ in parts), F.lit(0)), sum((a + b for _, a, b in parts), F.lit(0))
+        return F.when(both > 0, 2.0 * tp / both).otherwise(0.0)
+    if average not in ("macro", "weighted"):
+        raise ValueError(f"unknown average {average!r}; known: macro, weighted, micro")
+    one = [F.when(a + b > 0, 2.0 * t / (a + b)).otherwise(0.0) for t, a, b in parts]
+    weight = [F.when(a + b > 0, a if average == "weighted" else F.lit(1)).otherwise(0) for _, a, b in parts]
+    total = sum(weight, F.lit(0))
+    return F.when(total > 0, sum((o * w for o, w in zip(one, weight)), F.lit(0.0)) / total).otherwise(0.0)
+
+
+def log_loss_given(prob, floor: float = MAPE_FLOOR) -> Column:
+    """Mean of -ln of ``prob``, the probability given to the true one of any number of classes."""
+    return F.avg(-F.ln(F.least(F.greatest(_c(prob), F.lit(floor)), F.lit(1 - floor))))
+
+
 METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "r2": r2, "RMSE": rmse, "RMSE/std": rmse_over_std, "MAPE": mape, "MAE": mae,
 }

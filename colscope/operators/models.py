@@ -10,17 +10,23 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import metrics as M
 from ..session import cut
+from .boosting import Boosted, Boosting, fit_many
+from .matrix import map_rows
 from .neighbors import best_of, mean_of, nearest, vote_of
 
 MODEL_NAMES = ["briskbagging", "briskknn", "briskxgboost", "slugxgboost", "sluglgbm", "slugrf"]
+BOOSTED = ("briskxgboost", "slugxgboost", "sluglgbm")
 MAX_TREE_DEPTH = 30  # Spark's own limit
+# fixed values: sizes of histograms that the searches choose from
+XGB_BINS = [64, 128, 512, 1024, 2048, 3072]
+LGBM_BINS = [64, 128, 512, 1024, 2048, 3072, 4096, 8192]
 
 
 @dataclass
@@ -53,17 +59,18 @@ def sample_params(name: str, lim: Limits) -> list[dict]:
     def rate(lo, hi):
         return float(np.exp(rng.uniform(np.log(lo), np.log(hi))))
 
+    def penalties():
+        return {"l1": rate(1e-3, 0.1), "l2": rate(1e-3, 0.1), "seed": lim.seed}
+
     depth = min(lim.max_depth, MAX_TREE_DEPTH)
     draw = {
         "briskbagging": lambda: {"numTrees": whole(10, lim.bagging_estimators), "maxDepth": depth},
         "briskknn": lambda: {"k": whole(5, lim.n_neighbors), "weights": ["uniform", "distance"][whole(0, 1)]},
-        "briskxgboost": lambda: {"maxDepth": whole(3, min(10, depth)), "stepSize": rate(0.01, 0.3), "minInfoGain": rate(1e-6, 1e-2),
-                                 "minInstancesPerNode": whole(1, 10), "maxIter": lim.boosted_round},
-        "slugxgboost": lambda: {"maxDepth": whole(min(10, depth), depth), "stepSize": rate(0.01, 0.3), "minInfoGain": rate(1e-6, 1e-2),
-                                "minInstancesPerNode": whole(1, 10), "maxIter": lim.boosted_round,
-                                "featureSubsetStrategy": f"{rng.uniform(0.3, 1.0):.2f}", "maxBins": whole(16, 256)},
-        "sluglgbm": lambda: {"maxDepth": whole(3, depth), "stepSize": rate(0.01, 0.3), "subsamplingRate": float(rng.uniform(0.5, 1.0)),
-                             "maxBins": whole(16, 256), "minInfoGain": rate(1e-6, 1e-2), "maxIter": lim.boosted_round},
+        "briskxgboost": lambda: {**penalties(), "max_depth": whole(3, min(9, depth)), "rate": rate(1e-3, 0.1), "price": rate(1e-3, 0.1), "min_weight": 1.0, "rounds": lim.boosted_round},
+        "slugxgboost": lambda: {**penalties(), "max_depth": whole(min(10, depth), depth), "rate": rate(1e-3, 0.1), "price": rate(1e-3, 0.1), "min_weight": 1.0, "rounds": lim.boosted_round,
+                                "columns": (rate(1e-8, 1.0), rate(1e-8, 1.0), rate(1e-8, 1.0)), "bins": XGB_BINS[whole(0, len(XGB_BINS) - 1)]},
+        "sluglgbm": lambda: {**penalties(), "max_depth": whole(3, depth), "rate": rate(1e-6, 1.0), "leaves": 31, "min_rows": 20, "min_weight": 1e-3, "rounds": lim.boosted_round,
+                             "subsample": rate(1e-6, 1.0), "columns": (rate(1e-6, 1.0), 1.0, 1.0), "bins": LGBM_BINS[whole(0, len(LGBM_BINS) - 1)]},
         "slugrf": lambda: {"numTrees": whole(50, lim.rf_n_estimators), "maxDepth": whole(min(10, depth), depth),
                            "minInstancesPerNode": whole(11, 60)},
     }[name]
@@ -75,16 +82,22 @@ def sample_params(name: str, lim: Limits) -> list[dict]:
     return out
 
 
-def build_estimator(name: str, classification: bool, seed: int):
-    if name in ("briskbagging", "slugrf"):
-        # all features at every split and bootstrapped rows: bagged trees
-        kind = RandomForestClassifier if classification else RandomForestRegressor
-        return kind(featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed)
-    return (GBTClassifier if classification else GBTRegressor)(seed=seed)
+def build_estimator(classification: bool, seed: int):
+    """All features at every split and bootstrapped rows: bagged trees."""
+    kind = RandomForestClassifier if classification else RandomForestRegressor
+    return kind(featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed)
+
 
+def label_classes(rows: DataFrame, most: int = 1000) -> list[float]:
+    """The labels, rising; a label with more values than ``most`` is no class."""
+    got = [r[0] for r in rows.select("label").distinct().limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"more than {most} different labels: not a classification")
+    return sorted(got)
 
-def search_scorer(classification: bool, scoring):
-    """Aggregate of (truth, prediction, probability of label 1) by which settings are compared: larger is better.
+
+def search_scorer(classification: bool, scoring, classes: list[float] | None = None):
+    """Aggregate of (truth, prediction, probability of the true label) by which settings are compared: larger is better.
 
     ``scoring`` is a name or a callable (truth, prediction) -> aggregate Column; an unknown name is an error.
     """
@@ -94,10 +107,12 @@ def search_scorer(classification: bool, scoring):
         named = M.resolve_scorer(scoring)
         return lambda y, p, q: named(y, p)
     if scoring == "log_loss":
-        return lambda y, p, q: -M.log_loss(y, q)
+        return lambda y, p, q: -M.log_loss_given(q)
     if scoring == "f1":
-        return lambda y, p, q: M.f1(y, p)
-    raise ValueError(f"unknown scoring {scoring!r}; known: ['f1', 'log_loss'] or a callable")
+        return lambda y, p, q: default_scorer(True, classes)(y, p)
+    if scoring in ("f1_macro", "f1_weighted", "f1_micro"):
+        return lambda y, p, q: M.f1_classes(y, p, classes or [0.0, 1.0], scoring[3:])
+    raise ValueError(f"unknown scoring {scoring!r}; known: ['f1', 'f1_macro', 'f1_micro', 'f1_weighted', 'log_loss'] or a callable")
 
 
 def _search_trees(est, train: DataFrame, params: list[dict], classification: bool, scorer, parallelism: int) -> dict:
@@ -108,26 +123,67 @@ def _search_trees(est, train: DataFrame, params: list[dict], classification: boo
         p, f = task
         model = est.fit(train.where(F.col("fold") != f), {est.getParam(k): v for k, v in p.items()})
         got = model.transform(train.where(F.col("fold") == f))
-        chance = vector_to_array("probability")[1] if classification and "probability" in got.columns else F.lit(None).cast("double")
+        chance = F.lit(None).cast("double")
+        if classification and "probability" in got.columns:
+            # a label that the other folds do not hold has no probability
+            chance = F.coalesce(F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(0.0))
         return got.select("label", "prediction", chance.alias("__q")).agg(scorer(F.col("label"), F.col("prediction"), F.col("__q"))).first()[0]
 
     with ThreadPool(max(1, parallelism)) as pool:
         scores = pool.map(one, [(p, f) for p in params for f in folds])
-    means = [[s for s in scores[i * len(folds):(i + 1) * len(folds)] if s is not None and not np.isnan(s)] for i in range(len(params))]
+    return _best_mean(params, [scores[i * len(folds):(i + 1) * len(folds)] for i in range(len(params))])
+
+
+def _best_mean(params: list[dict], scores: list[list]) -> dict:
+    means = [[s for s in own if s is not None and not np.isnan(s)] for own in scores]
     return params[int(np.argmax([np.mean(m) if m else -np.inf for m in means]))]
 
 
+def boosting_params(p: dict, classes: list[float] | None) -> Boosting:
+    return Boosting(loss="squared" if classes is None else "logistic" if len(classes) <= 2 else "softmax", **p)
+
+
+def _search_boosted(train: DataFrame, params: list[dict], classes: list[float] | None, scorer) -> dict:
+    """All settings and folds grow side by side; every row is predicted by the models that have not seen its fold, in one pass."""
+    folds = sorted(r[0] for r in train.select("fold").distinct().collect())
+    models = fit_many(train, [(boosting_params(p, classes), f) for p in params for f in folds], classes)
+    n, k = len(params), len(folds)
+
+    def predict(x: np.ndarray) -> np.ndarray:
+        """Per row of fold number and inputs: predictions of all settings, and the probability of the row's label."""
+        fold, label, x = x[:, 0], x[:, 1], x[:, 2:]
+        out = np.zeros((len(x), 2 * n))
+        for j, f in enumerate(folds):
+            mine = np.flatnonzero(fold == f)
+            for i in range(n):
+                m = models[i * k + j]
+                out[mine, i] = m.predict(x[mine])
+                if classes is not None:
+                    out[mine, n + i] = m.chances(x[mine])[np.arange(len(mine)), np.searchsorted(m.classes, label[mine])]
+        return out
+
+    rows = train.select("fold", "label", F.concat(F.array(F.col("fold").cast("double"), "label"), "x").alias("x"))
+    got = cut(map_rows(rows, predict, "__p").drop("x"), "boosted")
+    aggs = [scorer(F.col("label"), F.col("__p")[i], F.col("__p")[n + i]).alias(f"s{i}") for i in range(n)]
+    by_fold = got.groupBy("fold").agg(*aggs).collect()
+    return _best_mean(params, [[r[f"s{i}"] for r in by_fold] for i in range(n)])
+
+
 @dataclass
 class FittedModel:
     name: str
     params: dict
     classification: bool
-    model: Model | None = None
+    model: Model | Boosted | None = None
     base: DataFrame | None = None  # training rows of a neighbour model
     scores: list[float] = field(default_factory=list)
 
     def predict(self, rows: DataFrame, out: str = "p") -> DataFrame:
         """Add the predicted value or label to rows that have ``key, x, features``."""
+        if isinstance(self.model, Boosted):
+            keep, model = rows.columns, self.model
+            got = map_rows(rows.drop("features"), lambda x: model.predict(x)[:, None], "__p").withColumn(out, F.col("__p")[0])
+            return (got.withColumn("features", array_to_vector("x")) if "features" in keep else got).select(*keep, out)
         if self.model is not None:
             keep = rows.columns
             return self.model.transform(rows).select(*keep, F.col("prediction").alias(out))
@@ -152,34 +208,47 @@ def _search_knn(train: DataFrame, params: list[dict], classification: bool, scor
     for i, p in enumerate(params):
         near = f"slice(filter(nn, n -> n.part != fold), 1, {p['k']})"
         cols.append((vote_of(near) if classification else mean_of(near, 0, p["weights"])).alias(f"p{i}"))
-        aggs.append(scorer(F.col("label"), F.col(f"p{i}")).alias(f"s{i}"))
+        votes = f"transform({near}, n -> named_struct('d', n.d, 'y', array(if(n.y[0] = label, 1D, 0D))))"
+        cols.append(mean_of(votes, 0, p["weights"]).alias(f"q{i}"))
+        aggs.append(scorer(F.col("label"), F.col(f"p{i}"), F.col(f"q{i}")).alias(f"s{i}"))
     row = lists.select("label", *cols).agg(*aggs).first()
     return params[int(np.argmax([row[i] if row[i] is not None else -np.inf for i in range(len(params))]))]
 
 
-def default_scorer(classification: bool):
-    return M.f1 if classification else M.r2
+def default_scorer(classification: bool, classes: list[float] | None = None):
+    """r2; f1 of label 1 where the labels are 0 and 1, else the mean f1 over the classes."""
+    if not classification:
+        return M.r2
+    return M.f1 if classes is None or set(classes) <= {0.0, 1.0} else lambda y, p: M.f1_classes(y, p, classes)
 
 
 def fit_base(rows: DataFrame, name: str, lim: Limits, classification: bool = False, scoring: str | None = None, metric=None) -> FittedModel:
     """Sample settings, cross-validate them on the hash folds, refit the best, score both sides."""
-    metric = metric or default_scorer(classification)
-    scoring = scoring or ("log_loss" if classification else "r2")
     train = rows.where(~F.col("is_test"))
+    classes = label_classes(train) if classification else None
+    metric = metric or default_scorer(classification, classes)
+    scoring = scoring or ("log_loss" if classification else "r2")
     params = sample_params(name, lim)
-    search = search_scorer(classification, scoring)
+    search = search_scorer(classification, scoring, classes)
     if name == "briskknn":
-        # neighbours vote for a label and give no probability: log loss falls back to the metric
-        scorer = metric if scoring == "log_loss" else lambda y, p: search(y, p, None)
-        out = FittedModel(name, _search_knn(train, params, classification, scorer), classification, base=_knn_base(train))
+        # the probability of a label is its share of the votes
+        best = _search_knn(train, params, classification, search)
+        out = FittedModel(name, best, classification, base=_knn_base(train))
+    elif name in BOOSTED:
+        best = params[0] if len(params) == 1 else _search_boosted(train, params, classes, search)
+        out = FittedModel(name, best, classification, _fit_boosted(train, best, classes))
     else:
-        est = build_estimator(name, classification, lim.seed)
+        est = build_estimator(classification, lim.seed)
         best = params[0] if len(params) == 1 else _search_trees(est, train, params, classification, search, lim.parallelism)
         out = FittedModel(name, best, classification, est.fit(train, {est.getParam(k): v for k, v in best.items()}))
     out.scores = train_test_scores(out.predict(rows), metric)
     return out
 
 
+def _fit_boosted(train: DataFrame, params: dict, classes: list[float] | None) -> Boosted:
+    return fit_many(train, [(boosting_params(params, classes), None)], classes)[0]
+
+
 def train_test_scores(predicted: DataFrame, metric, label: str = "label", p: str = "p") -> list[float]:
     """[train, test] score from one grouped aggregate."""
     got = {r["is_test"]: r["s"] for r in predicted.groupBy("is_test").agg(metric(F.col(label), F.col(p)).alias("s")).collect()}
@@ -215,7 +284,9 @@ def _stack_features(rows: DataFrame, base: list[FittedModel]) -> DataFrame:
 def _refit(m: FittedModel, train: DataFrame, seed: int) -> FittedModel:
     if m.model is None:
         return FittedModel(m.name, m.params, m.classification, base=_knn_base(train))
-    est = build_estimator(m.name, m.classification, seed)
+    if isinstance(m.model, Boosted):
+        return FittedModel(m.name, m.params, m.classification, _fit_boosted(train, m.params, None if m.model.classes is None else label_classes(train)))
+    est = build_estimator(m.classification, seed)
     return FittedModel(m.name, m.params, m.classification, est.fit(train, {est.getParam(k): v for k, v in m.params.items()}))
 
 
@@ -228,8 +299,8 @@ def fit_stack(rows: DataFrame, base: list[FittedModel], lim: Limits, metric=None
     if len(base) == 1:
         return Stack(base, None, base[0].scores)
     classification = base[0].classification
-    metric = metric or default_scorer(classification)
     train = rows.where(~F.col("is_test"))
+    metric = metric or default_scorer(classification, label_classes(train) if classification else None)
     folds = [r[0] for r in train.select("fold").distinct().collect()]
     parts = None
     for f in sorted(folds):

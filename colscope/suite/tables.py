@@ -511,6 +511,21 @@ def classification_metrics(spark, sf):
     return c.groupBy("g").agg(F.round(M.f1("y", "p"), 6).alias("f1"), F.round(M.log_loss("y", "q"), 6).alias("log_loss"))
 
 
+KINDS = ("SELECT l_linestatus AS g, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, CAST(floor(l_quantity / 20) AS INTEGER) AS p, "
+         "(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN l_quantity ELSE 60 - l_quantity END) / 61 AS q FROM lineitem")
+
+
+@query("classification_metrics_k", f"WITH c AS ({KINDS}), k AS (SELECT g, k, sum(CAST(y = k AND p = k AS INTEGER)) AS t, sum(CAST(y = k AS INTEGER)) AS a, sum(CAST(p = k AS INTEGER)) AS b FROM c, (VALUES (0), (1), (2)) v(k) GROUP BY g, k), "
+       "f AS (SELECT g, round(avg(2.0 * t / (a + b)), 6) AS f1_macro, round(sum(2.0 * t / (a + b) * a) / sum(a), 6) AS f1_weighted, round(2.0 * sum(t) / sum(a + b), 6) AS f1_micro FROM k WHERE a + b > 0 GROUP BY g) "
+       "SELECT f.*, l.log_loss FROM f JOIN (SELECT g, round(avg(-ln(q)), 6) AS log_loss FROM c GROUP BY g) l USING (g)")
+def classification_metrics_k(spark, sf):
+    """f1 and log loss over three classes."""
+    flag, qty = F.col("l_returnflag"), F.col("l_quantity")
+    c = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("g"), F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("y"), F.floor(qty / 20).cast("int").alias("p"),
+                                            (F.when(flag == "A", 1).when(flag == "N", qty).otherwise(60 - qty) / 61).alias("q"))
+    return c.groupBy("g").agg(*[F.round(M.f1_classes("y", "p", [0, 1, 2], a), 6).alias(f"f1_{a}") for a in ("macro", "weighted", "micro")], F.round(M.log_loss_given("q"), 6).alias("log_loss"))
+
+
 SIDES = f"SELECT l_linenumber AS m, {sql_below('l_orderkey', 0.3)} AS is_test, l_extendedprice AS y, 0.9 * l_extendedprice + 100 * l_quantity AS p FROM lineitem"
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from colscope.operators import boosting as B, trees as T
+from colscope.operators import boosting as B, models as MD, trees as T
 
 
 def table(spark, x, y):
@@ -224,3 +224,41 @@ def test_random_thresholds(grid):
     assert ((full.predict(x) - y) ** 2).mean() < 0.5 * y.var()
     boot = B.fit_extra_trees(rows, 4, 2, bootstrap=True)
     assert {t.cover[0] for t in boot.trees} != {240.0}
+
+
+def model_rows(spark, x, y):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [(i, i % 4 == 0, i % 3, float(v), list(map(float, a))) for i, (a, v) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "key long, is_test boolean, fold int, label double, x array<double>").withColumn("features", array_to_vector("x"))
+
+
+def test_base_models_with_three_classes(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(600, 2)) * 3
+    k = np.where(x[:, 0] > 1, 2.0, np.where(x[:, 1] > 0, 1.0, 0.0))
+    rows = model_rows(spark, x, k)
+    lim = MD.Limits(n_trials=3, boosted_round=25, bagging_estimators=12, n_neighbors=8, max_depth=6)
+    for name in ("briskxgboost", "briskknn", "briskbagging"):
+        got = MD.fit_base(rows, name, lim, classification=True)
+        assert got.scores[1] > 0.8, name
+    assert MD.fit_base(rows, "sluglgbm", lim, True, "f1_weighted").params["leaves"] == 31
+    one = MD.fit_base(model_rows(spark, x, 3 * x[:, 0] + x[:, 1]), "slugxgboost", lim)
+    assert len(one.model.trees) == 25 and one.model.classes is None
+
+
+def test_search_prefers_settings_that_learn(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 2))
+    rows = model_rows(spark, x, x[:, 0] * 5)
+    good = {"rounds": 10, "rate": 0.5, "max_depth": 3}
+    for y, classes, scoring in ((x[:, 0] * 5, None, "r2"), ((x[:, 0] > 0) * 1.0, [0.0, 1.0], "log_loss")):
+        rows = model_rows(spark, x, y)
+        assert MD._search_boosted(rows, [{**good, "rate": 1e-3}, good], classes, MD.search_scorer(classes is not None, scoring, classes)) == good
+
+
+def test_settings_follow_the_documented_ranges():
+    lim = MD.Limits(n_trials=60)
+    for p in MD.sample_params("slugxgboost", lim):
+        assert 10 <= p["max_depth"] <= 30 and 1e-3 <= min(p["rate"], p["l1"], p["l2"], p["price"]) and max(p["rate"], p["l1"], p["l2"], p["price"]) <= 0.1 and p["bins"] in MD.XGB_BINS
+    assert all(1e-6 <= p["rate"] <= 1 and p["bins"] in MD.LGBM_BINS for p in MD.sample_params("sluglgbm", lim))
