@@ -178,6 +178,12 @@ class FittedModel:
     base: DataFrame | None = None  # training rows of a neighbour model
     scores: list[float] = field(default_factory=list)
 
+    def explained(self) -> int:
+        """Which output attributions explain: the score of a two-class boosted model, else the last class's, or the value."""
+        if isinstance(self.model, Boosted):
+            return len(self.model.start) - 1
+        return self.model.numClasses - 1 if self.classification else 0
+
     def predict(self, rows: DataFrame, out: str = "p") -> DataFrame:
         """Add the predicted value or label to rows that have ``key, x, features``."""
         if isinstance(self.model, Boosted):

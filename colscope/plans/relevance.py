@@ -12,6 +12,7 @@ from ..operators.predict import with_key
 from ..operators.quantiles import exact_quantiles
 from ..operators.ranking import relevance_scores
 from ..operators.shapley import attribution_table, shapley_values
+from ..operators.tree_shapley import tree_shapley
 from ..session import cut
 
 TEST_SHARE = 0.33
@@ -63,17 +64,18 @@ def prepare(df: DataFrame, inputs: list[str], target: str, o: dict) -> DataFrame
 
 
 def model_attributions(rows: DataFrame, inputs: list[str], models: list[MD.FittedModel], o: dict) -> DataFrame:
-    """``method, feature, score``: mean absolute Shapley value per model, on the scaled inputs the models saw."""
+    """``method, feature, score``: mean absolute Shapley value per model, on the scaled inputs the models saw; those of trees come from their paths."""
     d, out = len(inputs), None
-    means = rows.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)]).first()
     wide = rows.select(*[F.col("x")[i].alias(c) for i, c in enumerate(inputs)])
     medians = None
     for m in models:
-        if m.name in ("briskknn", "briskbagging"):
-            medians = medians or exact_quantiles(wide, inputs, [0.5])
-            base = [medians[c][0] for c in inputs]
-        else:
-            base = [means[f"m{i}"] for i in range(d)]
+        if m.model is not None:
+            phi, _ = tree_shapley(rows.select("key", "x"), m.model, m.explained())
+            part = attribution_table(phi, inputs, f"{m.name}_shap")
+            out = part if out is None else out.unionByName(part)
+            continue
+        medians = medians or exact_quantiles(wide, inputs, [0.5])
+        base = [medians[c][0] for c in inputs]
         phi = shapley_values(rows.select("key", "x"), m.predict, d, base, o["permutations"], o["seed"])
         part = attribution_table(phi, inputs, f"{m.name}_shap")
         out = part if out is None else out.unionByName(part)

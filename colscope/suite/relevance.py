@@ -7,9 +7,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..functions.keys import is_test
-from ..operators import clean as C, knockoff as KO, mlp, models as MD, shapley as SH
+from ..operators import boosting as BO, clean as C, knockoff as KO, matrix as MX, mlp, models as MD, shapley as SH
 from ..operators.predict import split_rows
 from ..operators.quantiles import exact_quantiles
+from ..operators.tree_shapley import tree_shapley
 from ..plans.relevance import check_options, prepare, relevance
 from .common import query, rounded, sql_below, table
 
@@ -127,9 +128,64 @@ def shapley_background(spark, sf):
 
 @query("shapley_trees")
 def shapley_trees(spark, sf):
+    """Mean absolute Shapley values of a forest, from the paths to its leaves."""
     rows = _rows(spark, sf)
     model = MD.fit_base(rows, "slugrf", MD.Limits(**{**SMALL.__dict__, "rf_n_estimators": 50}))
-    return SH.attribution_table(SH.shapley_values(rows.select("key", "x"), model.predict, 3, [0.0, 0.0, 0.0]), INPUTS)
+    return SH.attribution_table(tree_shapley(rows, model.model)[0], INPUTS)
+
+
+# the best single split of part by size, for second-order boosting with l2 = 1, and its two leaves
+STUMP = ("WITH p AS (SELECT p_partkey, p_size AS x, p_retailprice + 10 * p_size AS y FROM part), m AS (SELECT avg(y) AS b FROM p), c AS (SELECT DISTINCT x AS t FROM p), "
+         "s AS (SELECT t, sum(CASE WHEN x <= t THEN b - y ELSE 0 END) AS gl, sum(CASE WHEN x <= t THEN 1 ELSE 0 END) AS nl, sum(b - y) AS g, count(*) AS n, min(b) AS b FROM c, p, m GROUP BY t), "
+         "t AS (SELECT t, b, nl, n, -gl / (nl + 1) AS lv, -(g - gl) / (n - nl + 1) AS rv FROM s WHERE nl < n ORDER BY gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) DESC, t LIMIT 1) ")
+
+
+def _stump(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.lit(0).alias("fold"), F.array(F.lit(1.0), F.col("p_size").cast("double")).alias("x"), (F.col("p_retailprice") + 10 * F.col("p_size")).alias("label"))
+    return rows, BO.fit_many(rows, [(BO.Boosting(rounds=1, rate=1.0, max_depth=1, l2=1.0), None)])[0]
+
+
+@query("boosting_stump", STUMP + "SELECT CAST(t AS DOUBLE) AS threshold, round(b, 6) AS start, round(lv, 6) AS left_value, round(rv, 6) AS right_value, CAST(nl AS DOUBLE) AS left_rows FROM t")
+def boosting_stump(spark, sf):
+    """One round of one split: the best of all thresholds, penalised leaf values."""
+    _, m = _stump(spark, sf)
+    t = m.trees[0][0]
+    return rounded(spark.createDataFrame([(float(t.threshold[0]), float(m.start[0]), float(t.value[t.left[0]]), float(t.value[t.right[0]]), float(t.cover[t.left[0]]))],
+                                         "threshold double, start double, left_value double, right_value double, left_rows double"))
+
+
+@query("shapley_stump", STUMP + "SELECT p_partkey AS key, 0.0::DOUBLE AS phi0, round(CASE WHEN x <= t THEN lv ELSE rv END - (nl * lv + (n - nl) * rv) / n, 6) AS phi1 FROM p, t")
+def shapley_stump(spark, sf):
+    """Tree Shapley values of one split: the leaf's value minus the mean, all of it the split column's."""
+    rows, m = _stump(spark, sf)
+    phi, _ = tree_shapley(rows, m)
+    return phi.select("key", F.round(F.col("phi")[0], 6).alias("phi0"), F.round(F.col("phi")[1], 6).alias("phi1"))
+
+
+ADA = ("WITH p AS (SELECT p_size AS x, p_retailprice + 10 * p_size AS y FROM part), c AS (SELECT DISTINCT x AS t FROM p), "
+       "s AS (SELECT t, sum(CASE WHEN x <= t THEN y ELSE 0 END) AS yl, sum(CASE WHEN x <= t THEN 1 ELSE 0 END) AS nl, sum(y) AS yy, count(*) AS n FROM c, p GROUP BY t), "
+       "t AS (SELECT t, yl / nl AS lv, (yy - yl) / (n - nl) AS rv FROM s WHERE nl < n ORDER BY yl * yl / nl + (yy - yl) * (yy - yl) / (n - nl) DESC, t LIMIT 1), e AS (SELECT abs(y - CASE WHEN x <= t THEN lv ELSE rv END) AS e, t, lv, rv FROM p, t), "
+       "l AS (SELECT avg(e) / max(e) AS l, min(t) AS t, min(lv) AS lv, min(rv) AS rv FROM e) ")
+
+
+@query("adaboost_round", ADA + "SELECT CAST(t AS DOUBLE) AS threshold, round(lv, 6) AS left_value, round(rv, 6) AS right_value, round(ln((1 - l) / l), 6) AS weight FROM l")
+def adaboost_round(spark, sf):
+    """First round of AdaBoost.R2 with stumps and linear loss: split, leaves, and the tree's weight."""
+    rows, _ = _stump(spark, sf)
+    m = BO.fit_adaboost(rows, [(BO.Reweighting(1, 1.0, "linear", max_depth=1), None)])[0]
+    t = m.trees[0]
+    return rounded(spark.createDataFrame([(float(t.threshold[0]), float(t.value[t.left[0]]), float(t.value[t.right[0]]), float(m.weights[0]))], "threshold double, left_value double, right_value double, weight double"))
+
+
+@query("boosting_quantile", "WITH g AS (SELECT CAST(p_size > 25 AS DOUBLE) AS x, p_retailprice + 100 * p_size AS y FROM part) "
+       "SELECT x, round(list_sort(list(y))[greatest(CAST(ceil(0.9 * count(*) - 1e-9) AS BIGINT), 1)], 6) AS p FROM g GROUP BY x")
+def boosting_quantile(spark, sf):
+    """One round of quantile loss with two leaves: the value of each is the exact quantile of its rows."""
+    size = F.col("p_size")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.lit(0).alias("fold"), F.array((size > 25).cast("double")).alias("x"), (F.col("p_retailprice") + 100 * size).alias("label"))
+    m = BO.fit_many(rows, [(BO.Boosting("quantile", 1, 1.0, 1, alpha=0.9), None)])[0]
+    got = MX.map_rows(rows.select("x").distinct(), lambda x: m.predict(x)[:, None], "p")
+    return rounded(got.select(F.col("x")[0].alias("x"), F.col("p")[0].alias("p")))
 
 
 def _net(spark, sf):
