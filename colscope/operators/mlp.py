@@ -20,6 +20,7 @@ HIDDEN = [(12,), (50,), (70, 5)]
 ALPHAS = [0.001, 0.0001, 0.00001]
 
 BATCH, B1, B2, EPS = 200, 0.9, 0.999, 1e-8
+WEIGHTS = 1 << 20  # of the networks that learn together: what a task gets and a round sends back
 SHARD = 5_000  # rows that one task fits to between two averages
 
 
@@ -116,15 +117,26 @@ def train(points: DataFrame, nets: list[Net], rounds: int = 8, epochs: int = 20,
           tol: float = 1e-4, seed: int = 1) -> list[Net]:
     """Fit the networks to ``points`` (gid int, fold int, x array, y array).
 
-    The driver holds weights only. The rows of a gid are dealt to shards of about ``SHARD`` rows by their hash; in each
-    round a shard goes ``epochs`` times over its rows, starting from the common weights, then these are averaged. Shards
-    follow from the rows alone, so the networks do not depend on the cluster or on how the input is partitioned.
+    The driver holds weights only. The rows of a gid (``points`` has gid, key, fold, x and y) are dealt to shards of about ``SHARD`` rows by their key, so equal rows
+    spread; in each round a shard goes ``epochs`` times over its rows, starting from the common weights, then these are averaged. Shards
+    follow from the keys alone, so the networks do not depend on the cluster or on how the input is partitioned. Networks learn in waves of at most ``WEIGHTS`` weights.
     """
-    points = points.select("gid", "fold", "x", "y").withColumn("h", F.xxhash64("fold", "x", "y"))
+    points = points.select("gid", "key", "fold", "x", "y").withColumn("h", F.xxhash64("gid", "key"))
     sizes = cut(points.groupBy("gid").agg(F.ceil(F.count("*") / SHARD).alias("shards")), "shards")
     parts = int(sizes.agg(F.sum("shards")).first()[0] or 1)
     dealt = points.join(sizes, "gid").withColumn("shard", F.pmod("h", "shards")).drop("shards")
-    rows = cut(dealt.repartition(parts, "gid", "shard").sortWithinPartitions("gid", "shard", "h"), "mlp")
+    rows = cut(dealt.repartition(parts, "gid", "shard").sortWithinPartitions("gid", "shard", "h", "key").drop("key"), "mlp")
+    wave: list[Net] = []
+    for i, n in enumerate(nets):
+        wave.append(n)
+        if sum(len(m.w) for m in wave) >= WEIGHTS or i == len(nets) - 1:
+            _rounds(rows, wave, rounds, epochs, rate, tol, seed)
+            wave = []
+    return nets
+
+
+def _rounds(rows: DataFrame, nets: list[Net], rounds: int, epochs: int, rate: float, tol: float, seed: int) -> None:
+    """Improves networks side by side until none moves."""
     for rnd in range(rounds):
         by_gid: dict[int, list[Net]] = {}
         for n in nets:
@@ -170,7 +182,6 @@ def train(points: DataFrame, nets: list[Net], rounds: int = 8, epochs: int = 20,
                 n.w = new[n.net_id]
         if moved < tol:
             break
-    return nets
 
 
 def predict(points: DataFrame, nets: list[Net], keep: list[str]) -> DataFrame:

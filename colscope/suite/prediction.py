@@ -356,7 +356,11 @@ def _refined(spark, sf, name, trials=1, preparations=("none",), space=None):
 
 def _register_regressors():
     for name in RF.SPACE:
-        query(f"refine_{name}")(lambda spark, sf, name=name: _refined(spark, sf, name))
+        if name == "sgd":  # with the regressor's defaults
+            query("refine_sgd")(lambda spark, sf: _refined(spark, sf, "sgd", space={"sgd": lambda r: {}}))
+            continue
+        trials = 4 if name in ("boosting", "xgb", "ada_boost") else 1  # settings of these are fitted side by side
+        query(f"refine_{name}")(lambda spark, sf, name=name, trials=trials: _refined(spark, sf, name, trials))
 
 
 _register_regressors()

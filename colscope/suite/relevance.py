@@ -42,6 +42,9 @@ def _rows(spark, sf, options=None):
 
 SMALL = MD.Limits(n_trials=1, boosted_round=5, max_depth=5, rf_n_estimators=50, bagging_estimators=12, n_neighbors=10)
 
+# boosted models: rounds, depths and bins of the operators where trees stay small, fewer rounds for the deep ones
+SEARCH = {"briskxgboost": MD.Limits(n_trials=4), "sluglgbm": MD.Limits(n_trials=4), "slugxgboost": MD.Limits(n_trials=2, boosted_round=10)}
+
 
 def _scores(spark, fitted):
     return spark.createDataFrame([(m.name, *map(float, m.scores)) for m in fitted], "model string, train double, test double")
@@ -50,7 +53,7 @@ def _scores(spark, fitted):
 def _register_models():
     for name in MD.MODEL_NAMES:
         def run(spark, sf, name=name):
-            return _scores(spark, [MD.fit_base(_rows(spark, sf), name, SMALL)])
+            return _scores(spark, [MD.fit_base(_rows(spark, sf), name, SEARCH.get(name, SMALL))])
         query(f"model_{name}")(run)
 
 
@@ -70,6 +73,15 @@ def model_classification(spark, sf):
     return _scores(spark, [MD.fit_base(rows.withColumn("label", (F.col("label") > cut).cast("double")), "briskbagging", SMALL, classification=True)])
 
 
+@query("model_classes")
+def model_classes(spark, sf):
+    """Softmax boosting and neighbours on three classes, searched by log loss."""
+    rows = _rows(spark, sf)
+    low, high = rows.agg(F.expr("percentile(label, array(0.33, 0.67))")).first()[0]
+    rows = rows.withColumn("label", (F.col("label") > low).cast("double") + (F.col("label") > high).cast("double"))
+    return _scores(spark, [MD.fit_base(rows, n, MD.Limits(n_trials=3, boosted_round=20, n_neighbors=10), classification=True) for n in ("briskxgboost", "briskknn")])
+
+
 @query("stack")
 def stack(spark, sf):
     """Bagged trees over out-of-fold predictions of two base models."""

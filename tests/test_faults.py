@@ -112,9 +112,20 @@ def test_sums_of_columns_with_random_gaps_stay_small(spark):
 
 def test_networks_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(mlp, "SHARD", 100)
-    pts = spark.range(400).selectExpr("CAST(id % 2 AS INT) AS gid", "CAST(id % 3 AS INT) AS fold", "array(CAST(id AS DOUBLE)) AS x", "array(2.0D * id) AS y")
+    pts = spark.range(400).selectExpr("CAST(id % 2 AS INT) AS gid", "id AS key", "CAST(id % 3 AS INT) AS fold", "array(CAST(id AS DOUBLE)) AS x", "array(2.0D * id) AS y")
     got = []
     for parts in (2, 8):
         nets = [mlp.Net(g, g, 0, [1, 4, 1], 1e-4, np.array([200.0]), np.array([115.0]), np.array([400.0]), np.array([230.0]), mlp.start([1, 4, 1], 1)) for g in (0, 1)]
         got.append([n.w for n in mlp.train(pts.repartition(parts), nets, rounds=3)])
     assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(*got)) and not np.allclose(got[0][0], mlp.start([1, 4, 1], 1))
+
+
+def test_equal_rows_make_equal_shards(spark, monkeypatch):
+    monkeypatch.setattr(mlp, "SHARD", 100)
+    monkeypatch.setattr(mlp, "WEIGHTS", 20)  # two networks a wave at most
+    pts = spark.range(1000).selectExpr("0 AS gid", "id AS key", "CAST(id % 3 AS INT) AS fold", "array(IF(id < 900, 1D, CAST(id AS DOUBLE))) AS x", "array(1D) AS y")
+    seen = []
+    monkeypatch.setattr(mlp, "_rounds", lambda rows, nets, *rest: seen.append((rows.groupBy("shard").count().toPandas()["count"].tolist(), len(nets))))
+    nets = [mlp.Net(i, 0, -1, [1, 4, 1], 1e-4, np.zeros(1), np.ones(1), np.zeros(1), np.ones(1), mlp.start([1, 4, 1], 1)) for i in range(5)]
+    mlp.train(pts, nets)
+    assert [n for _, n in seen] == [2, 2, 1] and len(seen[0][0]) == 10 and max(seen[0][0]) < 150
