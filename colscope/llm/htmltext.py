@@ -41,12 +41,38 @@ DROP_WORDS = frozenset("""ad ads advert adverts advertisement advertising alert
     disclaimer discussion disqus footer footnote form gdpr header hidden legal login masthead menu meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion
     recommended register related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar warning widget widgets""".split())
 KINDS = ("div section article main p li ul nav header footer aside form a h1 h2 h3 table td span b blockquote pre figure".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[!?/][^>]*\Z""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 WIDTH = 20 + len(KINDS) + 16
 
 
+def markup(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(begin, end, slash, name, rest) of every tag, and of comments and declarations with an empty name; each character is looked at a bounded number of times.
+
+    A tag ends at the first > outside quotes. Where a quote stays open, this and all later tags end at the first >. What begins like a tag and never ends is no text.
+    """
+    at, n, quotes = 0, len(html), True
+    while (at := html.find("<", at)) >= 0:
+        following = html[at + 1:at + 2]
+        m = NAME.match(html, at)
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+        elif m:
+            whole = QUOTED.match(html, m.end()) if quotes else None
+            quotes = whole is not None
+            end = whole.end() if whole else html.find(">", m.end()) + 1 or n
+        elif following in ("!", "?") or (following == "/" and html.find(">", at) < 0):
+            end = html.find(">", at) + 1 or n
+        else:
+            at += 1  # a less-than sign
+            continue
+        skip = yield (at, end, m[1], m[2], html[m.end():end - 1]) if m and html[end - 1] == ">" else (at, end, "", "", "")
+        at = skip or end
+
+
 class Page:
     """Nodes of one page in order of their opening tags, and its texts."""
 
@@ -70,59 +96,78 @@ class Page:
                     break
             return 0
 
+        tags = markup(html)
+        tag = next(tags, None)
         while at < n:
-            m = TAG.search(html, at)
-            end = m.start() if m else n
+            end = tag[0] if tag else n
             if end > at:
                 self.texts.append((stack[-1], html[at:end]))
-            if not m:
+            if not tag:
                 break
-            at = m.end()
-            slash, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not name:
-                continue
-            name = name.lower()
-            if slash:
-                if open_[name] > 0:
-                    close(last((name,)))
-                elif name in BLOCK:
-                    self.texts.append((-1, ""))
-                continue
-            if name in CLOSES_P and open_["p"] > 0 and (k := last(("p",), ("td", "th", "button", "table"))):
-                close(k)
-            if name in IMPLIED:
-                own, stop = (x.split() for x in IMPLIED[name])
-                if any(open_[x] > 0 for x in own) and (k := last(own, stop)):
-                    close(k)
-            if name in BLOCK:
-                self.texts.append((-1, ""))
-            if name in VOID:
-                continue
-            words = tuple(w.lower() for a in ATTRIBUTE.finditer(rest) for w in TOKEN.findall(a[2])) if "=" in rest else ()
-            node, up = len(self.tag), stack[-1]
-            self.parent.append(up)
-            self.tag.append(name)
-            self.words.append(words)
-            self.depth.append(self.depth[up] + 1)
-            self.hidden.append(self.hidden[up] or name in HIDDEN or bool(re.search(r"\bhidden\b(?!\s*-)|display\s*:\s*none", rest, re.I)) if rest else self.hidden[up] or name in HIDDEN)
-            if rest.endswith("/") and name not in RAW and name in ("svg", "path", "use", "g"):
-                continue
-            stack.append(node)
-            open_[name] += 1
-            if name in RAW:
-                finish = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+            _, at, slash, name, rest = tag
+            tag = None
+            raw = self._element(slash, name.lower(), rest, stack, open_, close, last) if name else ""
+            if raw:  # its content is no markup
+                finish = re.compile(rf"</{raw}\b", re.I).search(html, at)
                 close(len(stack) - 1)
-                at = finish.end() if finish else n
+                at = html.find(">", finish.end()) + 1 or n if finish else n
+            try:
+                tag = tags.send(at)
+            except StopIteration:
+                tag = None
         close(1)
         self.texts = [(k, t) for k, t in self.texts if k < 0 or not self.hidden[k]]
 
-    def purpose(self) -> np.ndarray:
-        """1, -1 or 0 where an element itself says keep, drop or nothing."""
+    def _element(self, slash: str, name: str, rest: str, stack: list[int], open_: Counter, close, last) -> str:
+        """Takes a tag in; gives the name of an element whose content is raw."""
+        if slash:
+            if open_[name] > 0:
+                close(last((name,)))
+            elif name in BLOCK:
+                self.texts.append((-1, ""))
+            return ""
+        if name in CLOSES_P and open_["p"] > 0 and (k := last(("p",), ("td", "th", "button", "table"))):
+            close(k)
+        if name in IMPLIED:
+            own, stop = (x.split() for x in IMPLIED[name])
+            if any(open_[x] > 0 for x in own) and (k := last(own, stop)):
+                close(k)
+        if name in BLOCK:
+            self.texts.append((-1, ""))
+        if name in VOID:
+            return ""
+        words = tuple(w.lower() for a in ATTRIBUTE.finditer(rest) for w in TOKEN.findall(a[2])) if "=" in rest else ()
+        node, up = len(self.tag), stack[-1]
+        self.parent.append(up)
+        self.tag.append(name)
+        self.words.append(words)
+        self.depth.append(self.depth[up] + 1)
+        self.hidden.append(self.hidden[up] or name in HIDDEN or bool(re.search(r"\bhidden\b(?!\s*-)|display\s*:\s*none", rest, re.I)) if rest else self.hidden[up] or name in HIDDEN)
+        if rest.endswith("/") and name not in RAW and name in ("svg", "path", "use", "g"):
+            return ""
+        stack.append(node)
+        open_[name] += 1
+        return name if name in RAW else ""
+
+    def purpose(self, letters: np.ndarray) -> np.ndarray:
+        """1, -1 or 0 where an element itself says keep, drop or nothing; ``letters`` of each subtree.
+
+        The page as a whole says nothing, nor does a word or a form tag around an article that holds half of the page: names there speak of the layout.
+        """
         out = np.zeros(len(self.tag), np.int64)
+        inside = np.zeros(len(self.tag), bool)
+        for k in range(len(self.tag) - 1, 0, -1):
+            inside[self.parent[k]] |= inside[k] or self.tag[k] in KEEP_TAGS
+        around = inside & (2 * letters >= letters[0])
         for k, (name, words) in enumerate(zip(self.tag, self.words)):
-            if name in DROP_TAGS or any(w in DROP_WORDS for w in words):
+            kept, dropped = any(w in KEEP_WORDS for w in words), any(w in DROP_WORDS for w in words)
+            if name in ("html", "body"):
+                continue
+            if name in KEEP_TAGS:
+                out[k] = -1 if dropped and not kept else 1
+            elif (name in DROP_TAGS or dropped) and not (around[k] and name in ("div", "section", "form", "table", "tr", "td", "span", "center")):
                 out[k] = -1
-            elif name in KEEP_TAGS or any(w in KEEP_WORDS for w in words):
+            elif kept:
                 out[k] = 1
         return out
 
@@ -160,7 +205,7 @@ class Page:
             rank[k] = seen[parent[k]]
             seen[parent[k]] += 1
         up = np.maximum(parent, 0)
-        named = self.purpose()
+        named = self.purpose(whole[:, 0])
         near = self.nearest(named)
         total = max(whole[0, 0], 1)
         x = np.zeros((n, WIDTH))
@@ -216,10 +261,19 @@ class Page:
         return out
 
     def text(self, keep: np.ndarray) -> str:
-        if not any(k >= 0 and keep[k] and t.strip() for k, t in self.texts):  # nothing looks like an article: what no element disowns
-            keep = self.nearest(self.purpose()) >= 0
-        parts = [" " if k < 0 else t for k, t in self.texts if k < 0 or keep[k]]
-        return " ".join(unescape("".join(parts)).split())
+        """Text of the kept nodes, or where they hold none, of the paragraphs that no element disowns; references are decoded inside each piece of text, not across tags."""
+        if not any(k >= 0 and keep[k] and t.strip() for k, t in self.texts):
+            paragraph = np.array(self.tag) == "p"
+            size = np.zeros(len(self.tag))
+            for k, t in self.texts:
+                if k >= 0:
+                    size[k] += len("".join(t.split()))
+            for k in range(len(self.tag) - 1, 0, -1):
+                size[self.parent[k]] += size[k]
+            for k in range(1, len(self.tag)):
+                paragraph[k] |= paragraph[self.parent[k]]
+            keep = paragraph & (self.nearest(self.purpose(size)) >= 0)
+        return " ".join("".join(" " if k < 0 else unescape(t) for k, t in self.texts if k < 0 or keep[k]).split())
 
 
 class Trees:
