@@ -82,8 +82,10 @@ def sample_params(name: str, lim: Limits) -> list[dict]:
     return out
 
 
-def build_estimator(classification: bool, seed: int):
-    """All features at every split and bootstrapped rows: bagged trees."""
+def build_estimator(name: str, classification: bool, seed: int):
+    """Bagged trees: all features at every split and bootstrapped rows. Boosted and neighbour models have no estimator."""
+    if name not in ("briskbagging", "slugrf"):
+        raise ValueError(f"{name} is no model of bagged trees")
     kind = RandomForestClassifier if classification else RandomForestRegressor
     return kind(featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed)
 
@@ -244,7 +246,7 @@ def fit_base(rows: DataFrame, name: str, lim: Limits, classification: bool = Fal
         best = params[0] if len(params) == 1 else _search_boosted(train, params, classes, search)
         out = FittedModel(name, best, classification, _fit_boosted(train, best, classes))
     else:
-        est = build_estimator(classification, lim.seed)
+        est = build_estimator(name, classification, lim.seed)
         best = params[0] if len(params) == 1 else _search_trees(est, train, params, classification, search, lim.parallelism)
         out = FittedModel(name, best, classification, est.fit(train, {est.getParam(k): v for k, v in best.items()}))
     out.scores = train_test_scores(out.predict(rows), metric)
@@ -292,7 +294,7 @@ def _refit(m: FittedModel, train: DataFrame, seed: int) -> FittedModel:
         return FittedModel(m.name, m.params, m.classification, base=_knn_base(train))
     if isinstance(m.model, Boosted):
         return FittedModel(m.name, m.params, m.classification, _fit_boosted(train, m.params, None if m.model.classes is None else label_classes(train)))
-    est = build_estimator(m.classification, seed)
+    est = build_estimator(m.name, m.classification, seed)
     return FittedModel(m.name, m.params, m.classification, est.fit(train, {est.getParam(k): v for k, v in m.params.items()}))
 
 
