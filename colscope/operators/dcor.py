@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut
 from .neighbors import distances
-from .pairs import block_count, pair_sums
+from .pairs import pair_sums
 
 STRIP_ROWS = 200_000
 MAX_STRIPS = 400
@@ -163,17 +163,16 @@ def distance_correlation(rows: DataFrame, strip_rows: int = STRIP_ROWS, stored:
         n, cross, means["a"], means["b"], means["ab"], means["aa"], means["bb"], F.col("vx"), F.col("vy")).alias("dcor"))
 
 
-def distance_correlation_blocks(rows: DataFrame, block_rows: int = 2048) -> DataFrame:
+def distance_correlation_blocks(rows: DataFrame, block_rows: int | None = None) -> DataFrame:
     """``gid, dcor`` for rows ``gid, key, x ARRAY, y ARRAY``: Euclidean distances over several columns."""
     rows = cut(rows.select("gid", "key", "x", "y"), "dcor_blocks")
-    top = rows.groupBy("gid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    rows = rows.join(rows.groupBy("gid").agg(F.count("*").alias("n")), "gid")
 
     def sums(a, b):
-        dx = distances(np.array(a["x"].tolist()), np.array(b["x"].tolist()))
-        dy = distances(np.array(a["y"].tolist()), np.array(b["y"].tolist()))
-        return pd.DataFrame({"a": dx.sum(1), "b": dy.sum(1), "ab": (dx * dy).sum(1), "aa": (dx * dx).sum(1), "bb": (dy * dy).sum(1)})
+        dx, dy = distances(a["x"], b["x"]), distances(a["y"], b["y"])
+        return {"a": dx.sum(1), "b": dy.sum(1), "ab": (dx * dy).sum(1), "aa": (dx * dx).sum(1), "bb": (dy * dy).sum(1)}
 
-    per = pair_sums(rows, sums, ["a", "b", "ab", "aa", "bb"], block_count(top, block_rows), gid="gid")
+    per = pair_sums(rows, sums, ["a", "b", "ab", "aa", "bb"], "n", gid="gid", block_rows=block_rows)
     n = F.count("*")
     a, b = F.col("a"), F.col("b")
 

@@ -10,7 +10,7 @@ from ..operators import predict as P, refine as RF
 from ..operators.combine import get_column_combinations
 from ..operators.gram import table_moments
 from ..operators.neighbors import best_of, mean_of, nearest, vote_of
-from ..operators.pairs import block_count, pair_sums
+from ..operators.pairs import pair_sums
 from ..plans import predictability as PP
 from .common import query, rounded, sql_below, sql_fold, table, union_all
 
@@ -135,13 +135,10 @@ def knn_classify(spark, sf):
        "round(max(list_distance(a.v, b.v) * 0 + 0) , 5) AS zero FROM e a, e b GROUP BY 1")
 def pair_distance(spark, sf):
     """Sum of the distances of each row to all rows."""
-    import numpy as np
-    import pandas as pd
     from ..operators.neighbors import distances
 
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("x"))
-    sums = lambda a, b: pd.DataFrame({"total": distances(np.array(a["x"].tolist()), np.array(b["x"].tolist())).sum(axis=1)})
-    got = pair_sums(e, sums, ["total"], block_count(e.count()))
+    got = pair_sums(e, lambda a, b: {"total": distances(a["x"], b["x"]).sum(axis=1)}, ["total"], e.count())
     return got.select(F.col("key").alias("vec_id"), F.round("total", 5).alias("total"), F.lit(0.0).alias("zero"))
 
 
