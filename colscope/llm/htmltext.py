@@ -40,6 +40,8 @@ KEEP_WORDS = frozenset("article articlebody content contents entry main post pro
 DROP_WORDS = frozenset("""ad ads advert adverts advertisement advertising alert aside author banner bio breadcrumb breadcrumbs byline caption comment commentlist comments complementary consent contentinfo cookie cookies copyright
     disclaimer discussion disqus footer footnote form gdpr header hidden legal login masthead menu meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion
     recommended register related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar warning widget widgets""".split())
+COMMENT_WORDS = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
+LAYOUT_TAGS = frozenset("div section form table tr td span center".split())
 KINDS = ("div section article main p li ul nav header footer aside form a h1 h2 h3 table td span b blockquote pre figure".split())
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -149,26 +151,44 @@ class Page:
         open_[name] += 1
         return name if name in RAW else ""
 
-    def purpose(self, letters: np.ndarray) -> np.ndarray:
-        """1, -1 or 0 where an element itself says keep, drop or nothing; ``letters`` of each subtree.
+    def purpose(self, letters: np.ndarray, linked: np.ndarray) -> np.ndarray:
+        """1, -1 or 0 where an element itself says keep, drop or nothing; ``letters`` of each subtree, and those in links.
 
         The page as a whole says nothing, nor does a word or a form tag around an article that holds half of the page: names there speak of the layout.
+        A word that keeps says nothing of a list of links. A word that drops, unless it speaks of comments, says nothing of running text that holds
+        half of the page while elements that keep hold next to nothing elsewhere: a name alone does not take a page's only text.
         """
-        out = np.zeros(len(self.tag), np.int64)
-        inside = np.zeros(len(self.tag), bool)
-        for k in range(len(self.tag) - 1, 0, -1):
+        n = len(self.tag)
+        out = np.zeros(n, np.int64)
+        inside = np.zeros(n, bool)
+        for k in range(n - 1, 0, -1):
             inside[self.parent[k]] |= inside[k] or self.tag[k] in KEEP_TAGS
-        around = inside & (2 * letters >= letters[0])
+        half = 2 * letters >= letters[0]
+        around = inside & half
+        doubtful = []
         for k, (name, words) in enumerate(zip(self.tag, self.words)):
             kept, dropped = any(w in KEEP_WORDS for w in words), any(w in DROP_WORDS for w in words)
             if name in ("html", "body"):
                 continue
             if name in KEEP_TAGS:
                 out[k] = -1 if dropped and not kept else 1
-            elif (name in DROP_TAGS or dropped) and not (around[k] and name in ("div", "section", "form", "table", "tr", "td", "span", "center")):
+            elif (name in DROP_TAGS or dropped) and not (around[k] and name in LAYOUT_TAGS):
                 out[k] = -1
-            elif kept:
+            elif kept and 2 * linked[k] <= letters[k]:
                 out[k] = 1
+            if out[k] < 0 and half[k] and name not in DROP_TAGS and letters[k] >= 400 and 3 * linked[k] < letters[k] and not COMMENT_WORDS.intersection(words):
+                doubtful.append(k)
+        if doubtful:
+            top, under = np.zeros(n), out > 0
+            for k in range(1, n):
+                if out[k] > 0 and not under[self.parent[k]]:
+                    top[k] = letters[k]
+                under[k] |= under[self.parent[k]]
+            for k in range(n - 1, 0, -1):
+                top[self.parent[k]] += top[k]
+            for k in doubtful:
+                if 5 * (top[0] - top[k]) < letters[k]:
+                    out[k] = 0
         return out
 
     def nearest(self, own: np.ndarray) -> np.ndarray:
@@ -205,7 +225,7 @@ class Page:
             rank[k] = seen[parent[k]]
             seen[parent[k]] += 1
         up = np.maximum(parent, 0)
-        named = self.purpose(whole[:, 0])
+        named = self.purpose(whole[:, 0], whole[:, 3])
         near = self.nearest(named)
         total = max(whole[0, 0], 1)
         x = np.zeros((n, WIDTH))
@@ -264,15 +284,19 @@ class Page:
         """Text of the kept nodes, or where they hold none, of the paragraphs that no element disowns; references are decoded inside each piece of text, not across tags."""
         if not any(k >= 0 and keep[k] and t.strip() for k, t in self.texts):
             paragraph = np.array(self.tag) == "p"
-            size = np.zeros(len(self.tag))
+            link = np.array(self.tag) == "a"
+            for k in range(1, len(self.tag)):
+                paragraph[k] |= paragraph[self.parent[k]]
+                link[k] |= link[self.parent[k]]
+            size, linked = np.zeros(len(self.tag)), np.zeros(len(self.tag))
             for k, t in self.texts:
                 if k >= 0:
                     size[k] += len("".join(t.split()))
+                    linked[k] = size[k] * link[k]
             for k in range(len(self.tag) - 1, 0, -1):
                 size[self.parent[k]] += size[k]
-            for k in range(1, len(self.tag)):
-                paragraph[k] |= paragraph[self.parent[k]]
-            keep = paragraph & (self.nearest(self.purpose(size)) >= 0)
+                linked[self.parent[k]] += linked[k]
+            keep = paragraph & (self.nearest(self.purpose(size, linked)) >= 0)
         return " ".join("".join(" " if k < 0 else unescape(t) for k, t in self.texts if k < 0 or keep[k]).split())
 
 
