@@ -277,10 +277,10 @@ class Stack:
     def predict(self, rows: DataFrame, out: str = "p") -> DataFrame:
         if self.meta is None:
             return self.base[0].predict(rows, out)
-        return self.meta.predict(_stack_features(rows, self.base), out).select(*rows.columns, out)
+        return self.meta.predict(stack_features(rows, self.base), out).select(*rows.columns, out)
 
 
-def _stack_features(rows: DataFrame, base: list[FittedModel]) -> DataFrame:
+def stack_features(rows: DataFrame, base: list[FittedModel]) -> DataFrame:
     """Base predictions side by side in place of the features; model transforms chain without a join."""
     out = rows
     for i, m in enumerate(base):
@@ -313,9 +313,9 @@ def fit_stack(rows: DataFrame, base: list[FittedModel], lim: Limits, metric=None
     parts = None
     for f in sorted(folds):
         seen, held = train.where(F.col("fold") != f), train.where(F.col("fold") == f)
-        part = _stack_features(held, [_refit(m, seen, lim.seed) for m in base])
+        part = stack_features(held, [_refit(m, seen, lim.seed) for m in base])
         parts = part if parts is None else parts.unionByName(part)
-    meta_rows = cut(parts.unionByName(_stack_features(rows.where("is_test"), base)), "stack")
+    meta_rows = cut(parts.unionByName(stack_features(rows.where("is_test"), base)), "stack")
     meta = fit_base(meta_rows, "briskbagging", lim, classification, metric=metric)
     return Stack(base, meta, meta.scores)
 

@@ -16,7 +16,7 @@ from ..operators.clean import bad_columns, exclude_names, project, reduce_rows
 from ..operators.matrix import as_matrix, matrix_moments, standardize_matrix, width
 from ..operators.predict import with_key
 from ..operators.profile import numeric_columns
-from ..operators.quality import embedding_quality, quality_from_sums, rank_sums, sample_pairs
+from ..operators.quality import AROUND, measured_quality, quality_from_sums, rank_sums, sample_pairs
 from ..session import cut
 
 NUMERIC = ("LinAlgError", "ValueError", "FloatingPointError", "ZeroDivisionError", "OverflowError")
@@ -69,14 +69,15 @@ def draw_params(ranges: dict[str, tuple], rng: np.random.Generator, around: dict
     return out
 
 
-def measure(name: str, m: DataFrame, k: int, params: dict, step: str, n: int, methods=None, keep: bool = False) -> dict:
+def measure(name: str, m: DataFrame, k: int, params: dict, step: str, n: int, methods=None, keep: bool = False, around: int = AROUND) -> dict:
     """Run one method and measure it; a numeric failure is a result with quality 0 and its reason as status."""
     t = time.time()
     out = {"rel_err": 0.0, "r2": 0.0, "step": step, "fun_id": name, "rows_cols": f"{n}_{width(m)}", "dim_low": k,
-           "hyperparameters": json.dumps(params), "status": "ok", "data_lowdim": None}
+           "hyperparameters": json.dumps(params), "status": "ok", "data_lowdim": None, "rows_quality": 0}
     try:
         emb = cut((methods or METHODS)[name].fit(m, k, **params), "embedding")
-        out |= embedding_quality(emb, n=n)
+        got, out["rows_quality"] = measured_quality(emb, around, n)
+        out |= got
         if keep:
             out["data_lowdim"] = emb.select("key", "y")
     except (ArithmeticError, ValueError, np.linalg.LinAlgError, PythonException) as e:
@@ -92,17 +93,17 @@ def step_size(d: int) -> int:
     return max(round(d**0.25) - 1, 1) if d > 150 else 1
 
 
-def pca_quality(m: DataFrame, dims: list[int], n: int) -> dict[int, float]:
-    """rel_err of several principal dimensions from one decomposition and one ranked sample."""
+def pca_quality(m: DataFrame, dims: list[int], n: int, around: int = AROUND) -> tuple[dict[int, float], int]:
+    """rel_err of several principal dimensions from one decomposition and one ranked sample, and the rows of the sample."""
     d = width(m)
     full = L.pca(m, d)
-    rows = sample_pairs(full.transform(m.select("key", "x")), n=n)
+    rows = sample_pairs(full.transform(m.select("key", "x")), around, n)
     high, low = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     sums = rank_sums(m.sparkSession, high, [low[:, :k] for k in dims])
-    return {k: quality_from_sums(len(rows), *sums[i])["rel_err"] for i, k in enumerate(dims)}
+    return {k: quality_from_sums(len(rows), *sums[i])["rel_err"] for i, k in enumerate(dims)}, len(rows)
 
 
-def target_dimension(m: DataFrame, n: int, cutoff: float, start: int | None = None) -> tuple[int, list[dict]]:
+def target_dimension(m: DataFrame, n: int, cutoff: float, start: int | None = None, around: int = AROUND) -> tuple[int, list[dict]]:
     """Smallest dimension whose principal embedding reaches the cutoff.
 
     Without a start the range is narrowed by grids of probes, all measured in one job; with a start the
@@ -110,11 +111,14 @@ def target_dimension(m: DataFrame, n: int, cutoff: float, start: int | None = No
     """
     d = width(m)
     seen: dict[int, float] = {}
+    used = 0
 
     def probe(ks):
+        nonlocal used
         new = [k for k in ks if k not in seen]
         if new:
-            seen.update(pca_quality(m, new, n))
+            got, used = pca_quality(m, new, n, around)
+            seen.update(got)
 
     if start is None:
         lo, hi = 0, d   # lo fails, hi is taken to hold
@@ -140,7 +144,7 @@ def target_dimension(m: DataFrame, n: int, cutoff: float, start: int | None = No
                 k = min(k + step, d)
                 probe([k])
     return k, [{"fun_id": "py_pca", "step": "1_target_dim", "dim_low": q, "rel_err": v, "status": "ok", "hyperparameters": "{}",
-                "rows_cols": f"{n}_{d}", "time": 0.0, "r2": None} for q, v in sorted(seen.items())]
+                "rows_cols": f"{n}_{d}", "time": 0.0, "r2": None, "rows_quality": used} for q, v in sorted(seen.items())]
 
 
 def trial_budget(n_params: int) -> tuple[int, int]:
@@ -149,7 +153,7 @@ def trial_budget(n_params: int) -> tuple[int, int]:
 
 
 def search_method(name: str, m: DataFrame, k: int, n: int, seed: int = 1, methods=None, budget=trial_budget,
-                  time_limit: float | None = None) -> list[dict]:
+                  time_limit: float | None = None, around: int = AROUND) -> list[dict]:
     """Random draws over the ranges, then draws near the best so far. ``time_limit`` in seconds, if given, ends the search after a draw."""
     ranges = (methods or METHODS)[name].ranges
     first, more = budget(len(ranges))
@@ -157,7 +161,7 @@ def search_method(name: str, m: DataFrame, k: int, n: int, seed: int = 1, method
     for i in range(first + more):
         best = max(out, key=lambda r: r["rel_err"]) if out else None
         params = draw_params(ranges, rng, json.loads(best["hyperparameters"]) if best and i >= first else None)
-        out.append(measure(name, m, k, params, "2_functions", n, methods))
+        out.append(measure(name, m, k, params, "2_functions", n, methods, around=around))
         if time_limit and time.time() - began > time_limit:
             break
     return out
@@ -174,13 +178,14 @@ def above_cutoff(best: list[dict], cutoff: float, fallback: dict) -> list[dict]:
     return [r for r in best if r["rel_err"] >= cutoff] or [fallback]
 
 
-def intrinsic_dimension(m: DataFrame, start: int, chosen: list[dict], cutoff: float, n: int, methods=None) -> tuple[int, list[dict], list[dict]]:
+def intrinsic_dimension(m: DataFrame, start: int, chosen: list[dict], cutoff: float, n: int, methods=None,
+                        around: int = AROUND) -> tuple[int, list[dict], list[dict]]:
     """Walk down while some method holds the cutoff, up while none does. Returns dimension, its results, all results."""
     d, runs = width(m), {}
 
     def run(k):
         if k not in runs:
-            runs[k] = [measure(r["fun_id"], m, k, json.loads(r["hyperparameters"]), "3_fulldata", n, methods, keep=True) for r in chosen]
+            runs[k] = [measure(r["fun_id"], m, k, json.loads(r["hyperparameters"]), "3_fulldata", n, methods, True, around) for r in chosen]
         return any(r["rel_err"] >= cutoff for r in runs[k])
 
     k = max(1, min(start, d))
@@ -201,16 +206,17 @@ def intrinsic_dimension(m: DataFrame, start: int, chosen: list[dict], cutoff: fl
 
 
 SUMMARY_SCHEMA = ("trial int, step string, fun_id string, dim_low int, rel_err double, r2 double, rows_cols string, "
-                  "hyperparameters map<string,string>, status string, time double")
+                  "hyperparameters map<string,string>, status string, time double, rows_quality int")
 
 
 def complexity(data_high: DataFrame, data_id: str | None = None, columns=("All",), cutoff_loss: float = 0.99, functions=("All",),
                docu: bool = False, keys: list[str] | None = None, matrix_col: str | None = None, seed: int = 1, methods=None, budget=trial_budget,
-               scale: bool = True) -> tuple[int, list[dict], DataFrame]:
+               scale: bool = True, around: int = AROUND) -> tuple[int, list[dict], DataFrame]:
     """Intrinsic dimension, the best results at it, and a summary of everything tried.
 
     ``matrix_col`` names a ready array column; otherwise all numeric columns but the keys are used.
     ``data_id`` is a label for the caller, and the summary is always returned, whatever ``docu`` says.
+    Quality is measured on about ``around`` rows; the summary says for each trial how many they were.
     """
     spark = data_high.sparkSession
     functions = [functions] if isinstance(functions, str) else list(functions or ["All"])
@@ -228,14 +234,14 @@ def complexity(data_high: DataFrame, data_id: str | None = None, columns=("All",
     n = m.count()
     small = cut(reduce_rows(m, ["key"], seed, n=n, n_cols=width(m)), "small")
     n_small = small.count()
-    rough, trace1 = target_dimension(small, n_small, cutoff_loss)
-    target, trace2 = target_dimension(m, n, cutoff_loss, start=rough)
-    trials = [r for f in exclude_names(list(methods), functions) for r in search_method(f, small, target, n_small, seed, methods, budget)]
+    rough, trace1 = target_dimension(small, n_small, cutoff_loss, around=around)
+    target, trace2 = target_dimension(m, n, cutoff_loss, rough, around)
+    trials = [r for f in exclude_names(list(methods), functions) for r in search_method(f, small, target, n_small, seed, methods, budget, around=around)]
     table = spark.createDataFrame([(i, r["fun_id"], float(r["rel_err"])) for i, r in enumerate(trials)], "trial int, fun_id string, rel_err double")
     best = [trials[r["trial"]] for r in best_trials(table).collect()]
     fallback = {"fun_id": "py_pca", "hyperparameters": "{}", "rel_err": 0.0}
-    dim, results, trace3 = intrinsic_dimension(m, target, above_cutoff(best, cutoff_loss, fallback), cutoff_loss, n, methods)
+    dim, results, trace3 = intrinsic_dimension(m, target, above_cutoff(best, cutoff_loss, fallback), cutoff_loss, n, methods, around)
     rows = [(i, r["step"], r["fun_id"], int(r["dim_low"]), float(r["rel_err"]), None if r["r2"] is None else float(r["r2"]), r["rows_cols"],
-             {k: str(v) for k, v in json.loads(r["hyperparameters"]).items()}, r["status"], float(r["time"]))
+             {k: str(v) for k, v in json.loads(r["hyperparameters"]).items()}, r["status"], float(r["time"]), r["rows_quality"])
             for i, r in enumerate(trace1 + trace2 + trials + trace3)]
     return dim, results, spark.createDataFrame(rows, SUMMARY_SCHEMA)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..operators import clean as C, combine as K, profile as P, ranking as R
+from ..functions.keys import is_test
+from ..operators import clean as C, combine as K, models as MD, profile as P, ranking as R
 from ..operators.dcor import distance_correlation
 from ..operators.quantiles import exact_quantiles
+from ..plans import complexity as CX
 from ..sources import tables as S
 from ..session import scratch_path
 from .common import query, rounded, sql_below, table, union_all
@@ -447,9 +449,11 @@ def set_difference(spark, sf):
 
 @query("column_bind", "SELECT o_orderkey, round(o_totalprice / 1000, 6) AS p1, round(o_custkey * 2.5, 6) AS p2 FROM orders")
 def column_bind(spark, sf):
-    o = table(spark, sf, "orders")
-    a = o.select("o_orderkey", F.round(F.col("o_totalprice") / 1000, 6).alias("p1"))
-    return a.join(o.select("o_orderkey", F.round(F.col("o_custkey") * 2.5, 6).alias("p2")), "o_orderkey")
+    """Predictions of two models side by side, as the upper model of a stack sees them."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.array(F.col("o_totalprice").cast("double"), F.col("o_custkey").cast("double")).alias("x")).withColumn("features", F.col("x"))
+    base = [MD.FittedModel(n, {}, False, SQLTransformer(statement=f"SELECT *, {e} AS prediction FROM __THIS__")) for n, e in (("price", "x[0] / 1000"), ("customer", "x[1] * 2.5"))]
+    got = MD.stack_features(rows, base)
+    return got.select(F.col("key").alias("o_orderkey"), *[F.round(F.col("x")[i], 6).alias(f"p{i + 1}") for i in (0, 1)])
 
 
 @query("flatten_results", "SELECT l_returnflag, v FROM (SELECT l_returnflag, unnest([l_quantity, l_tax, l_discount]) AS v FROM lineitem)")
@@ -461,19 +465,17 @@ def flatten_results(spark, sf):
 @query("best_trial", "SELECT l_linenumber AS trial, arg_max(l_returnflag || l_linestatus, s) AS params, round(max(s), 4) AS score FROM (SELECT l_linenumber, l_returnflag, l_linestatus, avg(l_extendedprice) AS s "
        "FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1")
 def best_trial(spark, sf):
-    s = table(spark, sf, "lineitem").groupBy("l_linenumber", "l_returnflag", "l_linestatus").agg(F.avg("l_extendedprice").alias("s"))
-    return s.groupBy(F.col("l_linenumber").alias("trial")).agg(
-        F.max_by(F.concat("l_returnflag", "l_linestatus"), "s").alias("params"), F.round(F.max("s"), 4).alias("score"))
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("fun_id"), F.concat("l_returnflag", "l_linestatus").alias("trial")).agg(F.avg("l_extendedprice").alias("rel_err"))
+    return CX.best_trials(s).select(F.col("fun_id").alias("trial"), F.col("trial").alias("params"), F.round("rel_err", 4).alias("score"))
 
 
 @query("quality_threshold", f"WITH q AS (SELECT feature, avg(w) AS quality FROM ({RUNS}) GROUP BY 1), k AS (SELECT * FROM q WHERE quality >= 400) SELECT feature, round(quality, 6) AS quality FROM "
        "(SELECT * FROM k UNION ALL SELECT * FROM q WHERE feature = 'Brand#11' AND NOT EXISTS (SELECT 1 FROM k))")
 def quality_threshold(spark, sf):
     """Methods that reach the cutoff, or the fallback where none does."""
-    q = runs(spark, sf).groupBy("feature").agg(F.avg("w").alias("quality"))
-    keep = q.where("quality >= 400")
-    fallback = q.where("feature = 'Brand#11'").join(keep.limit(1).select(F.lit("Brand#11").alias("feature")), "feature", "left_anti")
-    return rounded(keep.unionByName(fallback))
+    best = [r.asDict() for r in runs(spark, sf).groupBy("feature").agg(F.avg("w").alias("rel_err")).collect()]
+    kept = CX.above_cutoff(best, 400, next(r for r in best if r["feature"] == "Brand#11"))
+    return rounded(spark.createDataFrame([(r["feature"], r["rel_err"]) for r in kept], "feature string, quality double"))
 
 
 # ---- metrics -----------------------------------------------------------------------------------
@@ -533,9 +535,10 @@ SIDES = f"SELECT l_linenumber AS m, {sql_below('l_orderkey', 0.3)} AS is_test, l
        "SELECT m, round(tr, 6) AS train, round(te, 6) AS test, round(4 * abs(tr - te) + te, 6) AS weighted, round(abs(tr - te) + 4 * (1 - te), 6) AS weighted_class, round(tr * te / (tr + te), 2) * 2 AS harmonic FROM s WHERE te >= 0")
 def train_test_scores(spark, sf):
     """Scores of both sides, their combinations, and the threshold on the test score."""
-    from ..functions.keys import is_test
-    rows = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("m"), is_test(["l_orderkey"]).alias("t"), F.col("l_extendedprice").alias("y"), (0.9 * F.col("l_extendedprice") + 100 * F.col("l_quantity")).alias("p"))
-    s = rows.groupBy("m").agg(M.r2(F.when(~F.col("t"), F.col("y")), "p").alias("tr"), M.r2(F.when(F.col("t"), F.col("y")), "p").alias("te")).where("te >= 0")
+    rows = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("m"), is_test(["l_orderkey"]).alias("is_test"), F.col("l_extendedprice").alias("label"), (0.9 * F.col("l_extendedprice") + 100 * F.col("l_quantity")).alias("p"))
+    numbers = sorted(r["m"] for r in rows.select("m").distinct().collect())
+    models = [MD.FittedModel(str(m), {}, False, scores=MD.train_test_scores(rows.where(F.col("m") == m), M.r2)) for m in numbers]
+    s = spark.createDataFrame([(int(x.name), *x.scores) for x in MD.select_models(models, 0.0)], "m int, tr double, te double")
     return s.select("m", F.round("tr", 6).alias("train"), F.round("te", 6).alias("test"), F.round(M.weighted_score("tr", "te"), 6).alias("weighted"),
                     F.round(M.weighted_score("tr", "te", True), 6).alias("weighted_class"), M.harmonic_score("tr", "te").alias("harmonic"))
 

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 import colscope
 from colscope.operators import linear_dim as L, nonlinear_dim as N, quality as Q
 from colscope.operators.matrix import matrix_moments, standardize_matrix
+from colscope.plans import complexity as CX
 from colscope.session import cut
+from colscope.streaming.incremental import merged_components, save_batch
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +99,26 @@ def test_task_finds_the_rank(spark, data):
     assert summary.where("status <> 'ok'").count() == 0
     wide = m.select("key", *[F.col("x")[i].alias(f"c{i}") for i in range(6)], F.lit("t").alias("text"))
     assert colscope.complexity(wide, keys=["key"], cutoff_loss=0.9, functions=["py_pca"])[0] <= 3
+
+
+def test_stored_batches_stay_few_and_complete(spark, data, tmp_path):
+    m, _ = data
+    path = str(tmp_path / "moments")
+    for i in range(11):
+        save_batch(m.where(F.col("key") % 11 == i) if i != 4 else m.limit(0), i, path, 3)
+    save_batch(m.where("key % 11 = 10"), 10, path, 3)  # a stream repeats its last batch
+    for repeat in range(2):
+        save_batch(m.where("key % 11 = 4"), 11, path, 3)  # and one that makes a total
+        got, want = merged_components(spark, path, 3), L.pca(m, 3)
+        assert np.allclose(got.values, want.values) and np.allclose(np.abs(got.weights), np.abs(want.weights))
+    stored = [len([p for p in (tmp_path / "moments" / t).iterdir() if p.name.startswith("number=")]) for t in ("batches", "totals")]
+    assert stored == [3, 2]
+
+
+def test_quality_says_how_many_rows_it_used(spark, data):
+    m, x = data
+    dim, _, summary = CX.complexity(m, keys=["key"], matrix_col="x", cutoff_loss=0.9, functions=["py_pca"], budget=lambda p: (1, 0), around=40)
+    used = {r["rows_quality"] for r in summary.where("status = 'ok'").collect()}
+    assert used and all(0 < u <= len(x) / 2 for u in used)
+    full = CX.complexity(m, keys=["key"], matrix_col="x", cutoff_loss=0.9, functions=["py_pca"], budget=lambda p: (1, 0))[2]
+    assert max(r["rows_quality"] for r in full.collect()) == len(x)
