@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import linear_dim as L, nonlinear_dim as N, quality as Q
 from ..operators.gram import table_moments
-from ..operators.matrix import as_matrix, matrix_moments
+from ..operators.matrix import as_matrix, matrix_moments, standardize_matrix
 from ..plans import complexity as CX
 from ..session import cut, scratch_path
 from ..streaming.incremental import merged_components, stream_moments
-from .common import query, rounded, table
+from .common import query, rounded, table, union_all
 
 
 def matrix(spark, sf):
@@ -92,6 +94,41 @@ def incremental_stream(spark, sf):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(p.values)], "component int, value double")
 
 
+# two scaled columns of the orders: the directions are (1, 1) and (1, -1) up to sign, the eigenvalues one plus and minus the correlation
+TWO = ("WITH o AS (SELECT l_orderkey AS key, sum(l_quantity) AS a, sum(l_extendedprice) AS b FROM lineitem GROUP BY 1), s AS (SELECT avg(a) ma, stddev_pop(a) da, avg(b) mb, stddev_pop(b) db, corr(a, b) AS r, count(*) AS n FROM o), "
+       "z AS (SELECT key, (a - ma) / da / sqrt(2) AS u, sign(r) * (b - mb) / db / sqrt(2) AS v, (1 + abs(r)) * n / (n - 1) AS l1, (1 - abs(r)) * n / (n - 1) AS l2 FROM o, s) ")
+PLAIN = ("pca", "truncated_svd", "classical_scaling")
+
+
+def two_columns(spark, sf):
+    o = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.sum("l_quantity").alias("a"), F.sum("l_extendedprice").alias("b"))
+    m = cut(as_matrix(o, "key", ["a", "b"]), "two")
+    return cut(standardize_matrix(m, matrix_moments(m, 2)[0]), "scaled")
+
+
+@query("incremental_stream_2", TWO + "SELECT DISTINCT 0 AS component, round(l1, 6) AS value FROM z UNION ALL SELECT DISTINCT 1, round(l2, 6) FROM z")
+def incremental_stream_2(spark, sf):
+    """Eigenvalues of two scaled columns whose rows arrive as a stream, with totals made on the way."""
+    src, out, chk = (scratch_path(spark, x) for x in ("in", "moments", "chk"))
+    two_columns(spark, sf).select("key", "x").repartition(5).write.parquet(src)
+    stream = spark.readStream.schema("key bigint, x array<double>").option("maxFilesPerTrigger", 1).parquet(src)
+    stream_moments(stream, out, chk, every=2).awaitTermination()
+    p = merged_components(spark, out, 2)
+    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(p.values)], "component int, value double"))
+
+
+@query("linear_scores_2", TWO + union_all([f"SELECT '{n}' AS method, key, round(abs(u + v), 6) AS first, round(abs(u - v), 6) AS second FROM z" for n in PLAIN]
+       + ["SELECT 'probabilistic_pca', key, round(abs(u + v) * sqrt(l1 - l2) / l1, 6), NULL FROM z"]))
+def linear_scores_2(spark, sf):
+    """Scores of the linear embeddings of two scaled columns; the probabilistic one in one dimension, as two leave no noise."""
+    m, out = two_columns(spark, sf), []
+    for n in PLAIN:
+        out.append(getattr(L, n)(m, 2).transform(m.select("key", "x")).select(F.lit(n).alias("method"), "key", F.abs(F.col("y")[0]).alias("first"), F.abs(F.col("y")[1]).alias("second")))
+    p = L.probabilistic_pca(m, 1).transform(m.select("key", "x"))
+    out.append(p.select(F.lit("probabilistic_pca").alias("method"), "key", F.abs(F.col("y")[0]).alias("first"), F.lit(None).cast("double").alias("second")))
+    return rounded(reduce(DataFrame.unionByName, out))
+
+
 def _scores(spark, sf, fn, k=8):
     m = cut(matrix(spark, sf), "matrix")
     return fn(m, k).select("key", F.posexplode("y").alias("component", "value"))
