@@ -7,7 +7,8 @@ Rounds times width is quadratic in a piece's length, so pieces above ``WIDE`` by
 The table and the vocabulary travel to the tasks as a few MB of arrays, whatever the input. Documents are independent, so there
 is no shuffle and a lost executor costs its tasks only.
 
-Defined cases: a null text is an empty text, which has no ids; other columns are not read.
+Defined cases: a null text is an empty text, which has no ids; other columns, whatever their names, are not read. An empty table gives
+an empty table; very long texts are encoded whole.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ of one path meet in one row; that is the only gathering.
 
 Defined cases: a null text or role is an empty string; a parent that is not in its tree makes its node a root; nodes
 on a cycle, or below one, belong to no path; equal scores go to the longer path, then to the smaller leaf;
-rows without a tree id form one tree; other columns of the input are not read.
+rows without a tree id form one tree; other columns of the input, whatever their names, are not read. An empty table gives an empty
+table; a conversation is one string, so its turns together must fit in a row, and long texts are formatted whole.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ The trees are fitted on nodes of at most ``PAGES`` pages chosen by hash, ``NODES
 page, without a shuffle. What a task holds is one chunk of pages.
 
 Defined cases: a null html is empty; a page without text gives an empty string; unclosed, misnested and unknown tags are taken as
-browsers mostly do; where no node is kept, all text that no element disowns is; a table without labelled nodes gets no trees, and the named purposes decide; repeated rows each give a row.
+browsers mostly do; where no node is kept, all text that no element disowns is; a table without labelled nodes gets no trees, and the named purposes decide; repeated rows each give a row. An empty
+table gives an empty table; very long pages are parsed whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

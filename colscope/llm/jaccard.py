@@ -15,6 +15,7 @@ Every step covers all links; hashes of 64 bits stand for words and shingles.
 
 Defined cases: a null or blank text has an empty set and links with nothing; with fewer words than a shingle the whole sequence is the one
 shingle; repeated rows are copies; rows with a null id take part, their component is named by the smallest id that is not null.
+An empty table gives an empty table; very long texts are taken whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

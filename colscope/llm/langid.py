@@ -6,7 +6,8 @@ found by expectation-maximisation, languages join the set one by one while the l
 words per language, grows.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is everything when no language was learned;
-equal likelihoods go to the first language in order; documents are independent, repeated rows each get their row.
+equal likelihoods go to the first language in order; documents are independent, repeated rows each get their row. An empty table gives an
+empty table; very long texts are counted whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ to ``CELLS``. Only their quality, never the result, depends on that. In a space
 within reach, and the work then is that of all pairs of a label; tight data or a higher threshold prune.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without label or id, link with nothing;
-vectors of different length do not link; rows with one id are one node; repeated rows link with each other.
+vectors of different length do not link; rows with one id are one node; repeated rows link with each other. An empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ The fit uses at most ``limit`` positives and ``limit`` unlabelled texts, chosen
 counts all labels); every document is scored from its whole text in one pass without a shuffle.
 
 Defined cases: a null text is an empty text; a document with labels of both kinds is no trusted positive; without positives or unlabelled
-texts every score is the prior (0.5 without labels); repeated rows each get a score.
+texts every score is the prior (0.5 without labels); repeated rows each get a score. An empty table gives an empty table; very long
+texts are described whole; other columns of both tables, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ before anything moves. Pivots and annulus limits come from a sample of at most `
 the driver holds is one line per annulus, at most ``PIVOTS * RINGS``.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without id, take no part; vectors meet only those of the
-same length; rows with the query's own id are no candidates; ties go to the smaller id.
+same length; rows with the query's own id are no candidates; ties go to the smaller id. An empty table gives an empty table; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
