@@ -20,7 +20,7 @@ from ..functions.keys import block
 
 BLOCK_ROWS, BLOCK_BYTES = 24_576, 8 << 20  # a block holds neither more rows nor more bytes than about this
 SPREAD_ROWS = 1_024  # blocks are not made smaller than this for the sake of more tasks
-TILE = 512
+TILE = 256
 
 Block = dict[str, np.ndarray]
 
@@ -75,7 +75,7 @@ def pair_sums(df: DataFrame, fn: Callable[[Block, Block], Block], sums: list[str
             .withColumns({"__lo": F.least("__b", "__c"), "__hi": F.greatest("__b", "__c")}).drop("__c", "__blocks"))
     if isinstance(n, str) or n > SPREAD_ROWS:
         # little data, much work: partitions by number, which are not put together for being small
-        sent = sent.repartition(2 * slots, "__gid", "__lo", "__hi")
+        sent = sent.repartition(4 * slots, "__gid", "__lo", "__hi")
 
     def work(t: pa.Table) -> pa.Table:
         held, keys = {}, {}
