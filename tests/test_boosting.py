@@ -83,6 +83,40 @@ def test_best_first_with_few_leaves(grid, monkeypatch):
     assert flat(nested(T.grow(table_, edges, sums, [T.Growth(9, leaves=5), T.Growth(3)])[1])) == flat(nested(all_))
 
 
+@pytest.mark.parametrize("spec", [T.Growth(12), T.Growth(9, leaves=7, l1=0.1, l2=1.0), T.Growth(8, min_rows=2, columns=(1.0, 0.7, 0.5), seed=(3, 1)), T.Growth(20, min_weight=2.0, price=0.01)])
+def test_rows_held_whole_give_the_same_tree_from_one_look(spark, spec):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(700, 3))
+    y = np.round(x[:, 0] * 2 + draw.normal(size=700), 2)
+    rows = table(spark, x, y)
+    edges = T.bin_edges(rows, 3, 500)
+    table_ = T.binned(rows, edges)
+    looks = []
+
+    def sums(b):
+        looks.append(1)
+        return -b.y[:, None], np.ones((len(b.y), 1)), (b.fold != 1)[:, None]
+
+    spread = T.grow(table_, edges, sums, [spec])[0]
+    assert not looks  # those were the tasks'
+    held = T.grow(T.whole(table_, 3), edges, sums, [spec])[0]
+    assert len(looks) == 1  # before: one for each level
+    assert flat(nested(held)) == flat(nested(spread)) and (held.cover == spread.cover).all()
+
+
+def test_many_nodes_with_few_rows_each_are_searched_together():
+    draw = np.random.default_rng(6)
+    place, bins = np.sort(draw.integers(0, 900, 3000)), draw.integers(0, 5000, (2, 3000))
+    g, h, allowed = draw.normal(size=3000), draw.random(3000), draw.random((900, 2)) < 0.8
+    spec = T.Growth(l2=0.3, min_rows=2)
+    gain, column, last = T._best_splits(bins, place, 900, 5000, g, h, spec, allowed)
+    for s in range(0, 900, 9):
+        own = place == s
+        sums = [np.array([np.bincount(bins[j, own], w[own], minlength=5000) for j in range(2)]) for w in (g, h, np.ones(3000))]
+        want = T.best_split(*sums, spec, allowed[s])
+        assert gain[s] == pytest.approx(want[0]) and (column[s], last[s] if want[1] >= 0 else 0) == want[1:]
+
+
 def boosted_brute(x, y, p):
     f = np.full(len(y), y.mean())
     for r in range(p.rounds):
