@@ -260,6 +260,18 @@ def test_random_thresholds(grid):
     assert {t.cover[0] for t in boot.trees} != {240.0}
 
 
+@pytest.mark.parametrize("bootstrap", [False, True])
+def test_random_thresholds_of_rows_held_whole(grid, monkeypatch, bootstrap):
+    x, y, rows = grid
+    args = dict(trees=4, max_depth=6, min_rows=3, share=0.6, bootstrap=bootstrap, fold=2)
+    monkeypatch.setattr(B, "SMALL", 0)
+    spread = B.fit_extra_trees(rows, **args).trees
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "_extra_level", None)  # no pass over the table for each level
+    for a, b in zip(B.fit_extra_trees(rows, **args).trees, spread):
+        assert flat(nested(a)) == flat(nested(b)) and np.allclose(a.cover, b.cover)
+
+
 def model_rows(spark, x, y):
     from pyspark.ml.functions import array_to_vector
 
