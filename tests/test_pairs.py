@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colscope.operators import pairs
-from colscope.operators.neighbors import distances
+from colscope.operators import neighbors, pairs
+from colscope.operators.neighbors import block_distances, distances
 
 
 def totals():
@@ -55,3 +55,21 @@ def test_text_keys_single_row_and_empty_table(spark):
 def test_two_hundred_thousand_rows_travel_few_times(spark):
     rows = spark.range(200_000).select(F.col("id").alias("key"), F.array(*[F.col("id") * 0.1] * 5).alias("x"))
     assert -(-200_000 // pairs._largest_block(rows, ["x"])) * 8 <= -(-200_000 // 2048)
+
+
+def test_block_distances_keep_their_digits():
+    draw = np.random.default_rng(3)
+    a = draw.normal(size=(40, 12)) + 1e4
+    b = np.vstack([draw.normal(size=(30, 12)) + 1e4, a[:1], a[1:2] + 1e-7])
+    got, want = block_distances(a, b), distances(a, b)
+    assert np.allclose(got, want, rtol=1e-9, atol=0) and got[0, 30] == 0
+    b[0, 0] = np.inf
+    assert np.isinf(block_distances(a, b)[:, 0]).all() and np.allclose(block_distances(a, b)[:, 1:], want[:, 1:], rtol=1e-9, atol=0)
+
+
+def test_pair_sums_of_wide_rows_need_no_pass_for_each_column(monkeypatch):
+    """Before, 256 x 256 distances were summed column by column."""
+    monkeypatch.setattr(neighbors, "distances", None)
+    draw = np.random.default_rng(4)
+    a, b = draw.normal(size=(256, 64)), draw.normal(size=(256, 64))
+    assert np.allclose(neighbors.block_distances(a, b), np.linalg.norm(a[:, None] - b[None], axis=2))
