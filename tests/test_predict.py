@@ -156,3 +156,21 @@ def test_refinement_beats_the_line(spark, waves):
     m = {r["metric"]: r["value"] for r in got.metrics.collect()}
     assert m["r2"] > 0.9 and got.trials.count() == 2
     assert PP.compare_refined(run.metrics, got.metrics).where("metric = 'r2'").first()["refined"] == pytest.approx(m["r2"])
+
+
+def test_wide_neighbours_come_from_products_of_matrices(monkeypatch):
+    """Few distances of wide rows are taken one by one, and the lists are those of all of them, ties and equal rows included."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1500, 16)) + 50
+    base[200:240], base[300:340] = base[0], np.round(base[300:340])
+    queries = np.vstack([rng.normal(size=(300, 16)) + 50, base[190:250], np.round(base[300:340])])
+    key, part = rng.permutation(1500), np.arange(1500) % 2
+    taken, plain = [], NB.distances
+    monkeypatch.setattr(NB, "distances", lambda a, b, p=2: (taken.append(len(a) * len(b)), plain(a, b, p))[1])
+    row, dist, at, _ = NB.local_nearest(queries, base, key, part, 5)
+    assert sum(taken) < len(queries) * len(base) / 4
+    every = plain(queries, base)
+    for i in range(len(queries)):
+        want = np.concatenate([sorted(np.flatnonzero(part == p), key=lambda j: (every[i, j], key[j]))[:5] for p in (0, 1)])
+        want = sorted(want, key=lambda j: (every[i, j], key[j]))
+        assert list(at[row == i]) == want and list(dist[row == i]) == list(every[i, want])
