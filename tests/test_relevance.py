@@ -117,3 +117,20 @@ def test_task_ranks_planted_inputs_first(spark, planted):
     assert out["xai_model"].orderBy("score").first()["feature"] == "f9"
     assert out["xai_non_model"].orderBy("w").first()["feature"] == "f9"
     assert set(out["base_model_scores"]) == {"briskbagging", "briskknn"} and out["score"][1] > 0
+
+
+def test_forest_makes_every_knockoff_once(spark, tmp_path):
+    from colscope.operators import knockoff as KO
+    log = str(tmp_path / "made")
+
+    class Counted(KO.Sampler):
+        def __call__(self, x, key, run):
+            with open(log, "a") as f:
+                f.write(f"{len(x)}\n")
+            return super().__call__(x, key, run)
+
+    x = np.random.default_rng(5).normal(size=(400, 2))
+    df = spark.createDataFrame([(i, *map(float, r), float(r[0])) for i, r in enumerate(x)], "key bigint, a double, b double, y double").repartition(2)
+    got = {r["feature"]: r["w"] for r in KO.forest_statistics(df, ["a", "b"], "y", Counted(np.zeros(2), np.eye(2)), 1, trees=5, depth=3).collect()}
+    assert got["a"] > abs(got["b"])
+    assert sum(map(int, open(log).read().split())) == 400
