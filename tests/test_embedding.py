@@ -122,3 +122,13 @@ def test_quality_says_how_many_rows_it_used(spark, data):
     assert used and all(0 < u <= len(x) / 2 for u in used)
     full = CX.complexity(m, keys=["key"], matrix_col="x", cutoff_loss=0.9, functions=["py_pca"], budget=lambda p: (1, 0))[2]
     assert max(r["rows_quality"] for r in full.collect()) == len(x)
+
+
+def test_sizes_of_a_sammon_step_share_a_pass(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(120, 32))
+    m = cut(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "key bigint, x array<double>"))
+    passes, plain = [], N.pair_sums
+    monkeypatch.setattr(N, "pair_sums", lambda *a, **b: (passes.append(a[2]), plain(*a, **b))[1])
+    end = N.sammon(m, 2, max_iter=2)
+    assert len(passes) <= 1 + 2 * 3 and max(map(len, passes)) >= N.HALVES
+    assert N.stress(end, 120, sammon=True) < N.stress(N._start(m, 2), 120, sammon=True)
