@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,25 @@ def test_sizes_of_a_sammon_step_share_a_pass(spark, monkeypatch):
     end = N.sammon(m, 2, max_iter=2)
     assert len(passes) <= 1 + 2 * 3 and max(map(len, passes)) >= N.HALVES
     assert N.stress(end, 120, sammon=True) < N.stress(N._start(m, 2), 120, sammon=True)
+
+
+def test_only_rows_in_reach_are_measured(monkeypatch):
+    """Rows beyond the reach of a pivot neither move nor have their original distance taken."""
+    class State:
+        schema = None
+
+        def mapInPandas(self, run, schema):
+            return lambda frame: next(run(iter([frame])))
+
+    monkeypatch.setattr(N, "cut", lambda df, label: df)
+    measured = []
+
+    def rule(i, y, at, high, low):
+        measured.append(len(high))
+        return (0.5 * (low < 1.0) * (high - low) / low)[:, None] * (y - at)
+
+    y = np.array([[0.0, 0.0], [0.5, 0.0], [3.0, 0.0], [0.0, 4.0]])
+    rows = pd.DataFrame({"key": range(4), "x": list(y * 2), "y": list(y)})
+    pivot = [{"key": 0, "x": [0.0, 0.0], "y": [0.0, 0.0]}]
+    got = np.array(N._move(State(), pivot, rule, 1.0)(rows)["y"].tolist())
+    assert measured == [1] and np.allclose(got, [[0, 0], [0.75, 0], [3, 0], [0, 4]])
