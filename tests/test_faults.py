@@ -129,3 +129,15 @@ def test_equal_rows_make_equal_shards(spark, monkeypatch):
     nets = [mlp.Net(i, 0, -1, [1, 4, 1], 1e-4, np.zeros(1), np.ones(1), np.zeros(1), np.ones(1), mlp.start([1, 4, 1], 1)) for i in range(5)]
     mlp.train(pts, nets)
     assert [n for _, n in seen] == [2, 2, 1] and len(seen[0][0]) == 10 and max(seen[0][0]) < 150
+
+
+def test_predictions_of_networks_are_not_joined(spark, monkeypatch):
+    """Rows times networks go straight into the scores, from as many tasks as there are rows for; networks keep their setting and fold."""
+    plans, parts, kept = {}, {}, P.cut
+    monkeypatch.setattr(P, "cut", lambda df, label="cut": (plans.setdefault(label, df._jdf.queryExecution().toString()), parts.setdefault(label, df.rdd.getNumPartitions()), kept(df, label))[2])
+    monkeypatch.setattr(P, "PREDICTED", 60)
+    df = spark.range(300).selectExpr("id AS k", "CAST(id AS DOUBLE) AS x", "CAST(id % 7 AS DOUBLE) AS z", "2.0D * id AS y").coalesce(1)
+    run = PP.scan_tuples(df, [(("x",), ("y",)), (("z",), ("y",))], keys=["k"], method="MLP", hidden_layers=[(3,), (2, 2)], alphas=[1e-3, 1e-5], rounds=1, with_dcor=False)
+    assert "Join" not in plans["cv"] and parts["points"] == 10
+    got = [(r["tuple_id"], r["params"]["hidden_layer_sizes"], r["params"]["alpha"], r["params"]["scaler"], r["fold"]) for r in run.cv.collect()]
+    assert sorted(got) == sorted((t, h, a, s, f) for t in (0, 1) for h in ("3", "2-2") for a in ("0.001", "1e-05") for s in ("true", "false") for f in range(3))
