@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colscope.operators import gram, mlp, models as MD, predict as P, shapley as SH
+from colscope.operators import gram, mlp, models as MD, predict as P, refine as RF, shapley as SH
 from colscope.operators.order import with_position
 from colscope.operators.quantiles import exact_quantiles
 from colscope.plans import complexity as CX, predictability as PP
@@ -141,3 +141,16 @@ def test_predictions_of_networks_are_not_joined(spark, monkeypatch):
     assert "Join" not in plans["cv"] and parts["points"] == 10
     got = [(r["tuple_id"], r["params"]["hidden_layer_sizes"], r["params"]["alpha"], r["params"]["scaler"], r["fold"]) for r in run.cv.collect()]
     assert sorted(got) == sorted((t, h, a, s, f) for t in (0, 1) for h in ("3", "2-2") for a in ("0.001", "1e-05") for s in ("true", "false") for f in range(3))
+
+
+def test_rows_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
+    """The fits of a refinement read a table in as many tasks as there are rows for, the same rows as before; small tables stay as they are."""
+    tasks, plain = [], RF.candidate_errors
+    monkeypatch.setattr(RF, "candidate_errors", lambda c, train, **o: (tasks.append((train.rdd.getNumPartitions(), train.count())), plain(c, train, **o))[1])
+    df = spark.range(400).selectExpr("id AS k", "CAST(id AS DOUBLE) AS x", "2.0D * id AS y").coalesce(1)
+    space = {"random_forest": lambda r: {"numTrees": 3, "maxDepth": 8}}
+    for per in (RF.DEALT, 100):
+        monkeypatch.setattr(RF, "DEALT", per)
+        got = RF.refine_tuples(df, [(0, ("x",), ("y",))], ["k"], n_trials=1, space=space, preparations=["none"])
+        assert {r["metric"]: r["value"] for r in got.metrics.collect()}["r2"] > 0.9
+    assert tasks[0][0] == 1 and tasks[1][0] > 1 and tasks[0][1] == tasks[1][1]
