@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colscope.operators import gram, mlp, models as MD, predict as P, refine as RF, shapley as SH
+from colscope.operators import gram, mlp, models as MD, neighbors as NB, predict as P, refine as RF, shapley as SH
 from colscope.operators.order import with_position
 from colscope.operators.quantiles import exact_quantiles
 from colscope.plans import complexity as CX, predictability as PP
@@ -154,3 +154,37 @@ def test_rows_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
         got = RF.refine_tuples(df, [(0, ("x",), ("y",))], ["k"], n_trials=1, space=space, preparations=["none"])
         assert {r["metric"]: r["value"] for r in got.metrics.collect()}["r2"] > 0.9
     assert tasks[0][0] == 1 and tasks[1][0] > 1 and tasks[0][1] == tasks[1][1]
+
+
+def test_neighbour_model_takes_one_search(spark, monkeypatch):
+    """One search gives the settings' means and both scores, those of a search per step, rows near the border of a cell included."""
+    monkeypatch.setattr(NB, "CELL", 64)
+    monkeypatch.setattr(NB, "ENTRIES", 500)
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(900, 3)), 1)
+    data = [(i, bool(i % 3 == 0), int(r.integers(3)), float(v.sum() + r.normal()), v.tolist()) for i, v in enumerate(x)]
+    rows = spark.createDataFrame(data, "key long, is_test boolean, fold int, label double, x array<double>").coalesce(2)
+    lim, searches, plain = MD.Limits(n_trials=6, n_neighbors=9), [], MD.nearest
+    monkeypatch.setattr(MD, "nearest", lambda *a, **o: (searches.append(1), plain(*a, **o))[1])
+    got = MD.fit_base(rows, "briskknn", lim)
+    assert len(searches) == 1 and {p["weights"] for p in MD.sample_params("briskknn", lim)} == {"uniform", "distance"}
+    train = rows.where("NOT is_test")
+    assert got.params == MD._search_knn(train, MD.sample_params("briskknn", lim), False, MD.search_scorer(False, "r2"))
+    assert got.scores == pytest.approx(MD.train_test_scores(got.predict(rows), MD.default_scorer(False)), rel=1e-12)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_narrow_neighbours_sort_what_lies_within_reach(monkeypatch, ties):
+    """The lists of all distances, though only rows within a query's own bound are sorted."""
+    r = np.random.default_rng(6)
+    base, sorted_ = r.normal(size=(1500, 3)), []
+    base = np.round(base * 3) if ties else base
+    queries, key = np.vstack([base[:200], r.normal(size=(100, 3))]), r.permutation(1500)
+    plain = NB._first
+    monkeypatch.setattr(NB, "_first", lambda dist, *a: (sorted_.append(dist.size), plain(dist, *a))[1])
+    row, dist, at, _ = NB.local_nearest(queries, base, key, np.zeros(1500, int), 7)
+    assert not sorted_
+    every = NB.distances(queries, base)
+    for i in range(len(queries)):
+        want = sorted(range(1500), key=lambda j: (every[i, j], key[j]))[:7]
+        assert at[row == i].tolist() == want and np.array_equal(dist[row == i], every[i, want])
