@@ -5,13 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut, dealt
 from .gram import Moments
-from .matrix import map_rows, matrix_moments, width
+from .matrix import map_packed, map_rows, matrix_moments, packed, unpacked, width
+
+TASK_ROWS = 100_000  # more rows in a task are spread where cores would be idle
 
 
 @dataclass
@@ -132,25 +136,62 @@ def sparse_pca(m: DataFrame, k: int, alpha: float = 0.01, ridge: float = 0.1, it
     return Projection(mo.mean, b @ np.linalg.inv(b.T @ b + ridge * np.eye(k) / max(mo.n, 1)), norm)
 
 
+def _spread(m: DataFrame, n: float) -> DataFrame:
+    """Rows of few large files are dealt over more; others stay, since starting centres are drawn by task."""
+    tasks = max(m.rdd.getNumPartitions(), 1)
+    few = tasks < m.sparkSession.sparkContext.defaultParallelism
+    return dealt(m, "key", TASK_ROWS // 2, "adr") if few and n > tasks * TASK_ROWS else m
+
+
+def _cluster_sums(rows: DataFrame, d: int, w: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Count and column sums of the packed rows by the centre nearest to their projection; the tasks add theirs first."""
+    def run(batches):
+        acc = np.zeros((len(centers), d + 1))
+        for b in batches:
+            x = unpacked(b.column(0), d)
+            y = x @ w
+            c = np.argmin([((y - v) ** 2).sum(axis=1) for v in centers], axis=0)
+            near = (c[:, None] == np.arange(len(centers))).astype(float)
+            acc += np.hstack([near.sum(axis=0)[:, None], near.T @ x])
+        c, slot = np.divmod(np.arange(acc.size, dtype=np.int32), d + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(slot, pa.int32()), pa.array(acc.ravel())], names=["c", "slot", "v"])
+
+    # k + 1 clusters of d means: small
+    got = rows.mapInArrow(run, "c int, slot int, v double").groupBy("c", "slot").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros((len(centers), d + 1))
+    for r in got:
+        out[r["c"], r["slot"]] = r["v"]
+    return out
+
+
 def adaptive_reduction(m: DataFrame, k: int, maxiter: int = 100, abstol: float = 1e-3, seed: int = 1) -> Projection:
-    """Alternate clustering of the projected rows with the main directions between the clusters."""
+    """Alternate clustering of the projected rows with the main directions between the clusters.
+
+    The rows are kept packed less their mean. A round maps them twice: to the projections, which are kept while they
+    are clustered, and to the sums of the clusters.
+    """
     mo = matrix_moments(m, width(m))[0]
     d = len(mo.mean)
     p = pca_from(mo, k)
-    m = cut(m.select("key", "x"), "adr")
-    for it in range(maxiter):
-        proj = p.transform(m).withColumn("v", array_to_vector("y"))
-        model = KMeans(k=k + 1, featuresCol="v", predictionCol="c", seed=seed, maxIter=20).fit(proj)
-        # k + 1 clusters of d means: small
-        means = model.transform(proj).groupBy("c").agg(F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)]).collect()
-        scatter = np.zeros((d, d))
-        for r in means:
-            diff = np.array([r[f"m{i}"] for i in range(d)]) - mo.mean
-            scatter += r["n"] * np.outer(diff, diff)
-        val, vec = _eigen(scatter)
-        new = vec[:, :k]
-        gap = np.linalg.norm(new @ new.T - p.weights @ p.weights.T)
-        p = Projection(mo.mean, new, val[:k])
-        if gap < abstol:
-            break
+    rows = packed(_spread(cut(m.select("key", "x"), "adr"), mo.n), mo.mean).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for it in range(maxiter):
+            proj = map_packed(rows, d, p.weights).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                model = KMeans(k=k + 1, featuresCol="v", predictionCol="c", seed=seed, maxIter=20).fit(proj.select(array_to_vector("y").alias("v")))
+            finally:
+                proj.unpersist()
+            scatter = np.zeros((d, d))
+            for n, *total in _cluster_sums(rows, d, p.weights, np.array(model.clusterCenters())):
+                if n:
+                    diff = np.array(total) / n
+                    scatter += n * np.outer(diff, diff)
+            val, vec = _eigen(scatter)
+            new = vec[:, :k]
+            gap = np.linalg.norm(new @ new.T - p.weights @ p.weights.T)
+            p = Projection(mo.mean, new, val[:k])
+            if gap < abstol:
+                break
+    finally:
+        rows.unpersist()
     return p

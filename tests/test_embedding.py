@@ -1,6 +1,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import colscope
@@ -74,6 +76,53 @@ def test_embeddings_keep_low_rank_structure(data):
         assert Q.embedding_quality(fn())["rel_err"] > 0.65
 
 
+def _plain_adaptive(m, k, rounds):
+    """The method as it reads: cluster the projections, then take the main directions between the clusters' means."""
+    mo = matrix_moments(m, len(m.first()["x"]))[0]
+    p = L.pca(m, k)
+    for _ in range(rounds):
+        proj = p.transform(m).withColumn("v", array_to_vector("y"))
+        got = KMeans(k=k + 1, featuresCol="v", predictionCol="c", seed=1, maxIter=20).fit(proj).transform(proj).select("x", "c").collect()
+        scatter = 0
+        for c in {r["c"] for r in got}:
+            x = np.array([r["x"] for r in got if r["c"] == c])
+            scatter = scatter + len(x) * np.outer(x.mean(0) - mo.mean, x.mean(0) - mo.mean)
+        val, vec = L._eigen(scatter)
+        gap = np.linalg.norm(vec[:, :k] @ vec[:, :k].T - p.weights @ p.weights.T)
+        p = L.Projection(mo.mean, vec[:, :k], val[:k])
+        if gap < 1e-3:
+            break
+    return p
+
+
+def test_adaptive_reduction_equals_the_plain_method(data):
+    m = cut(data[0].coalesce(1))  # starting centres are drawn by task
+    for k, rounds in ((2, 3), (1, 1), (3, 0)):
+        got, want = L.adaptive_reduction(m, k, rounds), _plain_adaptive(m, k, rounds)
+        assert np.allclose(got.weights, want.weights, atol=1e-9) and np.allclose(got.values, want.values) and np.allclose(got.mean, want.mean)
+
+
+def test_adaptive_reduction_clusters_stored_projections(data, monkeypatch):
+    """Clustering reads its rows in many jobs; unless they are stored, each of some maps the table in Python again."""
+    plans, fit = [], L.KMeans.fit
+    monkeypatch.setattr(L.KMeans, "fit", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), fit(self, df))[1])
+    L.adaptive_reduction(data[0], 2, 2)
+    assert plans and all("InMemoryTableScan" in p for p in plans)
+
+
+def test_adaptive_reduction_spreads_a_large_file(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4)) + 20 * np.eye(4)[rng.integers(0, 3, 400)]
+    m = cut(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "key bigint, x array<double>").coalesce(1))
+    tasks, fit = [], L.KMeans.fit
+    monkeypatch.setattr(L.KMeans, "fit", lambda self, df: (tasks.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    one = L.adaptive_reduction(m, 2, 3)
+    monkeypatch.setattr(L, "TASK_ROWS", 100)
+    more = L.adaptive_reduction(m, 2, 3)
+    assert tasks[0] == 1 and tasks[-1] > 1
+    assert np.allclose(one.weights @ one.weights.T, more.weights @ more.weights.T, atol=1e-6)  # three clear clusters, whatever they start from
+
+
 def test_sammon_stress_falls(data):
     m, x = data
     d = lambda v: np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
