@@ -69,6 +69,34 @@ def test_quality_of_the_identity_is_one(data):
     assert q.where("rank_high <> rank_low").count() == 0 and q.agg(F.sum("n")).first()[0] == 150 * 149
 
 
+def test_quality_and_coranking_use_all_rows(spark):
+    """3,200 rows are more than a sample of about 2,000 would hold."""
+    m = spark.range(3200).select(F.col("id").alias("key"), F.array(*[F.rand(s) for s in range(3)]).alias("x")).withColumn("y", F.slice("x", 1, 1))
+    assert Q.quality_table(m).first()["n"] == 3200
+    assert Q.coranking(m).agg(F.sum("n")).first()[0] == 3200 * 3199
+
+
+@pytest.mark.parametrize("held", [Q.HELD, 1 << 12])
+def test_coranking_and_quality_equal_brute_force(spark, monkeypatch, held):
+    """Ties go by key; with small bounds a task keeps the table in a file and counts many strips."""
+    monkeypatch.setattr(Q, "HELD", held)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    m = spark.createDataFrame([(int(i), x[i].tolist(), x[i, :2].tolist()) for i in rng.permutation(300)], "key bigint, x array<double>, y array<double>")
+    high, low = Q.rank_matrix(x, slice(None)), Q.rank_matrix(np.ascontiguousarray(x[:, :2]), slice(None))
+    cell, k = np.unique((high * 300 + low)[(high > 0) & (low > 0)], return_counts=True)
+    got = Q.coranking(m).toPandas().sort_values(["rank_high", "rank_low"])
+    assert (got["rank_high"] * 300 + got["rank_low"]).tolist() == cell.tolist() and got["n"].tolist() == k.tolist()
+    q = Q.quality_table(m).first()
+    assert q["n"] == 300 and np.allclose([q["rel_err"], q["r2"]], [1 - np.abs(high - low).mean() / 149.5, 1 - ((high - low) ** 2).sum() / (300**2 * (300**2 - 1) / 12)])
+
+
+def test_quality_of_few_rows(spark):
+    for n in (0, 1):
+        m = spark.range(n).select(F.col("id").alias("key"), F.array(F.lit(1.0)).alias("x"), F.array(F.lit(1.0)).alias("y"))
+        assert tuple(Q.quality_table(m).first()) == (n, None, None) and Q.coranking(m).count() == 0
+
+
 def test_embeddings_keep_low_rank_structure(data):
     m, _ = data
     for fn in (lambda: L.probabilistic_pca(m, 3).transform(m), lambda: N.curvilinear(m, 3, max_iter=2), lambda: N.proximity(m, 3, cycles=5, updates=20),
