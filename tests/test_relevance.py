@@ -134,3 +134,11 @@ def test_forest_makes_every_knockoff_once(spark, tmp_path):
     got = {r["feature"]: r["w"] for r in KO.forest_statistics(df, ["a", "b"], "y", Counted(np.zeros(2), np.eye(2)), 1, trees=5, depth=3).collect()}
     assert got["a"] > abs(got["b"])
     assert sum(map(int, open(log).read().split())) == 400
+
+
+def test_background_rows_are_not_broadcast(spark):
+    """The sample grows with the rows; only its stored size, compressed, is small."""
+    rows = spark.range(2000).select(F.col("id").alias("key"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+    drawn = SH.with_background(rows, 0.3, 2)
+    assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
+    assert drawn.count() == 4000
