@@ -308,3 +308,44 @@ def test_settings_follow_the_documented_ranges():
     for p in MD.sample_params("slugxgboost", lim):
         assert 10 <= p["max_depth"] <= 30 and 1e-3 <= min(p["rate"], p["l1"], p["l2"], p["price"]) and max(p["rate"], p["l1"], p["l2"], p["price"]) <= 0.1 and p["bins"] in MD.XGB_BINS
     assert all(1e-6 <= p["rate"] <= 1 and p["bins"] in MD.LGBM_BINS for p in MD.sample_params("sluglgbm", lim))
+
+
+@pytest.mark.parametrize("settings", [dict(max_depth=4, l2=0.1), dict(max_depth=20, leaves=9, min_rows=3, columns=(0.7, 1.0, 1.0)), dict(loss="logistic"), dict(loss="softmax")])
+def test_rows_that_travel_between_tasks_give_the_same_models(spark, grid, monkeypatch, settings):
+    """Tables above the size that the driver sends, up to the size that a task may hold, whose rows are dealt without the driver."""
+    x, y, rows = grid
+    classes = {"logistic": [0.0, 1.0], "softmax": [0.0, 1.0, 2.0]}.get(settings.get("loss"))
+    if classes:
+        rows = table(spark, x, np.minimum(np.argsort(np.argsort(y)) * len(classes) // 240, len(classes) - 1))
+    models = [(B.Boosting(rounds=4, **settings), fold) for fold in (None, 1)]
+    sent = B.fit_many(rows, models, classes)
+    monkeypatch.setattr(B, "SMALL", 0)
+    held = B.fit_many(rows, models, classes)
+    monkeypatch.setattr(B, "HELD", 0)
+    spread = B.fit_many(rows, models, classes)
+    for a, b, c in zip(sent, held, spread):
+        assert np.allclose(a.scores(x), b.scores(x), atol=1e-9) and np.allclose(a.scores(x), c.scores(x), atol=1e-9)
+
+
+def test_tables_of_some_millions_of_rows_are_held_whole(spark, grid, monkeypatch):
+    """A pass over the rows for each level of each round takes too long where a task can hold the rows."""
+    rows = grid[2]
+    monkeypatch.setattr(B, "SMALL", 0)
+    passes = []
+    monkeypatch.setattr(T, "sums_of", lambda *a: passes.append(a))
+    B.fit_many(rows, [(B.Boosting(rounds=2), None)])
+    assert not passes and 6_100_000 * (20 + 4 * 3 + 32) <= B.HELD
+
+
+def test_wide_levels_are_searched_in_groups_of_nodes(monkeypatch):
+    draw = np.random.default_rng(2)
+    bins, g = draw.integers(0, 200, (3, 4000)).astype(np.uint16), draw.normal(size=4000)
+    edges, leaves = [np.arange(199.0)] * 3, []
+    for spec in (T.Growth(9), T.Growth(14, leaves=40, min_rows=5)):
+        want = T._grow_whole(bins, g, None, edges, spec, leaves)
+        assert (leaves[-1] == want.leaves_of_bins(bins.T)).all()
+        with monkeypatch.context() as m:
+            m.setattr(T, "CELLS", 1000)
+            m.setattr(T, "CHUNK", 100)
+            got = T._grow_whole(bins, g, None, edges, spec)
+        assert all(np.allclose(a, b) for a, b in zip(T.plain(got), T.plain(want)))
